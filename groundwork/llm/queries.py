@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import decontam, media, sharding, urlfilter
-from groundwork.llm.common import table
+from groundwork.llm import decontam, media, sharding, toxicity, urlfilter
+from groundwork.llm.common import remainder, table
 
 SHARDS = 24
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -34,6 +34,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages, urlfilter.example_rules()).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from labels whose id has no remainder 0 of 5."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(remainder("doc_id", 5) != 0))
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as WAV samples, read back and fingerprinted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,6 +52,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_shard_hilbert": op3_shard_hilbert,
     "op4_url_filter": op4_url_filter,
+    "op8_toxicity": op8_toxicity,
     "op9_media_columns": op9_media_columns,
 }
 
