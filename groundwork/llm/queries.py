@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import decontam, media, sharding, toxicity, urlfilter
+from groundwork.llm import decontam, media, packing, sharding, toxicity, urlfilter
 from groundwork.llm.common import remainder, table
 
 SHARDS = 24
@@ -34,6 +34,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages, urlfilter.example_rules()).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of at most 2048."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text, learned from labels whose id has no remainder 0 of 5."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -52,6 +60,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_shard_hilbert": op3_shard_hilbert,
     "op4_url_filter": op4_url_filter,
+    "op6_pack": op6_pack,
     "op8_toxicity": op8_toxicity,
     "op9_media_columns": op9_media_columns,
 }
