@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import decontam, media, packing, sharding, toxicity, urlfilter
+from groundwork.llm import decontam, langid, media, packing, quality, sharding, toxicity, urlfilter
 from groundwork.llm.common import remainder, table
 
 SHARDS = 24
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from rows whose id has no remainder 1 of 3."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(remainder("doc_id", 3) != 1))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in whole documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -34,6 +42,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages, urlfilter.example_rules()).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learned from labels whose id has no remainder 2 of 4."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(remainder("doc_id", 4) != 2))
+    scored = quality.score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens in sequences of at most 2048."""
     import public_tokenizers
@@ -57,9 +73,11 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_langid": op1_langid,
     "op2_decontaminate": op2_decontaminate,
     "op3_shard_hilbert": op3_shard_hilbert,
     "op4_url_filter": op4_url_filter,
+    "op5_quality": op5_quality,
     "op6_pack": op6_pack,
     "op8_toxicity": op8_toxicity,
     "op9_media_columns": op9_media_columns,
