@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import decontam, langid, media, packing, quality, sharding, toxicity, urlfilter
+from groundwork.llm import decontam, langid, media, neardup, packing, quality, sharding, toxicity, urlfilter
 from groundwork.llm.common import remainder, table
 
 SHARDS = 24
@@ -72,6 +72,12 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(docs, keep_media=False, keep_fingerprint=False).drop("text")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document: five-word shingles, similarity 0.8 or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs)
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_decontaminate": op2_decontaminate,
@@ -81,6 +87,7 @@ QUERIES = {
     "op6_pack": op6_pack,
     "op8_toxicity": op8_toxicity,
     "op9_media_columns": op9_media_columns,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE = {
