@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,15 +25,24 @@ def remainder(doc_id: str | Column, modulus: int) -> Column:
     return (F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % modulus).cast("int")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir.
-
-    Only where the session names none (tests on one machine) is a temporary folder set.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one in a temporary folder only where none is set (tests on one machine)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table as Parquet in the shared folder and read it again."""
+    path = f"{_shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder of spark.checkpoint.dir."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
