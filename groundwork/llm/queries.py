@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import decontam, langid, media, neardup, packing, quality, sharding, toxicity, urlfilter
+from groundwork.llm import decontam, langid, lm, media, neardup, packing, quality, sharding, toxicity, urlfilter
 from groundwork.llm.common import remainder, table
 
 SHARDS = 24
@@ -58,6 +58,14 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole text, learned from texts whose id has no remainder 2 of 7."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    training = docs.where(remainder("doc_id", 7) != 2)
+    scored = lm.score_texts(docs, training)
+    return scored.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text, learned from labels whose id has no remainder 0 of 5."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -85,6 +93,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_quality": op5_quality,
     "op6_pack": op6_pack,
+    "op7_lm_score": op7_lm_score,
     "op8_toxicity": op8_toxicity,
     "op9_media_columns": op9_media_columns,
     "op10_near_duplicates": op10_near_duplicates,
