@@ -1,5 +1,5 @@
 """Registered queries over the given tables, and their SQL twins."""
 
-from groundwork.plans import corpus
+from groundwork.plans import corpus, drift
 
-LANES = (corpus,)
+LANES = (corpus, drift)

@@ -8,25 +8,14 @@ from pyspark.sql import functions as F
 from groundwork.functions import exprs as X
 from groundwork.operators import corpus as C
 from groundwork.plans.fixtures import DATED_SQL, NEXT_SQL, dated, snapshot_pair, versions
+from groundwork.plans.registry import Registry
 from groundwork.sources.files import table
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+lane = Registry()
+QUERIES, ORACLE, query = lane.QUERIES, lane.ORACLE, lane.query
 R6 = 6
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query and its SQL twin."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
-
 def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("doc_id") % 3 == 0, "html").otherwise("pdf")
     return table(spark, sf_dir, "documents").select("doc_id", "source", kind.alias("kind"), F.when(F.col("doc_id") % 7 == 0, "failed").otherwise("ok").alias("extraction"))
