@@ -65,7 +65,7 @@ def polls(events: DataFrame) -> DataFrame:
     return events.select((F.col("user_id") % 7).alias("source"), F.col("ts").alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("metric"), "value", "props", outcome.alias("outcome"))
 
 
-POLLS_SQL = """polls AS (SELECT user_id % 7 AS source, ts AS at, event_id AS id, event_type AS metric, value, props, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'degraded' ELSE 'ok' END AS outcome FROM events)"""
+POLLS_SQL = """polls AS (SELECT user_id % 7 AS source, ts AS polled, event_id AS id, event_type AS metric, value, props, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'degraded' ELSE 'ok' END AS outcome FROM events)"""
 
 
 def snapshot_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
