@@ -7,6 +7,7 @@ when no bin fits and all are open, the fullest one closes to make room.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -27,11 +28,13 @@ class WordCache:
 
     The tokenizer drops white space between words and never joins across it, so a text's ids are the
     ids of its blank-separated parts in order. New parts are encoded many at a time, joined by a mark
-    whose id tells them apart; parts that hold the mark themselves are encoded alone. At most
-    CACHE_WORDS parts are kept; then it starts anew.
+    whose id tells them apart; parts that hold the mark themselves are encoded alone. Beyond
+    CACHE_WORDS parts a new generation begins, and what is met again moves over from the last one.
     """
 
     def __init__(self, path: str):
+        # Spark runs one worker on each core already; threads of the tokenizer's own would only contend.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -39,10 +42,9 @@ class WordCache:
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        if len(self.ids) + len(words) > CACHE_WORDS:
-            self.ids = {}
         alone = [w for w in words if self.mark is None or MARK in w]
         rest = [w for w in words if self.mark is not None and MARK not in w]
         groups = [rest[i : i + AT_ONCE] for i in range(0, len(rest), AT_ONCE)]
@@ -60,11 +62,16 @@ class WordCache:
             self.ids[word] = np.array(found.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.ids) > CACHE_WORDS:
+            self.old, self.ids = self.ids, {}
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        every = {w for p in parts for w in p}
-        new = [w for w in every if w not in self.ids]
-        if len(self.ids) + len(new) > CACHE_WORDS:
-            new = list(every)
+        new = []
+        for w in {w for p in parts for w in p}.difference(self.ids):
+            kept = self.old.get(w)
+            if kept is None:
+                new.append(w)
+            else:
+                self.ids[w] = kept
         self.learn(new)
         get = self.ids.__getitem__
         return [b"".join(map(get, p)) for p in parts]
@@ -135,7 +142,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str, k
 
     def work(batches):
         cache = word_cache(tokenizer)
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 1024):
             rows, piece, start, length, crc, kept = [], [], [], [], [], []
             for row, body in enumerate(cache.encode([t or "" for t in batch.column("__text").to_pylist()])):
                 ids = body + end
