@@ -1,5 +1,5 @@
 """Registered queries over the given tables, and their SQL twins."""
 
-from groundwork.plans import corpus, drift, kpi
+from groundwork.plans import corpus, drift, facts, kpi
 
-LANES = (corpus, drift, kpi)
+LANES = (corpus, drift, kpi, facts)
