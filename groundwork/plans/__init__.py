@@ -1,5 +1,5 @@
 """Registered queries over the given tables, and their SQL twins."""
 
-from groundwork.plans import corpus, drift, facts, kpi
+from groundwork.plans import corpus, drift, facts, kpi, sections, surface
 
-LANES = (corpus, drift, kpi, facts)
+LANES = (corpus, drift, surface, kpi, facts, sections)
