@@ -78,10 +78,8 @@ def display_date(text: str | Column) -> Column:
 
 def normal_number(token: str | Column) -> Column:
     """Commas, a dollar sign and a closing percent sign cut; whole numbers without a fraction."""
-    bare = F.regexp_replace(_c(token), "[,$]|%$", "")
-    value = bare.try_cast("double")
-    whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
-    return F.when(value.isNull(), bare).when(whole, value.cast("bigint").cast("string")).otherwise(F.regexp_replace(F.regexp_replace(bare, r"0+$", ""), r"^0+(?=\d)", ""))
+    bare = F.regexp_replace(F.regexp_replace(_c(token), "[,$]|%$", ""), r"\.0*$", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"(\.\d*?[1-9])0+$", "$1"), r"^0+(\d)", "$1")
 
 
 def numbers_in(text: str | Column) -> Column:
