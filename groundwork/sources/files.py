@@ -28,8 +28,9 @@ def read_faq(spark: SparkSession, path: str) -> DataFrame:
 def scan_tree(spark: SparkSession, root: str, extensions: Sequence[str], skip_dirs: Sequence[str], max_bytes: int = 2_000_000) -> DataFrame:
     """(file, line_no, line) of the text files under a folder.
 
-    Files with one of the extensions or named `.env*`; none below a folder of `skip_dirs`, none larger
-    than `max_bytes`, none whose bytes are not UTF-8. Size and path are tested before content is read.
+    Files with one of the extensions; none below a folder of `skip_dirs`, none larger than `max_bytes`,
+    none whose bytes are not UTF-8. Size and path are tested before content is read. Spark's listing
+    itself leaves out names that begin with a dot or an underscore: land `.env` files as `x.env`.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = files.select(F.regexp_replace("path", "^[a-z]+:/+", "/").alias("path"), "length", "content").where(F.col("length") <= max_bytes)
@@ -39,7 +40,7 @@ def scan_tree(spark: SparkSession, root: str, extensions: Sequence[str], skip_di
     wanted = F.lit(False)
     for e in extensions:
         wanted = wanted | name.endswith(e)
-    kept = base.where((wanted | name.startswith(".env")) & ~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, skip_dirs)).cast("array<string>")))
+    kept = base.where(wanted & ~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, skip_dirs)).cast("array<string>")))
     text = F.try_validate_utf8(F.col("content").cast("string"))
     lines = kept.select(inside.alias("file"), text.alias("t")).where("t is not null").select("file", F.posexplode(F.split(F.regexp_replace("t", "\r\n?", "\n"), "\n")).alias("n", "line"))
     return lines.select("file", (F.col("n") + 1).alias("line_no"), "line")
