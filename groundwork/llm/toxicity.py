@@ -26,7 +26,7 @@ from groundwork.llm.common import checkpointed, ship, slices
 
 JUNK = re.compile(rb"[\s!-/:-@\[-`{-~]+")
 SEGMENTS = (5, 6, 7, 8, 10)
-LEVEL, WINDOW, BASE = 9, 64, 16384
+LEVEL, WINDOW, BASE = 12, 64, 16384
 FEATURES = 7
 
 
@@ -143,17 +143,26 @@ def choose_segments(members: list[set[int]], pool: list[tuple[bytes, int, int]],
     chance = np.array([b / max(1, n0) for _, _, b in pool]) * n1 * 20
     longer = 1 + 0.02 * np.array([len(s) for s, _, _ in pool])
     cover, chosen = np.zeros(n1, dtype=np.float32), []
-    for _ in range(most):
-        gain = hit @ (0.5**cover) - chance
+    open_ = np.ones(len(pool), dtype=bool)
+    while open_.any() and len(chosen) < most:
+        gain = np.where(open_, hit @ (0.7**cover) - chance, -1.0)
         i = int(np.argmax(gain * longer))
-        if gain[i] < max(3, 0.01 * n1):
+        if gain[i] < max(2, 0.01 * n1):
             break
-        if pool[i][0] not in chosen:
-            chosen.append(pool[i][0])
+        chosen.append(pool[i][0])
         cover += hit[i]
+        # What shares four bytes or more of the word with a chosen segment tells nothing new.
+        core = pool[i][0].strip()
+        pieces = {core[k : k + 4] for k in range(max(1, len(core) - 3))}
+        open_ &= np.array([not any(p in s for p in pieces) for s, _, _ in pool])
     return chosen
 
 
+def least_texts(n1: int, n0: int) -> int:
+    """How many toxic texts a segment must be in, and no ordinary one, to be no chance find: odds of 1 in 10,000."""
+    return max(3, int(np.ceil(np.log(1e-4) / np.log(n1 / (n1 + n0)))))
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", most_toxic: int = 1500, most_ordinary: int = 3000, most_segments: int = 96) -> Model:
     """Train on about `most_toxic` and `most_ordinary` labelled texts, the bound on what fitting sees.
 
@@ -177,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     train = sample.where(~F.col("__hold"))
     shares = count_keys(train, lambda r: segments(plain(r)))
     p1, p0 = (F.col("a") + 0.5) / (n1 + 1), (F.col("b") + 0.5) / (n0 + 1)
-    marked = shares.where((F.col("a") >= 3) & (p1 > 20 * p0))
+    marked = shares.where((F.col("a") >= least_texts(n1, n0)) & (p1 > 20 * p0))
     strength = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt((F.col("a") + F.col("b") + 1) / (n1 + n0)) * F.sqrt(F.length("key"))
     pool = [(bytes(r[0]), r[1], r[2]) for r in marked.orderBy(strength.desc(), "key").limit(4000).collect()]
     at = {s: i for i, (s, _, _) in enumerate(pool)}
