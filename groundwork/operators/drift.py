@@ -147,8 +147,7 @@ def fact_value_index(facts: DataFrame) -> DataFrame:
     spark = facts.sparkSession
     level, leaves = nested.withColumn("at", F.lit("")), plain
     for _ in range(3):
-        level.createOrReplaceTempView("__fact_level")
-        level = spark.sql("SELECT t.key, e.value AS v, concat(t.at, lpad(cast(e.pos AS string), 4, '0')) AS at FROM __fact_level t, LATERAL variant_explode(t.v) e")
+        level = spark.sql("SELECT t.key, e.value AS v, concat(t.at, lpad(cast(e.pos AS string), 4, '0')) AS at FROM {level} t, LATERAL variant_explode(t.v) e", level=level)
         is_leaf = ~F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
         done = level.where(is_leaf).select("key", "at", F.trim(F.try_variant_get("v", "$", "string")).alias("leaf"))
         leaves = leaves.unionByName(done.select("key", F.row_number().over(Window.partitionBy("key").orderBy("at")).alias("pos"), "leaf"))
