@@ -21,11 +21,14 @@ from groundwork.llm.common import checkpointed, ship, slices
 from groundwork.llm.decontam import words_of
 
 BANDS, ROWS = 25, 5
-POSITIONS = 128
+POSITIONS = 512
 SKETCH = POSITIONS // 16  # longs of sixteen 4-bit values
-# Agreeing 4-bit values that a pair at 0.8 falls short of with a chance of about one in three million.
-AGREE = 82
+# Agreeing 4-bit values that a pair at 0.8 falls short of with a chance of about 3 in 100,000 (four standard
+# deviations), as often as it shares no band.
+AGREE = 381
 WORDS_KEPT = 300_000
+STAR_ROUNDS = 2
+SMALL, BLOCK = 64, 512
 U = np.uint64
 
 
@@ -207,13 +210,31 @@ def components(edges: DataFrame) -> DataFrame:
         labels = nxt.select("node", "label")
 
 
-def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Buckets (key, node) with more than one text, and the pairs of each bucket's smallest node with its others."""
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """(key, node, weight) of buckets with more than one text; weight: how many texts all buckets of the node hold."""
     members = nodes.select("node", F.explode("bands").alias("key"))
-    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-    buckets = checkpointed(members.join(hubs, "key"))
-    stars = buckets.where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    return buckets, stars
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = checkpointed(members.join(sizes, "key"))
+    weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    return checkpointed(shared.select("key", "node").join(weights, "node"))
+
+
+def mixed_buckets(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(key, node, weight, label) of buckets that hold more than one component."""
+    if labels is None:
+        return buckets.withColumn("label", F.col("node"))
+    marked = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return checkpointed(marked.join(mixed, "key", "left_semi"))
+
+
+def star_pairs(open_: DataFrame, used: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each bucket's heaviest node that wasn't its hub before with the nodes of other components; (key, hub)."""
+    rest = open_ if used is None else open_.join(used.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
+    hubs = rest.groupBy("key").agg(F.max(F.struct("weight", "node", "label")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label"))
+    met = open_.join(hubs, "key").where(F.col("label") != F.col("hub_label"))
+    pairs = met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    return pairs, hubs.select("key", "hub")
 
 
 def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -223,30 +244,72 @@ def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(agreeing("ka", "kb") >= AGREE).select("a", "b")
 
 
+def crossing_pairs(open_: DataFrame) -> DataFrame:
+    """(a, b): pairs of a bucket (key, node, label, sketch, bands) across components whose sketches agree often enough.
+
+    Small buckets join with themselves. Large ones are cut in blocks of about BLOCK texts, and each pair
+    of blocks is compared by one task's arrays, so that only what agrees becomes a row, and that in the
+    first band alone that the two texts share.
+    """
+    sized = open_.join(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    small = sized.where(F.col("n") <= SMALL)
+    left = small.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("ka"))
+    right = small.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("kb"))
+    near = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (agreeing("ka", "kb") >= AGREE)).select("a", "b")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    large = sized.where(F.col("n") > SMALL).withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    dealt = large.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "sketch", "bands")
+
+    def compare(part: pa.Table) -> pa.Table:
+        node, label, own = (part.column(c).to_numpy() for c in ("node", "label", "own"))
+        raw = part.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint8).reshape(len(node), -1)
+        values = np.hstack((raw & 15, raw >> 4))
+        bands = part.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        band = int(np.flatnonzero(bands[0] == part.column("key")[0].as_py())[0])
+        i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
+        rows, others = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        a, b = [], []
+        for r in rows:
+            with_ = others[(node[others] > node[r]) & (label[others] != label[r])] if i == j else others[label[others] != label[r]]
+            if len(with_):
+                hit = with_[np.count_nonzero(values[with_] == values[r], axis=1) >= AGREE]
+                hit = hit[(bands[hit] == bands[r]).argmax(axis=1) == band]
+                a.append(np.minimum(node[r], node[hit]))
+                b.append(np.maximum(node[r], node[hit]))
+        none = [np.empty(0, np.int64)]
+        return pa.table({"a": np.concatenate(none + a), "b": np.concatenate(none + b)})
+
+    return near.unionByName(dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
 def duplicate_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """(digest, class_id, first_digest): the class of each different text.
 
     class_id is the smallest key of a class (null keys last), first_digest tells texts of that key
-    apart. First every text of a bucket is verified against the bucket's smallest node, which
-    resolves groups of thousands by as many pairs; then all pairs of a bucket that are still in
-    different components, so no link is lost. Pairs inside one component are never made.
+    apart. In each bucket the text that shares most buckets with others, the likely original of a group,
+    is verified against all, which joins groups of thousands by as many pairs; STAR_ROUNDS such
+    rounds go over the buckets that still hold several components. In the end all pairs of such
+    buckets across components are verified, so no link is lost, and pairs inside a component are
+    never made.
     """
     nodes = distinct_texts(docs, text, key, width)
-    buckets, stars = candidates(nodes)
-    first = checkpointed(sketched(stars, nodes))
+    buckets = bucket_members(nodes)
     in_buckets = buckets.select("node").distinct()
     sets = checkpointed(shingle_sets(docs, nodes.join(in_buckets, "node", "left_semi").select("node", "digest", "doc"), text, key, width))
-    links = checkpointed(verified(first, sets, threshold).select("a", "b"))
-    labels = components(links)
-
-    marked = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = marked.join(mixed, "key", "left_semi").join(nodes.select("node", "sketch"), "node")
-    open_ = checkpointed(open_)
-    left = open_.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("ka"))
-    right = open_.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("kb"))
-    crossing = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (agreeing("ka", "kb") >= AGREE))
-    rest = crossing.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    links = tested = labels = used = None
+    for _ in range(STAR_ROUNDS):
+        open_ = mixed_buckets(buckets, labels)
+        pairs, hubs = star_pairs(open_, used)
+        pairs = checkpointed(sketched(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), nodes))
+        found = checkpointed(verified(pairs, sets, threshold).select("a", "b"))
+        used = checkpointed(hubs) if used is None else checkpointed(used.union(hubs))
+        tested = pairs if tested is None else tested.union(pairs)
+        links = found if links is None else links.union(found)
+        labels = components(links)
+
+    open_ = checkpointed(mixed_buckets(buckets, labels).join(nodes.select("node", "sketch", "bands"), "node").select("key", "node", "label", "sketch", "bands"))
+    crossing = crossing_pairs(open_)
+    rest = crossing.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
     more = checkpointed(verified(rest, sets, threshold).select("a", "b"))
     if more.limit(1).count():
         labels = components(links.union(more))
