@@ -1,11 +1,12 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and exact verification.
 
-A text is a weighted set of five-word shingles; a shingle that occurs t times weighs 1 + ln t. Each
-shingle sends points by a Poisson process whose rate is its weight to random signature positions; the
-first point of a position wins, and a shingle stops once it is later than all positions. Two
-signatures agree in a position with the probability Jaccard similarity of the weighted sets. Texts
-that agree in a whole band are candidates, and a link is a pair whose shingle sets have a Jaccard
-similarity of at least the threshold, counted exactly. Classes are connected components of links.
+A text is a set of five-word shingles. Each shingle sends points by a Poisson process to random
+signature positions; the first point of a position wins, and a shingle stops once it is later than all
+positions. Two signatures agree in a position with the probability Jaccard similarity of the sets. The
+rate of the process is a shingle's weight, and all weigh alike however often they occur, so that what
+signatures estimate is the Jaccard similarity that links are tested for. Texts that agree in a whole
+band are candidates, and a link is a pair whose shingle sets have a Jaccard similarity of at least the
+threshold, counted exactly. Classes are connected components of links.
 """
 
 from __future__ import annotations
@@ -42,11 +43,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | U(1)
 
 
-def shingles(raw: bytes, width: int, kept: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes and their counts; a text of fewer words, but not none, is one shingle."""
+def shingles(raw: bytes, width: int, kept: dict[bytes, int]) -> np.ndarray:
+    """Distinct shingle hashes; a text of fewer words, but not none, is one shingle."""
     words = words_of(raw)
     if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     if len(kept) > WORDS_KEPT:
         kept.clear()
     for w in set(words):
@@ -58,7 +59,7 @@ def shingles(raw: bytes, width: int, kept: dict[bytes, int]) -> tuple[np.ndarray
     total = np.full(n, size, np.uint64)
     for j in range(size):
         total += h[j : j + n] * FACTORS[j]
-    return np.unique(mix(total), return_counts=True)
+    return np.unique(mix(total))
 
 
 def signature(elements: np.ndarray, weights: np.ndarray, positions: int = POSITIONS) -> np.ndarray:
@@ -133,9 +134,9 @@ def distinct_texts(docs: DataFrame, text: str, key: str, width: int) -> DataFram
             rows = []
             for raw in batch.column("t").cast(pa.binary()).to_pylist():
                 if raw not in seen:
-                    e, n = shingles(raw, width, kept)
+                    e = shingles(raw, width, kept)
                     if len(e):
-                        won = signature(e, 1 + np.log(n))
+                        won = signature(e, np.ones(len(e)))
                         seen[raw] = band_keys(won), sketch_of(won)
                     else:
                         seen[raw] = (), ()
@@ -158,7 +159,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, width:
     def work(batches):
         kept: dict[bytes, int] = {}
         for batch in slices(batches, 1024):
-            sets = [np.unique((shingles(raw, width, kept)[0] >> U(32)).astype(np.uint32)).tobytes() for raw in batch.column("t").cast(pa.binary()).to_pylist()]
+            sets = [np.unique((shingles(raw, width, kept) >> U(32)).astype(np.uint32)).tobytes() for raw in batch.column("t").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "s"])
 
     return found.mapInArrow(work, "node long, s binary").dropDuplicates(["node"])

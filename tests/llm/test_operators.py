@@ -432,6 +432,22 @@ def test_near_duplicates_equal_brute_force(spark):
     assert left.count() == len(set(want.values())) + 2
 
 
+def test_near_duplicates_with_repeated_passages_equal_brute_force(spark):
+    rng = random.Random(21)
+    words = [a + b + c for a in A for b in A for c in A]
+    docs = []
+    for times in (5, 30, 1000):
+        for share in (5, 2):  # a fifth of the text is repeated, or half of it
+            for _ in range(4):
+                w = rng.choices(words, k=120)
+                docs.append((len(docs), " ".join(w)))
+                docs.append((len(docs), " ".join(w + w[-(120 // share) :] * times)))
+    want = brute_classes(docs)
+    assert len(set(want.values())) == len(docs) // 2
+    got = rows(neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")))
+    assert {x["doc_id"]: x["class_id"] for x in got} == {i: want[t] for i, t in docs}
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(3)
     e = rng.integers(0, 2**63, 300).astype(np.uint64)
