@@ -347,6 +347,16 @@ def test_seating():
     assert (t == lm.seat(n, np.full(5, 0.2), 0.5, 1.0, 10.0, np.arange(5), 1)).all()
 
 
+def test_context_tables_are_carried_from_sweep_to_sweep(spark):
+    n = np.random.default_rng(4).multinomial(200_000, 1 / np.arange(1, 1001) / (1 / np.arange(1, 1001)).sum())
+    k = np.flatnonzero(n)
+    contexts = spark.createDataFrame([(7, k.tolist(), n[k].tolist()), (9, [3], [2])], "context int, k array<int>, n array<bigint>")
+    own = lm.seat_contexts(contexts)
+    (first, before, _, held), (_, _, _, later) = own.sweeps
+    assert later[7] == own.tables(7, k, n[k], before, held, first).sum() and later[9] in (1, 2)
+    assert held[7] > 1.2 * len(k) and not held[[c for c in range(lm.CLASSES) if c not in (7, 9)]].any()
+
+
 def test_lm_odd(spark, odd, empty):
     got = rows(lm.score_texts(odd, odd))
     assert len(got) == 10 and {x["n_tokens"] for x in got if x["doc_id"] in (1, 2)} == {1}
