@@ -86,24 +86,20 @@ def dense(sparse: DataFrame, key: str = "doc_id", dim: int = 256) -> DataFrame:
     return sparse.groupBy(key).agg(entries.alias("m")).select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int, most_queries: int = 1000, block: int = 200) -> DataFrame:
-    """The k nearest items by cosine for each of a stated set of queries: (query_id, item_id, score, rank).
+def vector_topk(queries: DataFrame, items: DataFrame, k: int, block: int = 200) -> DataFrame:
+    """The k nearest items by cosine for each query: (query_id, item_id, score, rank).
 
-    queries (query_id, q) is a list someone asks; more than `most_queries` is an error. They are
-    broadcast in blocks and meet each item as one scan; the window keeps k rows by task before it
-    shuffles. Zero vectors have no score and are left out. Equal scores go by item_id.
+    queries (query_id, q) may be any number. Up to `block` of them are broadcast; more are dealt by
+    hash into blocks of about that size, and each task meets one block with one part of the items. Only
+    a count comes to the driver. The window keeps k rows by task before it shuffles. Zero vectors have
+    no score and are left out. Equal scores go by item_id.
     """
-    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).limit(most_queries + 1).collect()
-    if len(asked) > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
-    spark = queries.sparkSession
-    scored = None
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("q").cast("array<double>").alias("q")).withColumn("__m", X.l2_norm("q")).where("__m > 0")
+    blocks = -(-asked.count() // block)
+    part = F.broadcast(asked) if blocks <= 1 else asked.repartition(blocks, "query_id").hint("shuffle_replicate_nl")
     with_norm = items.withColumn("__n", X.l2_norm("v")).where("__n > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    for at in range(0, max(1, len(asked)), block):
-        part = F.broadcast(spark.createDataFrame([(r[0], r[1]) for r in asked[at : at + block]], "query_id bigint, q array<double>").withColumn("__m", X.l2_norm("q")).where("__m > 0"))
-        met = with_norm.join(part, F.lit(True)).select("query_id", "item_id", (X.dot(F.col("v"), F.col("q")) / (F.col("__n") * F.col("__m"))).alias("score"))
-        scored = met if scored is None else scored.unionByName(met)
+    scored = with_norm.join(part, F.lit(True)).select("query_id", "item_id", (X.dot(F.col("v"), F.col("q")) / (F.col("__n") * F.col("__m"))).alias("score"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

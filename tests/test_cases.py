@@ -151,3 +151,16 @@ def test_empty_question_finds_nothing(spark):
     q = spark.createDataFrame([(1, ""), (2, "blue bolt")], "query_id bigint, text string")
     f = spark.createDataFrame([(0, "a.x", "blue", ""), (1, "a.y", "unknown", "bolt"), (2, "a.z", "bolt", "blue")], "ordinal int, key string, value string, notes string")
     assert values(facts.keyword_topk(q, f).orderBy("rank"), "query_id", "key", "score") == [(2, "a.z", 2), (2, "a.x", 1)]
+
+
+def test_vector_topk_takes_any_number_of_queries(spark):
+    queries = spark.range(1100).select(F.col("id").alias("query_id"), F.array((F.col("id") % 7 - 3).cast("double"), F.lit(1.0)).alias("q"))
+    items = spark.range(12).select(F.col("id").alias("item_id"), F.array((F.col("id") - 6).cast("double"), F.lit(1.0)).alias("v"))
+    got = {(r.query_id, r["rank"]): r.item_id for r in corpus.vector_topk(queries, items, 2).collect()}
+
+    def best(i):
+        a = (i % 7 - 3, 1)
+        cosine = lambda j: (a[0] * (j - 6) + 1) / ((a[0] ** 2 + 1) ** 0.5 * ((j - 6) ** 2 + 1) ** 0.5)
+        return sorted(range(12), key=lambda j: (-round(cosine(j), 12), j))[:2]
+
+    assert got == {(i, r + 1): j for i in range(1100) for r, j in enumerate(best(i))}
