@@ -95,8 +95,9 @@ def token_sort(text) -> F.col:
 def fuzzy_faq(questions: DataFrame, faq: DataFrame, priority: dict[str, str], threshold: int = 80, blocked: Sequence[str] = (), most_faq: int = 10_000) -> DataFrame:
     """(query_id, question, score): a priority keyword wins with 100; else the most similar FAQ question from the threshold on.
 
-    Similarity: 100 * (1 - edit distance / longer length) of the sorted tokens. Only questions that
-    share a token are compared. The FAQ is a short list (at most `most_faq` rows, else an error).
+    Similarity: 100 * (1 - edit distance / longer length) of the sorted tokens. A question is compared
+    with the whole FAQ, save entries whose length alone keeps them below the threshold. Without a token
+    there is no match. The FAQ is a short list (at most `most_faq` rows, else an error).
     """
     listed = faq.select("question").where(~F.col("question").isin(list(blocked))).distinct().limit(most_faq + 1).collect()
     if len(listed) > most_faq:
@@ -107,10 +108,11 @@ def fuzzy_faq(questions: DataFrame, faq: DataFrame, priority: dict[str, str], th
     for word, question in reversed(priority.items()):
         hit = F.when(F.lower("text").contains(word.lower()), question).otherwise(hit)
     first = q.withColumn("p", hit)
-    pairs = first.where("p is null").select("query_id", "qs", F.explode(F.array_distinct(F.split("qs", " "))).alias("token")).where("token <> ''")
-    f = F.broadcast(known.select("question", "fs", F.explode(F.array_distinct(F.split("fs", " "))).alias("token")))
-    met = pairs.join(f, "token").select("query_id", "qs", "question", "fs").distinct()
+    pairs = first.where("p is null and qs <> ''").select("query_id", "qs")
     longest = F.greatest(F.length("qs"), F.length("fs"))
+    # An edit distance is at least the difference in length; scores are rounded, so half a point counts as one.
+    near = F.abs(F.length("qs") - F.length("fs")) * 100 <= longest * (100.5 - threshold)
+    met = pairs.join(F.broadcast(known.where("fs <> ''")), near)
     score = F.round(100 * (1 - F.levenshtein("qs", "fs") / longest)).cast("int")
     best = met.withColumn("score", score).where(F.col("score") >= threshold).groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "question")).alias("b"))
     return first.where("p is not null").select("query_id", F.col("p").alias("question"), F.lit(100).alias("score")).unionByName(best.select("query_id", F.col("b.question").alias("question"), (-F.col("b.s")).alias("score")))
