@@ -26,10 +26,13 @@ def remainder(doc_id: str | Column, modulus: int) -> Column:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one in a temporary folder only where none is set (tests on one machine)."""
+    """The session's checkpoint folder. Where none is set, a temporary one, and that on a local master only."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -47,7 +50,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package where their Python path does not have it already."""
+    """Give executors this package where their Python path does not have it already; Spark serves the archive to them."""
     root = str(PACKAGE.parent)
     known = [os.path.realpath(p) for p in (*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()) if p]
     if os.path.realpath(root) in known or getattr(spark.sparkContext, "_groundwork_shipped", False):
@@ -78,3 +81,30 @@ def bounded_sample(df: DataFrame, most: int, key: str = "doc_id", seed: int = 17
     share = int(most / n * 2**32)
     bucket = F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND(F.lit(2**32 - 1))
     return df.where(bucket < share)
+
+
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> dict[str, str]:
+    """New names for columns of `df` that an operator would replace; Spark tells no upper from lower case."""
+    return {c: f"__own_{c}" for c in df.columns if c.lower() in names}
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, most: dict[int, int], longest: int) -> tuple[DataFrame, dict[int, int]]:
+    """(raw, label): about most[k] texts with label k, and how many ids have each label.
+
+    Labels other than the keys of `most` don't count, nor do null ids, ids whose labels contradict each
+    other, ids without a document, null texts and texts of more than `longest` bytes. An id counts once,
+    with the text of the smallest digest; equal texts count once, with the largest label. Ids are sampled
+    by their hash, so their number, and with `longest` their bytes, are bounded and may be broadcast.
+    """
+    ids = labels.where(F.col(label).isin(*most) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("label"), F.max(label).alias("__other")).where("label = __other").select(key, F.col("label").cast("int").alias("label"))
+    counts = {r[0]: r[1] for r in ids.groupBy("label").count().collect()}
+    bucket = F.xxhash64(F.col(key), F.lit(29)).bitwiseAND(F.lit(2**32 - 1))
+    keep = F.lit(False)
+    for k, n in most.items():
+        share = min(1.0, n / counts[k]) if counts.get(k) else 0.0
+        keep = keep | ((F.col("label") == k) & (bucket < int(share * 2**32)))
+    fair = docs.where(F.col(text).isNotNull() & (F.octet_length(text) <= longest)).select(F.col(key), F.encode(F.col(text), "utf-8").alias("raw"))
+    found = fair.join(F.broadcast(ids.where(keep)), key)
+    once = found.groupBy(key).agg(F.min(F.struct(F.md5("raw").alias("digest"), "raw")).alias("t"), F.max("label").alias("label"))
+    texts = once.groupBy("t.digest").agg(F.max("label").alias("label"), F.min("t.raw").alias("raw"))
+    return checkpointed(texts.select("raw", "label")), counts

@@ -1,12 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries of equal size are trained, one on toxic and one on ordinary text. Both hold
-the most frequent words of ordinary text. The toxic one adds the segments (of words with their edges)
-that mark toxic training texts; the ordinary one adds the pieces of those segments that ordinary text
-is full of, so that chance likeness costs the same in both. A text is cut into windows; the difference
-of a window's compressed lengths says which kind it is nearer to. A logistic model over the
-differences of all windows, and its threshold, are calibrated on labelled texts that neither
-dictionary has seen.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text, in equal size. Most of
+what toxic texts say is ordinary, and a dictionary of a few kilobytes trained on them whole spends
+itself on that. So each is trained on the stretches of its texts whose byte grams are commoner in
+texts of its own kind, behind a base that both share and that is trained on whole ordinary text. A text
+is cut into windows; the difference of a window's compressed lengths says which kind it is nearer to. A
+logistic model over the differences of all windows, and its threshold, are calibrated on labelled texts
+that neither dictionary has seen.
 """
 
 from __future__ import annotations
@@ -17,16 +17,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundwork.llm.common import checkpointed, ship, slices
+from groundwork.llm.common import labelled_texts, set_aside, ship, slices
 
 JUNK = re.compile(rb"[\s!-/:-@\[-`{-~]+")
-SEGMENTS = (5, 6, 7, 8, 10)
-LEVEL, WINDOW, BASE = 12, 64, 16384
+GRAM = 5
+# A gram marks toxic text where its share of toxic texts is 10 times that of ordinary ones, and ordinary text at 1.5 times.
+TOXIC_RATIO, ORDINARY_RATIO = 10.0, 1.5
+LEVEL, WINDOW, SAMPLE = 12, 64, 256
+BASE, OWN, SEGMENT = 32768, 4096, 24
+FLUSH = 1_000_000
 FEATURES = 7
 
 
@@ -49,19 +54,6 @@ def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
         at = end - 1 if text[end - 1 : end] == b" " else end
 
 
-def segments(text: bytes) -> set[bytes]:
-    """Segments of the words of a plain text, word edges included, cut between characters."""
-    found: set[str] = set()
-    for word in {w for w in text.decode().split() if 4 <= len(w) <= 40}:
-        edged = f" {word} "
-        n = len(edged)
-        for size in SEGMENTS:
-            found.update(edged[i : i + size] for i in range(n - size + 1))
-        if n <= 18:
-            found.add(edged)
-    return {s.encode() for s in found}
-
-
 def compressor(content: bytes, level: int = LEVEL) -> zstandard.ZstdCompressor:
     kept = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     params = zstandard.ZstdCompressionParameters.from_level(level, source_size=2 * WINDOW, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0, min_match=5)
@@ -108,140 +100,144 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def sampled_labels(labels: DataFrame, label: str, key: str, most: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
-    """About most[k] labelled ids of each class, by the ids' hash, and the counts of all."""
-    counts = {r[0]: r[1] for r in labels.where(F.col(label).isin(*most)).groupBy(label).count().collect()}
-    bucket = F.xxhash64(F.col(key), F.lit(29)).bitwiseAND(F.lit(2**32 - 1))
-    keep = F.lit(False)
-    for k, n in most.items():
-        share = min(1.0, n / counts[k]) if counts.get(k) else 0.0
-        keep = keep | ((F.col(label) == k) & (bucket < int(share * 2**32)))
-    return labels.where(keep).select(key, F.col(label).alias("__label")).dropDuplicates([key]), counts
+def stretches(text: bytes, grams: set[bytes] | frozenset[bytes]) -> list[bytes]:
+    """Parts of a plain text that are covered by these grams, four to a sample."""
+    out, start, end = [], 0, -1
+    for i in range(len(text) - GRAM + 1):
+        if text[i : i + GRAM] in grams:
+            if i > end:
+                if end > 0:
+                    out.append(text[start:end])
+                start = i
+            end = i + GRAM
+    if end > 0:
+        out.append(text[start:end])
+    return [b"".join(out[i : i + 4]) for i in range(0, len(out), 4)]
 
 
-def count_keys(df: DataFrame, make, keep_label: bool = True) -> DataFrame:
-    """(key, toxic count, ordinary count) of what make(text) yields, counted by task first."""
+def gram_counts(train: DataFrame) -> DataFrame:
+    """(key, a, b): in how many toxic and ordinary texts each byte gram is, counted by task first."""
 
     def work(batches):
         seen = Counter(), Counter()
+
+        def out():
+            keys = list(seen[0].keys() | seen[1].keys())
+            for i in range(0, len(keys), 50_000):
+                part = keys[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), *(pa.array([seen[k][g] for g in part], pa.int64()) for k in (1, 0))], ["key", "a", "b"])
+
         for batch in slices(batches, 256):
-            for raw, label in zip(batch.column("__raw").to_pylist(), batch.column("__label").to_pylist(), strict=True):
-                seen[1 if label else 0].update(make(raw))
-        keys = list(seen[0].keys() | seen[1].keys())
-        for i in range(0, len(keys), 50_000):
-            part = keys[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([seen[1][k] for k in part], pa.int64()), pa.array([seen[0][k] for k in part], pa.int64())], ["key", "a", "b"])
-
-    return df.mapInArrow(work, "key binary, a long, b long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-
-
-def choose_segments(members: list[set[int]], pool: list[tuple[bytes, int, int]], n1: int, n0: int, most: int) -> list[bytes]:
-    """Greedy cover of toxic texts: each next segment reaches most of what is little covered, chance hits deducted."""
-    hit = np.zeros((len(pool), n1), dtype=np.float32)
-    for j, m in enumerate(members):
-        hit[list(m), j] = 1
-    chance = np.array([b / max(1, n0) for _, _, b in pool]) * n1 * 20
-    longer = 1 + 0.02 * np.array([len(s) for s, _, _ in pool])
-    cover, chosen = np.zeros(n1, dtype=np.float32), []
-    open_ = np.ones(len(pool), dtype=bool)
-    while open_.any() and len(chosen) < most:
-        gain = np.where(open_, hit @ (0.7**cover) - chance, -1.0)
-        i = int(np.argmax(gain * longer))
-        if gain[i] < max(2, 0.01 * n1):
-            break
-        chosen.append(pool[i][0])
-        cover += hit[i]
-        # What shares four bytes or more of the word with a chosen segment tells nothing new.
-        core = pool[i][0].strip()
-        pieces = {core[k : k + 4] for k in range(max(1, len(core) - 3))}
-        open_ &= np.array([not any(p in s for p in pieces) for s, _, _ in pool])
-    return chosen
+            for raw, label in zip(batch.column("raw").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                text = plain(raw)
+                seen[label].update({text[i : i + GRAM] for i in range(len(text) - GRAM + 1)})
+                if len(seen[0]) + len(seen[1]) > FLUSH:
+                    yield from out()
+                    seen = Counter(), Counter()
+        yield from out()
+
+    return train.mapInArrow(work, "key binary, a long, b long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 def least_texts(n1: int, n0: int) -> int:
-    """How many toxic texts a segment must be in, and no ordinary one, to be no chance find: odds of 1 in 10,000."""
+    """How many toxic texts a gram must be in, and no ordinary one, to be no chance find: odds of 1 in 10,000."""
     return max(3, int(np.ceil(np.log(1e-4) / np.log(n1 / (n1 + n0)))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", most_toxic: int = 1500, most_ordinary: int = 3000, most_segments: int = 96) -> Model:
-    """Train on about `most_toxic` and `most_ordinary` labelled texts, the bound on what fitting sees.
+def marking_grams(train: DataFrame, n1: int, n0: int) -> tuple[frozenset[bytes], frozenset[bytes]]:
+    """Grams that mark toxic and ordinary training texts; no more of them than the bounded sample holds."""
+    p1, p0 = (F.col("a") + 0.5) / (n1 + 1), (F.col("b") + 0.5) / (n0 + 1)
+    toxic = (F.col("a") >= least_texts(n1, n0)) & (p1 > TOXIC_RATIO * p0)
+    ordinary = (F.col("b") >= 3) & (p0 > ORDINARY_RATIO * p1)
+    rows = gram_counts(train).where(toxic | ordinary).select("key", toxic.alias("t")).collect()
+    return frozenset(bytes(r[0]) for r in rows if r[1]), frozenset(bytes(r[0]) for r in rows if not r[1])
+
 
-    Only labels equal to 0 or 1 count; other rows of `labels`, ids without a document and null texts
-    are left out, and repeated ids and equal texts count once. Two thirds train the dictionaries, one
-    third calibrates. With no toxic or no ordinary text at all the model is a constant, the smoothed
-    share of toxic labels. Ids that the sample keeps are broadcast: their number is bounded.
+def gathered(samples: DataFrame, most_bytes: int) -> list[bytes]:
+    """Samples (column s) in an order of their own hash; about `most_bytes` of them, if there are more."""
+    total = samples.agg(F.sum(F.octet_length("s"))).first()[0] or 0
+    if total > most_bytes:
+        samples = samples.where(F.xxhash64("s", F.lit(31)).bitwiseAND(F.lit(2**32 - 1)) < int(most_bytes / total * 2**32))
+    return sorted((bytes(r[0]) for r in samples.collect()), key=lambda s: (xxhash.xxh64_intdigest(s), s))
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary trained by zstandard; empty where the samples are too few to train on."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def train_dictionaries(train: DataFrame, n1: int, n0: int, most_bytes: int) -> Dictionaries | None:
+    """Dictionaries from (raw, label), of equal size; None where too little text marks toxic text.
+
+    What the driver gathers to train on are three times at most about `most_bytes`.
+    """
+    grams = dict(zip((1, 0), marking_grams(train, n1, n0), strict=True))
+    shared = train.sparkSession.sparkContext.broadcast(grams)
+
+    def cut(batches, whole: bool):
+        for batch in slices(batches, 64):
+            for raw, label in zip(batch.column("raw").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                text = plain(raw)
+                parts = windows(text, SAMPLE) if whole else stretches(text, shared.value[label])
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["s"])
+
+    def samples(label: int, whole: bool) -> list[bytes]:
+        return gathered(train.where(F.col("label") == label).mapInArrow(lambda batches: cut(batches, whole), "s binary"), most_bytes)
+
+    toxic = trained(samples(1, False), OWN)
+    if not toxic:
+        return None
+    plain_windows = samples(0, True)
+    base = trained(plain_windows, BASE)
+    ordinary = trained(samples(0, False), max(256, len(toxic))) or trained(plain_windows, max(256, len(toxic)))
+    shared.unpersist()
+    # A side that came out shorter gets blanks in front, where a dictionary is dearest to refer to.
+    size = max(len(toxic), len(ordinary))
+    return Dictionaries(base + toxic.rjust(size), base + ordinary.rjust(size))
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", most_toxic: int = 1500, most_ordinary: int = 3000, longest: int = 1 << 20, most_bytes: int = 8 << 20) -> Model:
+    """Train on about `most_toxic` and `most_ordinary` labelled texts of at most `longest` bytes, the bound on what fitting sees.
+
+    Which labels and texts count is as in `common.labelled_texts`. Two thirds train the dictionaries, one
+    third calibrates. The model is a constant, the smoothed share of toxic labels, where there is no toxic or
+    no ordinary text, where too few toxic texts share anything that ordinary ones lack, or where no cut
+    through the calibration texts is better than calling all of them toxic.
     """
     ship(docs.sparkSession)
-    ids, counts = sampled_labels(labels, label, key, {1: most_toxic, 0: most_ordinary})
+    sample, counts = labelled_texts(docs, labels, text, key, label, {1: most_toxic, 0: most_ordinary}, longest)
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
     constant = Model(None, np.zeros(1), np.ones(1), np.zeros(1), float(np.log(share / (1 - share))))
-    raw = F.encode(F.col(text), "utf-8")
-    found = docs.where(F.col(text).isNotNull()).select(key, raw.alias("__raw")).join(F.broadcast(ids), key)
-    sample = found.select("__raw", "__label", (F.xxhash64("__raw").bitwiseAND(F.lit(0xFFFF)) % 3 == 0).alias("__hold"))
-    sample = checkpointed(sample.dropDuplicates(["__raw"]))
-    sizes = {(bool(r[0]), r[1]): r[2] for r in sample.groupBy("__hold", "__label").count().collect()}
+    sample = sample.withColumn("hold", F.xxhash64("raw").bitwiseAND(F.lit(0xFFFF)) % 3 == 0)
+    sizes = {(bool(r[0]), r[1]): r[2] for r in sample.groupBy("hold", "label").count().collect()}
     n1, n0 = sizes.get((False, 1), 0), sizes.get((False, 0), 0)
-    if not n1 or not n0:
+    dictionaries = train_dictionaries(sample.where(~F.col("hold")), n1, n0, most_bytes) if n1 and n0 else None
+    if dictionaries is None:
         return constant
-    train = sample.where(~F.col("__hold"))
-    shares = count_keys(train, lambda r: segments(plain(r)))
-    p1, p0 = (F.col("a") + 0.5) / (n1 + 1), (F.col("b") + 0.5) / (n0 + 1)
-    marked = shares.where((F.col("a") >= least_texts(n1, n0)) & (p1 > 20 * p0))
-    strength = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt((F.col("a") + F.col("b") + 1) / (n1 + n0)) * F.sqrt(F.length("key"))
-    pool = [(bytes(r[0]), r[1], r[2]) for r in marked.orderBy(strength.desc(), "key").limit(4000).collect()]
-    at = {s: i for i, (s, _, _) in enumerate(pool)}
-
-    def membership(batches):
-        for batch in slices(batches, 256):
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(at[s] for s in segments(plain(r)) if s in at) for r in batch.column("__raw").to_pylist()], pa.list_(pa.int64()))], ["m"])
-
-    members = [set(r[0]) for r in train.where("__label = 1").select("__raw").mapInArrow(membership, "m array<long>").collect()] if pool else []
-    chosen = choose_segments(members, pool, n1, n0, most_segments) if pool else []
-    common = [bytes(r[0]) for r in count_keys(train.where("__label = 0"), lambda r: plain(r).split()).orderBy(F.desc("b"), "key").limit(4000).collect()]
-    dictionaries = contents(chosen, common, likeness(train, chosen, n0))
 
     def measured(batches):
         kept: dict = {}
         for batch in slices(batches, 256):
-            rows = [features(dictionaries.differences(r, kept)).tolist() for r in batch.column("__raw").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("__label").cast(pa.int64())], ["x", "y"])
+            rows = [features(dictionaries.differences(r, kept)).tolist() for r in batch.column("raw").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("label").cast(pa.int64())], ["x", "y"])
 
-    seen = sample.where("__hold").mapInArrow(measured, "x array<double>, y long").collect()
+    seen = sample.where("hold").mapInArrow(measured, "x array<double>, y long").collect()
     if len({r[1] for r in seen}) < 2:  # too few to hold any out: the texts that trained the dictionaries
         seen = sample.mapInArrow(measured, "x array<double>, y long").collect()
+    seen.sort()
     x, y = np.array([r[0] for r in seen]), np.array([r[1] for r in seen], dtype=float)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return calibrated(dictionaries, x, y, weight)
+    return calibrated(dictionaries, x, y, weight) or constant
 
 
-def likeness(train: DataFrame, chosen: list[bytes], n0: int) -> list[bytes]:
-    """Longest pieces of the chosen segments that ordinary text is full of, the rarest first."""
-    pieces = {s[i : i + n] for s in chosen for n in range(4, len(s)) for i in range(len(s) - n + 1)}
-    if not pieces:
-        return []
+def calibrated(dictionaries: Dictionaries, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model | None:
+    """Weighted logistic regression by Newton steps with a ridge; the bias then puts the best F1 at one half.
 
-    def made(raw: bytes):
-        text = plain(raw)
-        return {p: n for p in pieces if (n := text.count(p))}
-
-    counts = {bytes(r[0]): r[1] for r in count_keys(train.where("__label = 0"), made).select("key", "b").collect()}
-    often = [p for p, n in counts.items() if n >= max(2, 0.002 * n0)]
-    widest = [p for p in often if not any(p != q and p in q for q in often)]
-    return sorted(widest, key=lambda p: (counts[p], p))
-
-
-def contents(chosen: list[bytes], common: list[bytes], like: list[bytes]) -> Dictionaries:
-    """Equal bases, then each side's own segments; the shorter side is filled with further ordinary words."""
-    base = b" " + b" ".join(common[::-1])[-BASE:] + b" "
-    toxic, ordinary = b"".join(chosen[::-1]), b"".join(like)
-    fill = b" ".join(common[2000:]) or b" "
-    fill = fill * (1 + max(len(toxic), len(ordinary)) // len(fill))
-    size = max(len(toxic), len(ordinary))
-    return Dictionaries(base + fill[: size - len(toxic)] + toxic, base + fill[: size - len(ordinary)] + ordinary)
-
-
-def calibrated(dictionaries: Dictionaries, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model:
-    """Weighted logistic regression by Newton steps with a ridge; the bias then puts the best F1 at one half."""
+    Rows of equal score fall on one side of the cut. None where no cut beats calling every row toxic.
+    """
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
@@ -258,15 +254,19 @@ def calibrated(dictionaries: Dictionaries, x: np.ndarray, y: np.ndarray, weight:
     f1 = 2 * hits / (hits + alarms + (weight * y).sum())
     last = np.append(np.diff(s[order]) != 0, True)  # equal scores fall on one side
     k = int(np.argmax(np.where(last, f1, -1)))
-    cut = (s[order][k] + s[order][k + 1]) / 2 if k + 1 < len(s) else s[order][k]
+    if k + 1 == len(s) or f1[k] <= f1[-1]:
+        return None
+    cut = (s[order][k] + s[order][k + 1]) / 2
     return Model(dictionaries, mean, scale, w[:-1], float(w[-1] - cut))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add score (0 to 1, higher: nearer to toxic text) and predicted (1 from 0.5 on) to every row.
 
-    Whole texts count, window by window. A null text counts as empty; an empty one is one blank window.
-    Equal texts get equal scores. Columns of those two names are replaced, others pass through.
+    Whole texts count, window by window; a very long one takes memory in proportion to itself. A null
+    text counts as empty; an empty one is one blank window. Equal texts get equal scores, repeated rows
+    stay, an empty table gives an empty result. Columns of those two names, in any case, are replaced,
+    others pass through.
     """
     ship(docs.sparkSession)
     base = docs.drop("score", "predicted")
@@ -283,7 +283,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Rows of `docs` that aren't predicted toxic, with their own columns only."""
-    scored = score_toxicity(docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c in ("score", "predicted")}), model, text)
-    kept = scored.where("predicted = 0")
-    return kept.select(*[F.col(f"__own_{c}" if c in ("score", "predicted") else c).alias(c) for c in docs.columns])
+    """Rows of `docs` that aren't predicted toxic, with their own columns and values only, whatever their names."""
+    names = set_aside(docs, ("score", "predicted"))
+    kept = score_toxicity(docs.withColumnsRenamed(names), model, text).where("predicted = 0")
+    return kept.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])

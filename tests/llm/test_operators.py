@@ -20,6 +20,7 @@ from tests.compare import same
 
 LONG = "lorem ipsum dolor " * 20_000
 A = "abcdefghijklmnopqrstuvwxyz"
+SF01 = "/root/testdata/sf0.01"
 
 
 def rows(df):
@@ -242,6 +243,81 @@ def test_toxicity_finds_planted_words(spark):
     assert sum(x["predicted"] == x["toxic"] for x in got) >= 0.97 * len(got)
 
 
+@pytest.mark.parametrize("toxic", [0, 1, 5, 11])
+def test_few_toxic_texts_leave_clean_ones_alone(spark, toxic):
+    rng = random.Random(toxic)
+    words = [a + b + c for a in "bdfgklm" for b in "aeiou" for c in "nrst"]
+    d = spark.createDataFrame([(i, " ".join(rng.choices(words, k=80)), int(i < toxic)) for i in range(90)], "doc_id bigint, text string, toxic int")
+    got = rows(toxicity.score_toxicity(d, toxicity.fit(d, d)))
+    assert len({x["score"] for x in got}) == 1 and not any(x["predicted"] for x in got)
+    assert toxicity.drop_toxic(d, toxicity.fit(d, d)).count() == 90
+
+
+def test_toxicity_cut_needs_something_to_cut():
+    y = np.array([1.0] * 4 + [0.0] * 20)
+    assert toxicity.calibrated(None, np.zeros((24, toxicity.FEATURES)), y, np.ones(24)) is None
+    x = np.zeros((24, toxicity.FEATURES))
+    x[:6] = 5  # ties across the classes: six rows above the cut, or none
+    m = toxicity.calibrated(None, x, y, np.ones(24))
+    s = ((x - m.mean) / m.scale) @ m.weights + m.bias
+    assert (s[:6] > 0).all() and (s[6:] < 0).all()
+
+
+def test_toxicity_held_out_on_the_given_tables(spark):
+    labels = spark.read.parquet(f"{SF01}/labels.parquet")
+    got = rows(Q.op8_toxicity(spark, SF01).join(labels, "doc_id").where("held_out and toxic is not null"))
+    assert sum(x["predicted"] for x in got if x["toxic"]) >= 4
+    clean = [x for x in got if not x["toxic"]]
+    assert sum(x["predicted"] for x in clean) <= 0.03 * len(clean)
+
+
+def test_toxicity_scores_are_logistic_in_window_lengths(spark):
+    """The whole way from a text to its score again, by zstandard alone."""
+    import zstandard
+
+    rng = random.Random(8)
+    plain = lambda: " ".join(rng.choice(["river", "stone", "bridge", "evening", "under", "slowly"]) for _ in range(40))
+    data = [(i, plain() + (" you zorgface blunkhead " if i % 4 == 0 else " and so on ") + plain(), int(i % 4 == 0)) for i in range(300)]
+    d = spark.createDataFrame(data, "doc_id bigint, text string, toxic int")
+    m = toxicity.fit(d, d)
+    assert len(m.dictionaries.toxic) == len(m.dictionaries.ordinary)
+    assert m.dictionaries.toxic.count(b"zorgface") > m.dictionaries.ordinary.count(b"zorgface") == 0
+
+    def lengths(content, parts):
+        kind = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        params = zstandard.ZstdCompressionParameters.from_level(12, source_size=128, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0, min_match=5)
+        kind.precompute_compress(compression_params=params)
+        return [len(zstandard.ZstdCompressor(compression_params=params, dict_data=kind).compress(p)) for p in parts]
+
+    got = {x["doc_id"]: x["score"] for x in rows(toxicity.score_toxicity(d.limit(12), m))}
+    for i, score in got.items():
+        words, parts, at = f" {data[i][1]} ".encode(), [], 0
+        while True:
+            end = min(len(words), at + 64)
+            if end < len(words):
+                end = words.rindex(b" ", 0, end) + 1
+            parts.append(words[at:end])
+            if end == len(words):
+                break
+            at = end - 1
+        diff = np.array(lengths(m.dictionaries.ordinary, parts)) - np.array(lengths(m.dictionaries.toxic, parts))
+        top = sorted(diff)[-3:]
+        x = [min(max(diff), 12), min(sum(top), 30), np.mean(diff), *(math.log1p(sum(v >= k for v in diff)) for k in (2, 3)), *(sum(v >= k for v in diff) / len(diff) for k in (2, 3))]
+        z = sum((v - a) / b * w for v, a, b, w in zip(x, m.mean, m.scale, m.weights)) + m.bias
+        assert score == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_labelled_texts(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c"), (3, "c"), (4, None), (5, "long" * 9), (None, "x"), (6, "both"), (7, "no label")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (4, 1), (5, 1), (None, 1), (6, 0), (6, 1), (7, None), (7, 2), (8, 0)], "doc_id bigint, bad int")
+    from groundwork.llm.common import labelled_texts
+
+    found, counts = labelled_texts(docs, labels, "text", "doc_id", "bad", {1: 100, 0: 100}, 20)
+    first = min("ab", key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert sorted((bytes(r.raw).decode(), r.label) for r in found.collect()) == sorted([(first, 1), ("c", 1)])
+    assert counts == {0: 2, 1: 4}
+
+
 def test_windows_cover_the_text():
     for raw in (b"", b"a", b"word " * 50, b"x" * 500, LONG[:5000].encode()):
         w = toxicity.windows(toxicity.plain(raw))
