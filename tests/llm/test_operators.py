@@ -49,14 +49,78 @@ def labels(spark, odd):
 # --- language ---------------------------------------------------------------
 
 
+def lang_table(entries, size):
+    names = list(entries)
+    h = langid.word_hashes(names) if size == 0 else np.concatenate([_bare_gram(g) for g in names] or [np.empty(0, np.uint64)])
+    order = np.argsort(h)
+    return langid.Table(h[order], np.array([entries[names[i]] for i in order], np.float32).reshape(len(names), 2))
+
+
+def _bare_gram(gram):
+    """Hash of one gram, taken from a word that holds it."""
+    word = gram.strip()
+    h, _ = langid.gram_hashes([word], len(gram))
+    edged = f" {word} "
+    return h[edged.index(gram) : edged.index(gram) + 1]
+
+
 def test_langid_backs_off_from_words_to_shorter_grams():
-    v = lambda a, b: np.array([a, b], np.float32)
-    m = langid.Model(["de", "en"], {"the": v(-9, -1)}, {3: {" un": v(-1, -5)}, 2: {" u": v(-4, -2), "zz": v(-1, -3)}, 1: {"q": v(-2, -1)}})
-    assert m.word_scores("the").tolist() == [-9, -1]
-    assert m.word_scores("un").tolist() == [-1, -5]
-    assert m.word_scores("uzz").tolist() == [-2.5, -2.5]
-    assert m.word_scores("q").tolist() == [-2, -1]
-    assert m.predict("the the")[0] == "en" and m.predict("123 ½ __")[0] == "und"
+    grams = {3: {" un": (-1, -5)}, 2: {" u": (-4, -2), "zz": (-1, -3)}, 1: {"q": (-2, -1)}, 4: {}}
+    m = langid.Model(["de", "en"], lang_table({"the": (-9, -1)}, 0), {n: lang_table(g, n) for n, g in grams.items()})
+    assert m.word_scores(["the", "un", "uzz", "q", "x"]).tolist() == [[-9, -1], [-1, -5], [-2.5, -2.5], [-2, -1], [0, 0]]
+    assert m.predict(["the the"])[0][0] == "en" and m.predict(["123 ½ __"])[0][0] == "und"
+
+
+def brute_langid(train, texts, sizes=(4, 3, 2, 1)):
+    """The model by its definition, with words and grams as strings and no hashes, arrays or caches."""
+    langs = sorted({x for _, x in train})
+    counts = {n: {x: Counter() for x in langs} for n in (0, *sizes)}
+    pieces = lambda w, n: [w] if n == 0 else [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+    for t, x in train:
+        for w in langid.words_of(t):
+            for n in (0, *sizes):
+                counts[n][x].update(pieces(w, n))
+    logs = {}
+    for n, by in counts.items():
+        known = {g for c in by.values() for g in c if n or sum(d[g] for d in by.values()) >= 2}
+        logs[n] = {g: [math.log((by[x][g] + 0.5) / (sum(by[x].values()) + 0.5 * (len(known) + 1))) for x in langs] for g in known}
+
+    def word(w):
+        for n in (0, *sizes):
+            known = [logs[n][g] for g in pieces(w, n) if g in logs[n]]
+            if known:
+                return [sum(v) / len(known) for v in zip(*known)]
+        return [0.0] * len(langs)
+
+    out = []
+    for t in texts:
+        words = langid.words_of(t)
+        if not words:
+            out.append(("und", 0.0))
+            continue
+        z = [sum(v) / math.sqrt(len(words)) for v in zip(*map(word, words))]
+        share = [math.exp(v - max(z)) for v in z]
+        k = max(range(len(langs)), key=lambda i: (share[i], -i))
+        out.append((langs[k], share[k] / sum(share)))
+    return out
+
+
+def test_langid_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CACHE_WORDS", 50)
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    train, asked = docs[:60], [*docs[60:110], (-1, "", None), (-2, "straße ½ 日本語 ñ", None), (-3, "--", None), (-4, LONG, None)]
+    schema = "doc_id bigint, text string, lang string"
+    m = langid.fit(spark.createDataFrame(train, schema))
+    got = {x["doc_id"]: x for x in rows(langid.identify(spark.createDataFrame(asked, schema), m))}
+    for (i, t, _), (lang, score) in zip(asked, brute_langid([(t, x) for _, t, x in train if t is not None and x is not None], [t or "" for _, t, _ in asked])):
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, abs=1e-4)
+
+
+def test_langid_learns_rare_languages_whole(spark):
+    d = spark.createDataFrame([(i, f"alpha beta {i}", "a") for i in range(400)] + [(1000 + i, "gamma delta", "z") for i in range(3)], "doc_id bigint, text string, lang string")
+    assert langid.learning_sample(d, "text", "lang", "doc_id", 20, 1 << 20).where("l = 'z'").count() == 3
+    assert 5 < langid.learning_sample(d, "text", "lang", "doc_id", 20, 1 << 20).where("l = 'a'").count() < 50
+    assert langid.fit(d, most_each=20).predict(["gamma"])[0][0] == "z"
 
 
 def test_langid_held_out(spark, sf_dir):
