@@ -6,20 +6,19 @@ positions. Two signatures agree in a position with the probability Jaccard simil
 rate of the process is a shingle's weight, and all weigh alike however often they occur, so that what
 signatures estimate is the Jaccard similarity that links are tested for. Texts that agree in a whole
 band are candidates, and a link is a pair whose shingle sets have a Jaccard similarity of at least the
-threshold, counted exactly. Classes are connected components of links.
+threshold, counted on 64-bit hashes of the shingles. Classes are connected components of links.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundwork.llm.common import checkpointed, ship, slices
-from groundwork.llm.decontam import words_of
+from groundwork.llm.decontam import FOLD
 
 BANDS, ROWS = 25, 5
 POSITIONS = 512
@@ -27,7 +26,6 @@ SKETCH = POSITIONS // 16  # longs of sixteen 4-bit values
 # Agreeing 4-bit values that a pair at 0.8 falls short of with a chance of about 3 in 100,000 (four standard
 # deviations), as often as it shares no band.
 AGREE = 381
-WORDS_KEPT = 300_000
 STAR_ROUNDS = 2
 SMALL, BLOCK = 64, 512
 U = np.uint64
@@ -43,17 +41,58 @@ def mix(x: np.ndarray) -> np.ndarray:
 FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | U(1)
 
 
-def shingles(raw: bytes, width: int, kept: dict[bytes, int]) -> np.ndarray:
-    """Distinct shingle hashes; a text of fewer words, but not none, is one shingle."""
-    words = words_of(raw)
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(kept) > WORDS_KEPT:
-        kept.clear()
-    for w in set(words):
-        if w not in kept:
-            kept[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
+def hashed_words(folded: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of folded bytes (decontam.FOLD), and where each begins."""
+    code = np.frombuffer(folded, np.uint8)
+    inside = code != 32
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    at, first = np.flatnonzero(inside), np.flatnonzero(begins)
+    if not len(first):
+        return np.empty(0, np.uint64), first
+    place = at - np.repeat(first, np.diff(np.append(np.flatnonzero(begins[at]), len(at))))
+    letters = mix((place.astype(np.uint64) << U(8)) + code[at] + U(1))
+    return mix(np.add.reduceat(letters, np.flatnonzero(begins[at]))), first
+
+
+def word_hashes(texts: list[bytes], piece: int = 1 << 18) -> list[np.ndarray]:
+    """Word hashes of each text. Short texts are hashed many at a time, long ones in pieces of about `piece` bytes."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+
+    def flush():
+        if held:
+            h, first = hashed_words(b" ".join(held))
+            ends = np.cumsum([len(t) + 1 for t in held])
+            out.extend(np.split(h, np.searchsorted(first, ends[:-1])))
+            held.clear()
+
+    size = 0
+    for raw in texts:
+        folded = raw.translate(FOLD)
+        if len(folded) <= piece:
+            if size + len(folded) > piece:
+                flush()
+                size = 0
+            held.append(folded)
+            size += len(folded)
+            continue
+        flush()
+        size, at, parts = 0, 0, []
+        while at < len(folded):
+            end = folded.find(b" ", at + piece)  # never inside a word
+            end = len(folded) if end < 0 else end
+            parts.append(hashed_words(folded[at:end])[0])
+            at = end
+        out.append(np.concatenate(parts))
+    flush()
+    return out
+
+
+def shingles(h: np.ndarray, width: int) -> np.ndarray:
+    """Distinct shingle hashes of a text's word hashes; a text of fewer words, but not none, is one shingle."""
+    if not len(h):
+        return h
     size = min(width, len(h))
     n = len(h) - size + 1
     total = np.full(n, size, np.uint64)
@@ -128,19 +167,15 @@ def distinct_texts(docs: DataFrame, text: str, key: str, width: int) -> DataFram
     longs = pa.list_(pa.int64())
 
     def work(batches):
-        kept: dict[bytes, int] = {}
         for batch in slices(batches, 1024):
-            seen: dict[bytes, tuple] = {}
-            rows = []
-            for raw in batch.column("t").cast(pa.binary()).to_pylist():
-                if raw not in seen:
-                    e = shingles(raw, width, kept)
-                    if len(e):
-                        won = signature(e, np.ones(len(e)))
-                        seen[raw] = band_keys(won), sketch_of(won)
-                    else:
-                        seen[raw] = (), ()
-                rows.append(seen[raw])
+            raws = batch.column("t").cast(pa.binary()).to_pylist()
+            seen: dict[bytes, tuple] = dict.fromkeys(raws, ((), ()))
+            for raw, h in zip(seen, word_hashes(list(seen)), strict=True):
+                e = shingles(h, width)
+                if len(e):
+                    won = signature(e, np.ones(len(e)))
+                    seen[raw] = band_keys(won), sketch_of(won)
+            rows = [seen[raw] for raw in raws]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("digest"), pa.array([r[0] for r in rows], longs), pa.array([r[1] for r in rows], longs)], ["doc", "digest", "bands", "sketch"])
 
     signed = chosen.mapInArrow(work, schema)
@@ -149,7 +184,7 @@ def distinct_texts(docs: DataFrame, text: str, key: str, width: int) -> DataFram
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, width: int) -> DataFrame:
-    """(node, s): sorted 32-bit shingle hashes of the wanted (node, digest, doc), each text read once.
+    """(node, s): sorted 64-bit shingle hashes of the wanted (node, digest, doc), each text read once.
 
     Joined on digest and key together, so that many copies of one text don't meet in one task.
     """
@@ -157,9 +192,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, width:
     found = chosen.alias("a").join(wanted.alias("b"), (F.col("a.digest") == F.col("b.digest")) & F.col("a.doc").eqNullSafe(F.col("b.doc"))).select("node", "t")
 
     def work(batches):
-        kept: dict[bytes, int] = {}
-        for batch in slices(batches, 1024):
-            sets = [np.unique((shingles(raw, width, kept) >> U(32)).astype(np.uint32)).tobytes() for raw in batch.column("t").cast(pa.binary()).to_pylist()]
+        for batch in slices(batches, 256):
+            sets = [shingles(h, width).tobytes() for h in word_hashes(batch.column("t").cast(pa.binary()).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "s"])
 
     return found.mapInArrow(work, "node long, s binary").dropDuplicates(["node"])
@@ -170,13 +204,13 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb")
 
     def work(batches):
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 256):
             keep, sims = [], []
             raw_a = set_a = None
             for i, (x, y) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)):
                 if x != raw_a:
-                    raw_a, set_a = x, np.frombuffer(x, np.uint32)
-                b = np.frombuffer(y, np.uint32)
+                    raw_a, set_a = x, np.frombuffer(x, np.uint64)
+                b = np.frombuffer(y, np.uint64)
                 small, large = sorted((len(set_a), len(b)))
                 if small < threshold * large:
                     continue
