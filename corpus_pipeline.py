@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a
 DataFrame that is written as Parquet and read again as the next stage's docs. All but the last return
-the columns of `documents`. Models are learned from the stage's own input.
+the columns of `documents`, whatever further columns those have. Models are learned from the stage's
+own input. Null texts, empty and repeated rows and empty tables are handled as the operators say; ties
+are settled by them too. A null or empty text is no toxic one, has no language and so goes in stage two.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the remaining documents in sequences of at most 2048 tokens."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, keep_cache=False)
 
 
 STAGES = [

@@ -127,7 +127,7 @@ class OpenBins:
         return bin_id, self.capacity - free
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str, key: str, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str, key: str, end_id: int = 0, keep_ids: bool = False, keep_cache: bool = True) -> DataFrame:
     """Pieces of every document: key, piece, start, length, ids_crc32, and on wish the ids.
 
     Ids of the whole text, then `end_id`; only a longer document is cut, into pieces of `capacity`
@@ -141,7 +141,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str, k
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def work(batches):
-        cache = word_cache(tokenizer)
+        cache = word_cache(tokenizer) if keep_cache else WordCache(tokenizer)
         for batch in slices(batches, 1024):
             rows, piece, start, length, crc, kept = [], [], [], [], [], []
             for row, body in enumerate(cache.encode([t or "" for t in batch.column("__text").to_pylist()])):
@@ -163,20 +163,27 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str, k
     return chosen.mapInArrow(work, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, open_bins: int = 128, group_pieces: int = 65536, text: str = "text", key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, open_bins: int = 128, group_pieces: int = 65536, text: str = "text", key: str = "doc_id", keep_ids: bool = False, keep_cache: bool = True) -> DataFrame:
     """Pieces with sequence_id and offset, in as few sequences as the method finds.
 
     Pieces are written to the checkpoint folder first, so texts are tokenized once. They are dealt
-    at random (a hash of the piece, not of its key, so repeated keys spread) into groups of about
-    `group_pieces`; each group is packed on its own in the order of that hash, which mixes lengths
-    as bounded-space packing wants. A group leaves at most `open_bins` bins partly filled. Bins are
-    numbered by group, so sequence ids never clash. Offsets of a sequence are gapless from 0. Null
-    and repeated keys are kept; an empty table gives an empty result; other columns are not carried.
+    by a hash of the piece and its place (so repeated keys and rows spread)
+    into groups of about `group_pieces`; each group is packed on its own in the order of that hash,
+    which mixes lengths as bounded-space packing wants. A task that runs again gets the same group in
+    the same order. A group leaves at most `open_bins` bins partly filled. Bins are numbered by group,
+    so sequence ids never clash. Offsets of a sequence are gapless from 0. Null and repeated keys are
+    kept; an empty table gives an empty result; other columns are not carried. The key may not have the
+    name of a result column (piece, start, length, ids_crc32, ids, sequence_id, offset). A very long
+    text takes memory in proportion to itself. `keep_cache` keeps the token ids of words in a Python
+    worker between tasks; without it they go when a task ends.
     """
-    pieces = checkpointed(tokenize_pieces(docs, tokenizer, capacity, text, key, keep_ids=keep_ids))
+    if key.lower() in ("piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"):
+        raise ValueError(f"the key can't be named like a result column: {key}")
+    pieces = checkpointed(tokenize_pieces(docs, tokenizer, capacity, text, key, keep_ids=keep_ids, keep_cache=keep_cache))
     groups = max(1, -(-pieces.count() // group_pieces))
-    mixed = pieces.withColumn("__mix", F.xxhash64(key, "piece", "length", "ids_crc32"))
-    dealt = mixed.repartition(groups).sortWithinPartitions("__mix", key, "piece")
+    # The number is that of a row of the checkpoint, so it is the same whenever a task runs.
+    mixed = pieces.withColumn("__mix", F.xxhash64(key, "piece", "length", "ids_crc32", F.monotonically_increasing_id()))
+    dealt = mixed.repartition(groups, "__mix").sortWithinPartitions("__mix")
     schema = T.StructType(list(pieces.schema.fields)).add("sequence_id", "long").add("offset", "long")
 
     def work(batches):
