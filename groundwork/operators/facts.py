@@ -60,15 +60,37 @@ def drop_blocked(facts: DataFrame, blocked: Sequence[str]) -> DataFrame:
 def keyword_topk(questions: DataFrame, facts: DataFrame, blocked: Sequence[str] = (), k: int = 3) -> DataFrame:
     """(query_id, key, score, rank): known facts by how many distinct tokens they share with the question.
 
-    An equi join on tokens; each pair meets once for each shared token and is counted before the window.
-    Ties keep the facts' order (ordinal).
+    Ties keep the facts' order (ordinal). Questions count by the set of their tokens that any fact has, the
+    rarest first, and each such set is looked up once. Two rare tokens find a k-th best score s; a fact with a
+    score of s or more then shares a token besides the s - 1 commonest ones, so only the others are looked
+    up, and tokens that every fact has are left alone. Whoever shares a token meets a set just once.
     """
+    hashed = lambda tokens: F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))
     open_ = drop_blocked(facts.where("value <> 'unknown'"), blocked)
-    q = questions.select("query_id", F.explode(F.array_distinct(X.word_tokens("text"))).alias("token"))
-    f = open_.select("ordinal", "key", F.explode(F.array_distinct(X.word_tokens(F.concat_ws(" ", "key", "value", "notes")))).alias("token"))
-    scored = q.join(f, "token").groupBy("query_id", "ordinal", "key").agg(F.count(F.lit(1)).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ordinal")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "key", "score", "rank")
+    words = open_.select("ordinal", "key", hashed(X.word_tokens(F.concat_ws(" ", "key", "value", "notes"))).alias("have"))
+    by_token = words.select("ordinal", "have", F.explode("have").alias("token"))
+    spread = by_token.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    asked = questions.select("query_id", F.explode(hashed(X.word_tokens("text"))).alias("token")).join(spread, "token")
+    sets = asked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("a")).select("query_id", F.col("a.token").alias("want"))
+    sets = sets.withColumn("set_id", F.xxhash64("want"))
+    wanted = sets.select("set_id", "want").distinct()
+    order = Window.partitionBy("set_id").orderBy(F.desc("score"), "ordinal")
+
+    def best(probes: DataFrame, least) -> DataFrame:
+        """The k best facts of each set by those that share a token of `probe`."""
+        met = probes.withColumn("token", F.explode("probe")).join(by_token, "token").withColumn("both", F.array_intersect("want", "have"))
+        # A pair with several shared probes counts at the first.
+        scored = met.where((F.col("token") == F.col("both")[0]) & (F.size("both") >= least)).select("set_id", "ordinal", F.size("both").cast("long").alias("score"))
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    first = best(wanted.withColumn("probe", F.slice("want", 1, 2)), F.lit(1))
+    reached = first.groupBy("set_id").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("s"))
+    open_sets = wanted.join(reached, "set_id", "left").withColumn("s", F.coalesce("s", F.lit(1)).cast("int"))
+    deep = F.size("want") - F.col("s") + 1
+    rest = best(open_sets.where(deep > 2).withColumn("probe", F.slice("want", F.lit(1), deep)), F.col("s"))
+    done = first.join(open_sets.where(deep <= 2).select("set_id"), "set_id", "left_semi")
+    found = done.unionByName(rest).join(words.select("ordinal", "key"), "ordinal")
+    return sets.select("query_id", "set_id").join(found, "set_id").select("query_id", "key", "score", "rank")
 
 
 def link_inventory(texts: DataFrame, text: str, prefixes: Sequence[str]) -> DataFrame:

@@ -283,25 +283,21 @@ def match_topics(messages: DataFrame, topics: dict[str, Sequence[str]], sections
     return one.join(sections.select("topic", "content"), "topic").select("query_id", "topic", "primary", "content")
 
 
-def cache_hits(requests: DataFrame, ttl_s: int, key: Sequence[str] = ("key",)) -> DataFrame:
-    """(key, seq, hit): a request within ttl of the time its answer was stored is a hit and does not renew it.
+def repeated_within(requests: DataFrame, ttl_s: int, key: Sequence[str] = ("key",)) -> DataFrame:
+    """(key, seq, age_us, hit): the time since the request before of the same key, and whether a kept answer would serve.
 
-    After a pause of ttl or more the next request is a miss whatever came before, so each busy spell of
-    a key is folded on its own. requests have us (microseconds) and seq, which parts equal times.
+    An analysis of a request log, by event time. requests have us (microseconds) and seq, which parts equal
+    times. Each day of a key is ordered on its own, and the last request of the day before it comes from
+    a window over days, so one busy key is not one task.
     """
-    ttl = ttl_s * 1_000_000
-    order = Window.partitionBy(*key).orderBy("us", "seq")
-    spells = requests.withColumn("new", (F.col("us") - F.lag("us").over(order) >= ttl).cast("int"))
-    spells = spells.withColumn("spell", F.sum(F.coalesce("new", F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    logs = spells.groupBy(*key, "spell").agg(F.array_sort(F.collect_list(F.struct("us", "seq"))).alias("l"))
-    out = "array<struct<seq:bigint,hit:boolean>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("anchor"), F.array().cast(out).alias("o"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        hit = F.coalesce(x["us"] - acc["anchor"] < ttl, F.lit(False))
-        return F.struct(F.when(hit, acc["anchor"]).otherwise(x["us"]).alias("anchor"), F.array_append(acc["o"], F.struct(x["seq"].alias("seq"), hit.alias("hit"))).alias("o"))
-
-    return logs.select(*key, F.explode(F.aggregate("l", start, fold, lambda a: a["o"])).alias("x")).select(*key, "x.seq", "x.hit")
+    day = F.floor(F.col("us") / 86_400_000_000)
+    dealt = requests.select(*key, "us", "seq", day.alias("day"))
+    last = dealt.groupBy(*key, "day").agg(F.max("us").alias("last"))
+    before = last.select(*key, "day", F.lag("last").over(Window.partitionBy(*key).orderBy("day")).alias("before"))
+    within = F.lag("us").over(Window.partitionBy(*key, "day").orderBy("us", "seq"))
+    aged = dealt.withColumn("within", within).join(before, [*key, "day"])
+    age = F.col("us") - F.coalesce("within", "before")
+    return aged.select(*key, "seq", age.alias("age_us"), F.coalesce(age < ttl_s * 1_000_000, F.lit(False)).alias("hit"))
 
 
 def admit_broadcasts(requests: DataFrame, rules: list[tuple[str, str]], text: str = "text") -> DataFrame:

@@ -30,22 +30,24 @@ def split_sections(docs: DataFrame, names: Sequence[str], text: str = "text", ke
 
 
 def split_numbered(docs: DataFrame, numbers: Sequence[str], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, number, found, content): from a line `N.N Title` to the next such line; page numbers, dot leaders and blank lines go."""
+    """(key, number, found, content): from a line `N.N Title` to the next such line; page numbers, dot leaders and blank lines go.
+
+    The first line with a number counts. All work is on the row itself, and no line is shuffled. A number
+    whose section holds nothing but such noise counts as not found.
+    """
     lines = F.split(text, "\n")
-    head = r"^\s*\d+\.\d+\s+\S"
-    rows = docs.select(key, F.posexplode(lines).alias("pos", "line"))
-    from pyspark.sql import Window
-
-    run = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    number = F.regexp_extract("line", r"^\s*(\d+\.\d+)\s+\S", 1)
-    placed = rows.withColumn("start", F.max(F.when(F.col("line").rlike(head), F.col("pos"))).over(run)).where("start is not null")
-    heads = placed.where("pos = start").groupBy(key, number.alias("number")).agg(F.min("pos").alias("start"))
-    noise = F.col("line").rlike(r"^\s*\d*\s*$") | F.col("line").rlike(r"\.{4,}")
-    shown = F.when(F.col("pos") == F.col("start"), F.trim(F.regexp_replace("line", r"^\s*\d+\.\d+\s+", ""))).otherwise(F.trim("line"))
-    parts = placed.where(~noise).join(heads, [key, "start"]).groupBy(key, "number").agg(F.array_sort(F.collect_list(F.struct("pos", shown.alias("t")))).alias("l"))
-    wanted = docs.select(key, F.explode(F.array(*map(F.lit, numbers))).alias("number"))
-    joined = wanted.join(parts, [key, "number"], "left")
-    return joined.select(key, "number", F.col("l").isNotNull().alias("found"), F.array_join("l.t", "\n").alias("content"))
+    at = F.transform(lines, lambda line, i: F.struct(i.alias("i"), F.regexp_extract(line, r"^\s*(\d+\.\d+)\s+\S", 1).alias("number")))
+    headed = docs.select(key, lines.alias("lines"), F.filter(at, lambda x: x["number"] != "").alias("heads"))
+    starts = headed.select(key, "lines", "heads", F.explode(F.array(*map(F.lit, numbers))).alias("number"))
+    start = F.try_element_at(F.filter("heads", lambda x: x["number"] == F.col("number")), F.lit(1))["i"]
+    end = F.coalesce(F.try_element_at(F.filter("heads", lambda x: x["i"] > F.col("start")), F.lit(1))["i"], F.size("lines"))
+    part = F.slice("lines", F.col("start") + 1, F.col("end") - F.col("start"))
+    noise = lambda line: line.rlike(r"^\s*\d*\s*$") | line.rlike(r"\.{4,}")
+    shown = F.transform(part, lambda line, i: F.when(~noise(line), F.trim(F.when(i == 0, F.regexp_replace(line, r"^\s*\d+\.\d+\s+", "")).otherwise(line))))
+    kept = F.filter(shown, lambda line: line.isNotNull())
+    cut = starts.withColumn("start", start).withColumn("end", end).select(key, "number", F.when(F.col("start").isNotNull(), kept).alias("l"))
+    found = F.coalesce(F.size("l") > 0, F.lit(False))
+    return cut.select(key, "number", found.alias("found"), F.when(found, F.array_join("l", "\n")).alias("content"))
 
 
 def validate_sections(sections: DataFrame, required: Sequence[str], min_len: int = 20, key: str = "doc_id") -> DataFrame:

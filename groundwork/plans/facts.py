@@ -62,12 +62,12 @@ def _questions(spark, sf_dir):
     """User turns, each about a part by words of its name, as the turns themselves are invented prose."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name", "p_brand")
-    n = F.lit(200)
-    asked = c.withColumn("k", (F.col("conv_id") * 7 + F.col("turn")) % n).join(part, "k")
+    n = part.agg(F.count(F.lit(1)).alias("n"))
+    asked = c.crossJoin(F.broadcast(n)).withColumn("k", 1 + (F.col("conv_id") * 7 + F.col("turn")) % F.col("n")).join(part, "k")  # n is one row
     return asked.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.concat_ws(" ", "text", F.lit("price of"), "p_name", "p_brand").alias("text"))
 
 
-QUESTIONS_SQL = "questions AS (SELECT conv_id * 100 + turn AS query_id, text || ' price of ' || p_name || ' ' || p_brand AS text FROM conversations JOIN part ON p_partkey = (conv_id * 7 + turn) % 200 WHERE role = 'user')"
+QUESTIONS_SQL = "questions AS (SELECT conv_id * 100 + turn AS query_id, text || ' price of ' || p_name || ' ' || p_brand AS text FROM conversations JOIN part ON p_partkey = 1 + (conv_id * 7 + turn) % (SELECT count(*) FROM part) WHERE role = 'user')"
 
 
 @query("e6_keyword_topk", f"""WITH {FACTS_SQL}, {QUESTIONS_SQL}, q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM questions),
@@ -89,7 +89,7 @@ def e8(spark, sf_dir):
     return E.link_inventory(pages.select(F.col("html").alias("t")).union(pages.select("url")), "t", ["https://example.com/", "http://old.example.com/"])
 
 
-@query("e9_humanize_key", "SELECT 'parts.' || replace(p_name, ' ', '_') || '_usd_' || p_partkey AS key, CASE WHEN p_partkey = 3 THEN 'Hot gear price' ELSE array_to_string(list_transform(string_split(p_name || ' usd ' || p_partkey, ' '), lambda w: CASE WHEN w = 'usd' THEN 'USD' ELSE upper(w[1]) || lower(substr(w, 2)) END), ' ') END AS label FROM part")
+@query("e9_humanize_key", "SELECT 'parts.' || replace(p_name, ' ', '_') || '_usd_' || p_partkey AS key, CASE WHEN 'parts.' || replace(p_name, ' ', '_') || '_usd_' || p_partkey = 'parts.hot_gear_usd_3' THEN 'Hot gear price' ELSE array_to_string(list_transform(string_split(p_name || ' usd ' || p_partkey, ' '), lambda w: CASE WHEN w = 'usd' THEN 'USD' ELSE upper(w[1]) || lower(substr(w, 2)) END), ' ') END AS label FROM part")
 def e9(spark, sf_dir):
     keys = table(spark, sf_dir, "part").select(F.concat(F.lit("parts."), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_usd_"), F.col("p_partkey")).alias("key"), "p_partkey", "p_name")
     special = {"parts.hot_gear_usd_3": "Hot gear price"}

@@ -69,13 +69,15 @@ def d5(spark, sf_dir):
     return rows.select("event_id", "row_no", *[F.try_element_at("cells", F.lit(c)).alias(c) for c in ("id", "kind", "user")])
 
 
-@query("d6_sheet_latest", "SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN event_type END AS kind, CASE WHEN event_id % 10 = 0 THEN 0 ELSE 3 END AS n FROM events")
+@query("d6_sheet_latest", """WITH v AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN [['id', 'kind', 'user']] ELSE [['id', 'kind', 'user'], [event_id::VARCHAR, 'first'], [event_id::VARCHAR, event_type, user_id::VARCHAR, 'extra']] END AS r FROM events)
+SELECT event_id, CASE WHEN len(r) > 1 THEN r[len(r)][list_position(r[1], 'kind')] END AS kind, CASE WHEN len(r) > 1 THEN len(r[1]) ELSE 0 END AS n FROM v""")
 def d6(spark, sf_dir):
     last = K.sheet_latest(_sheets(spark, sf_dir), "values", ["event_id"])
     return last.select("event_id", F.try_element_at("cells", F.lit("kind")).alias("kind"), F.size("cells").alias("n"))
 
 
-@query("d7_shape_problems", "SELECT event_id, CASE WHEN user_id % 7 = 0 THEN CASE WHEN event_type = 'error' THEN 'k,total' ELSE 'total' END WHEN user_id % 7 = 1 AND event_type = 'error' THEN 'k' ELSE '' END AS missing FROM events")
+@query("d7_shape_problems", """WITH p AS (SELECT event_id, CASE WHEN event_type = 'error' THEN '[1, 2]' ELSE props END AS j, CASE user_id % 7 WHEN 0 THEN ['k', 'total'] WHEN 1 THEN ['k'] ELSE [] END AS wanted FROM events)
+SELECT event_id, array_to_string(list_filter(wanted, lambda k: NOT coalesce(list_contains(json_keys(j), k), false)), ',') AS missing FROM p""")
 def d7(spark, sf_dir):
     e = _events(spark, sf_dir).withColumn("source", F.col("user_id") % 7).withColumn("payload", F.when(F.col("event_type") == "error", "[1, 2]").otherwise(F.col("props")))
     return K.shape_problems(e, "payload", {"0": ["k", "total"], "1": ["k"]}).select("event_id", F.array_join("missing", ",").alias("missing"))

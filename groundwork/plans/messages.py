@@ -42,7 +42,11 @@ LIST = "[" + ", ".join("'" + e.replace("'", "''") + "'" for e in ENDINGS) + "]"
 MESSAGES_SQL = f"msgs AS (SELECT conv_id, turn, CASE {PICK} % 15 WHEN 12 THEN 'hello there' WHEN 13 THEN '  ' WHEN 14 THEN '/Price@bot ' || text ELSE text || ' ' || ({LIST})[{PICK} % 15 + 1] END AS text FROM conversations WHERE role = 'user')"
 
 
-@query("f1_translate_updates", "SELECT conv_id::VARCHAR AS chat_id, (conv_id * 10 + 1)::VARCHAR AS user_id, turn::VARCHAR AS message_id, conv_id % 3 = 0 AS is_dm, CASE WHEN turn % 2 = 0 AND conv_id % 3 = 1 THEN 'help' END AS command, strftime(make_timestamp((1700000000 + turn) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts FROM conversations WHERE role = 'user' AND (conv_id % 3 = 0 OR (conv_id % 3 = 1 AND turn % 2 = 0) OR (conv_id % 3 = 2 AND turn % 4 = 0))")
+@query("f1_translate_updates", """WITH b AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 1 AND turn % 2 = 0 THEN '/help@acme now' WHEN conv_id % 3 = 2 AND turn % 4 = 0 THEN 'ping @ACME please' ELSE 'plain words' END AS text FROM conversations WHERE role = 'user'),
+u AS (SELECT json_object('message_id', turn, 'from', json_object('id', conv_id * 10 + 1), 'chat', json_object('id', conv_id, 'type', CASE WHEN conv_id % 3 = 0 THEN 'private' ELSE 'group' END), 'date', turn + 1700000000, 'text', text, 'command_length', CASE WHEN starts_with(text, '/') THEN 10 END) AS m FROM b),
+x AS (SELECT *, m->>'$.text' AS text, (m->>'$.command_length')::INT AS n, (m->>'$.chat.type') = 'private' AS is_dm FROM u)
+SELECT m->>'$.chat.id' AS chat_id, m->>'$.from.id' AS user_id, m->>'$.message_id' AS message_id, is_dm, CASE WHEN n IS NOT NULL THEN lower(split_part(substr(text, 2, n - 1), '@', 1)) END AS command, strftime(make_timestamp((m->>'$.date')::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts
+FROM x WHERE is_dm OR n IS NOT NULL OR contains(lower(text), '@acme')""")
 def f1(spark, sf_dir):
     c, t = F.col("conv_id"), F.col("turn")
     entity = F.when((c % 3 == 1) & (t % 2 == 0), F.array(F.struct(F.lit("bot_command").alias("type"), F.lit(0).alias("offset"), F.lit(10).alias("length"))))
@@ -67,9 +71,9 @@ def f3(spark, sf_dir):
     return M.route_intent(_messages(spark, sf_dir), RULES, maintenance=F.col("conv_id") % 17 == 0).select("conv_id", "turn", "intent")
 
 
-@query("f4_is_non_latin", f"WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Привет мир ' || substr(text, 1, 4) ELSE text END AS text FROM conversations) SELECT conv_id, turn, {NON_LATIN} AS other_script FROM c")
+@query("f4_is_non_latin", f"WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN translate(text, 'aehilnorstu', 'аехилнорсту') ELSE text END AS text FROM conversations) SELECT conv_id, turn, {NON_LATIN} AS other_script FROM c")
 def f4(spark, sf_dir):
-    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Привет мир "), F.substring("text", 1, 4))).otherwise(F.col("text"))
+    text = F.when(F.col("turn") % 2 == 0, F.translate("text", "aehilnorstu", "аехилнорсту")).otherwise(F.col("text"))
     return _turns(spark, sf_dir).select("conv_id", "turn", M.is_non_latin(text).alias("other_script"))
 
 
@@ -124,7 +128,7 @@ def f9(spark, sf_dir):
     return M.policy_violations(m, M.policy_rules(RULES), key="key").select("key.conv_id", "key.turn", "family", "pattern")
 
 
-@query("f10_is_refusal", "SELECT conv_id, turn, turn % 3 = 0 AS refusal FROM conversations WHERE role = 'assistant'")
+@query("f10_is_refusal", f"""WITH a AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '  Sorry, I don''t ' ELSE 'The answer: i cannot ' END || text AS text FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, regexp_matches(trim(text), '(?i)^(?:{"|".join(M.REFUSALS).replace("'", "''")})') AS refusal FROM a""")
 def f10(spark, sf_dir):
     text = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("  Sorry, I don't "), "text")).otherwise(F.concat(F.lit("The answer: i cannot "), "text"))
     return _turns(spark, sf_dir, "assistant").select("conv_id", "turn", M.is_refusal(text).alias("refusal"))
@@ -144,13 +148,13 @@ def _answers(spark, sf_dir):
     return _messages(spark, sf_dir).withColumn("items", items)
 
 
-@query("f12_filter_links", f"WITH {MESSAGES_SQL} SELECT conv_id, turn, 'https://docs.example.com/' || turn AS kept, 'https://other.example.net/' || conv_id AS dropped FROM msgs")
+@query("f12_filter_links", f"WITH {MESSAGES_SQL} SELECT conv_id, turn, array_to_string(list_filter(u, lambda x: starts_with(x, 'https://docs.example.com/')), ',') AS kept, array_to_string(list_filter(u, lambda x: NOT starts_with(x, 'https://docs.example.com/')), ',') AS dropped FROM (SELECT conv_id, turn, ['https://docs.example.com/' || turn, 'https://other.example.net/' || conv_id] AS u FROM msgs)")
 def f12(spark, sf_dir):
     out = M.filter_links(_answers(spark, sf_dir), "items", RULES.link_prefixes)
     return out.select("conv_id", "turn", F.array_join("items.url", ",").alias("kept"), F.array_join("dropped", ",").alias("dropped"))
 
 
-@query("f13_sanitize_sources", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://example.com' WHEN 1 THEN 'https://docs.example.com/' || page_id ELSE 'https://example.com/home' END AS source FROM pages")
+@query("f13_sanitize_sources", "WITH r AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://api.example.com/v1/' || page_id WHEN 1 THEN 'https://docs.example.com/' || page_id ELSE url END AS s FROM pages) SELECT page_id, CASE WHEN starts_with(s, 'https://api.example.com/') THEN 'https://example.com' WHEN starts_with(s, 'https://docs.example.com/') THEN s ELSE 'https://example.com/home' END AS source FROM r")
 def f13(spark, sf_dir):
     i = F.col("page_id")
     raw = F.when(i % 3 == 0, F.concat(F.lit("https://api.example.com/v1/"), i)).when(i % 3 == 1, F.concat(F.lit("https://docs.example.com/"), i)).otherwise(F.col("url"))
@@ -163,7 +167,7 @@ def f14(spark, sf_dir):
     return out.select("conv_id", "turn", "text", F.size("violations").alias("broken"), F.array_join("items.url", ",").alias("links"))
 
 
-@query("f15_maintenance", "SELECT conv_id, turn, 'Back soon.' AS notice FROM conversations WHERE role = 'user'")
+@query("f15_maintenance", "WITH n AS (SELECT '' AS message FROM region WHERE r_regionkey = 0) SELECT conv_id, turn, coalesce(nullif(message, ''), CASE WHEN message IS NOT NULL THEN 'Back soon.' END) AS notice FROM conversations LEFT JOIN n ON true WHERE role = 'user'")
 def f15(spark, sf_dir):
     control = table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit("").alias("message"))
     return M.apply_maintenance(_turns(spark, sf_dir, "user").select("conv_id", "turn"), control, "Back soon.")
@@ -194,12 +198,12 @@ def f16(spark, sf_dir):
     return M.render_blocks(_blocks(spark, sf_dir)).select("conv_id", "turn", F.array_join("rendered", "\n~\n").alias("rendered"))
 
 
-@query("f17_pack_messages", """WITH RECURSIVE b AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
-r AS (SELECT conv_id, i, text AS cur, 1 AS part FROM b WHERE i = 1 UNION ALL SELECT b.conv_id, b.i, CASE WHEN length(r.cur) + 2 + length(b.text) > 900 AND r.cur <> '' THEN b.text WHEN r.cur = '' THEN b.text ELSE r.cur || chr(10) || chr(10) || b.text END, CASE WHEN length(r.cur) + 2 + length(b.text) > 900 AND r.cur <> '' THEN r.part + 1 ELSE r.part END FROM r JOIN b ON b.conv_id = r.conv_id AND b.i = r.i + 1)
-SELECT conv_id, part, arg_max(cur, i) AS text FROM r GROUP BY ALL""")
+@query("f17_pack_messages", f"""WITH RECURSIVE {RENDER_SQL}, b AS (SELECT conv_id, turn, unnest(t) AS text, generate_subscripts(t, 1) AS i FROM rend),
+r AS (SELECT conv_id, turn, i, text AS cur, 1 AS part FROM b WHERE i = 1 UNION ALL SELECT b.conv_id, b.turn, b.i, CASE WHEN length(r.cur) + 2 + length(b.text) > 200 AND r.cur <> '' THEN b.text WHEN r.cur = '' THEN b.text ELSE r.cur || chr(10) || chr(10) || b.text END, CASE WHEN length(r.cur) + 2 + length(b.text) > 200 AND r.cur <> '' THEN r.part + 1 ELSE r.part END FROM r JOIN b ON b.conv_id = r.conv_id AND b.turn = r.turn AND b.i = r.i + 1)
+SELECT conv_id, turn, part, arg_max(cur, i) AS text FROM r GROUP BY ALL""")
 def f17(spark, sf_dir):
-    turns = _turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text")))["text"].alias("rendered"))
-    return M.pack_messages(turns, limit=900).select("conv_id", F.posexplode("parts").alias("part", "text")).withColumn("part", F.col("part") + 1)
+    packed = M.pack_messages(M.render_blocks(_blocks(spark, sf_dir)), limit=200)
+    return packed.select("conv_id", "turn", F.posexplode("parts").alias("part", "text")).withColumn("part", F.col("part") + 1)
 
 
 @query("f18_chat_context", "WITH t AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer, role FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM t WHERE role = 'user') SELECT conv_id AS user_id, string_agg('User: ' || text || chr(10) || 'Bot: ' || coalesce(answer, ''), chr(10) ORDER BY r) AS context FROM n WHERE r <= 3 GROUP BY 1")
@@ -222,12 +226,11 @@ def f19(spark, sf_dir):
     return M.match_topics(m, TOPICS, sections, RELATED)
 
 
-@query("f20_cache_hits", """WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events),
-r AS (SELECT user_id, event_type, event_id, i, us AS anchor, false AS hit FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_type, e.event_id, e.i, CASE WHEN e.us - r.anchor < 86400000000 THEN r.anchor ELSE e.us END, e.us - r.anchor < 86400000000 FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.i = r.i + 1)
-SELECT user_id, event_type, event_id, hit FROM r""")
+@query("f20_cache_hits", """WITH e AS (SELECT user_id, event_type, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS age FROM events)
+SELECT user_id, event_type, event_id, coalesce(age < 86400000000, false) AS hit FROM e""")
 def f20(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("seq"))
-    return M.cache_hits(e, 86400, ("user_id", "event_type")).withColumnRenamed("seq", "event_id")
+    return M.repeated_within(e, 86400, ("user_id", "event_type")).select("user_id", "event_type", F.col("seq").alias("event_id"), "hit")
 
 
 @query("f21_broadcasts", f"WITH {MESSAGES_SQL}, v AS (SELECT DISTINCT conv_id, turn FROM ({_policy_sql('msgs', 'conv_id, turn')})), a AS (SELECT *, conv_id * 100 + turn AS request_id, CASE WHEN turn % 4 = 0 THEN NULL ELSE 'c' || turn % 3 END AS channel FROM msgs ANTI JOIN v USING (conv_id, turn)) SELECT substr(sha256(request_id || '|' || text), 1, 32) AS broadcast_id, 'c' || n_regionkey AS channel, n_name AS chat FROM a JOIN nation ON channel IS NULL OR channel = 'c' || n_regionkey")
