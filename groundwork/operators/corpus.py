@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundwork.functions import exprs as X
 
+# White space of any script, as text is split at.
+BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
+
 
 def scan_inventory(df: DataFrame, kind: str = "pdf", ok_status: str = "ok") -> DataFrame:
     """Entries of the kind whose text was extracted."""
@@ -46,15 +54,18 @@ def ingest_summary(actions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def chunk_words(df: DataFrame, text: str = "text", window: int = 220, overlap: int = 40, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Windows of words; the last chunk is the first that reaches the end; no words, no chunk."""
+    """Windows of words, parted by blanks of any script; the last chunk is the first that reaches the end; no words, no chunk.
+
+    Windows are cut before they become rows, so a long text's words are not carried along with each.
+    """
     if overlap >= window:
         raise ValueError("overlap must be smaller than window")
     step = window - overlap
-    words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.col(text), BLANKS), lambda w: w != "")
     split = df.select(*keep, words.alias("__w")).where(F.size("__w") > 0)
     last = F.greatest(F.lit(0), F.ceil((F.size("__w") - window) / step)).cast("int")
-    rows = split.select(*keep, "__w", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
-    return rows.select(*keep, "chunk_index", F.array_join(F.slice("__w", F.col("chunk_index") * step + 1, F.lit(window)), " ").alias("content"))
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("__w", i * step + 1, F.lit(window)), " "))
+    return split.select(*keep, F.posexplode(cut).alias("chunk_index", "content"))
 
 
 def chunk_chars(df: DataFrame, text: str = "text", size: int = 1000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -65,19 +76,34 @@ def chunk_chars(df: DataFrame, text: str = "text", size: int = 1000, keep: tuple
 
 
 def hash_embed(df: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 256, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """Sparse signed hashing embedding of unit length: (key, bucket, weight).
+    """Sparse signed hashing embedding of unit length: (key, bucket, weight), for each row of its own.
 
     Bucket: the first eight bytes of the gram's sha256, unsigned, modulo dim; sign: parity of the ninth.
-    Grams are counted by document before any is hashed. Zero weights are left out.
+    Grams of a row are counted and hashed where the row is, so nothing is shuffled. Zero weights are left out.
     """
     tokens = df.select(key, X.word_tokens(text).alias("t"))
-    grams = tokens.select(key, F.explode(F.concat(*[X.ngrams("t", n) for n in sizes])).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
-    hexed = grams.withColumn("h", X.sha256_hex("gram"))
-    bucket = (F.conv(F.substring("h", 1, 16), 16, 10).cast("decimal(20,0)") % dim).cast("int")
-    sign = F.when(F.conv(F.substring("h", 17, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    summed = hexed.select(key, bucket.alias("bucket"), (sign * F.col("n")).alias("v")).groupBy(key, "bucket").agg(F.sum("v").alias("v")).where("v <> 0")
-    norm = F.sqrt(F.sum((F.col("v") * F.col("v")).cast("double")).over(Window.partitionBy(key)))
-    return summed.select(key, "bucket", (F.col("v") / norm).alias("weight"))
+    schema = T.StructType([tokens.schema[key]]).add("bucket", "integer").add("weight", "double")
+
+    def work(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                digests, lengths = [], []
+                for words in part.column("t").to_pylist():
+                    words = words or []
+                    grams = [g for n in sizes for g in (map(" ".join, zip(*(words[i:] for i in range(n)))) if n > 1 else words)]
+                    digests += [hashlib.sha256(g.encode()).digest() for g in grams]
+                    lengths.append(len(grams))
+                d = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 32)
+                bucket = np.ascontiguousarray(d[:, :8]).view(">u8").ravel() % np.uint64(dim)
+                slot, at = np.unique(np.repeat(np.arange(len(lengths)), lengths) * dim + bucket.astype(np.int64), return_inverse=True)
+                v = np.bincount(at, weights=1.0 - 2.0 * (d[:, 8] & 1), minlength=len(slot))
+                row, full = slot // dim, v != 0
+                norm = np.sqrt(np.bincount(row, weights=v * v, minlength=len(lengths)))
+                row, slot, v = row[full], slot[full], v[full]
+                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(row)), pa.array((slot % dim).astype(np.int32)), pa.array(v / norm[row])], schema.names)
+
+    return tokens.mapInArrow(work, schema)
 
 
 def dense(sparse: DataFrame, key: str = "doc_id", dim: int = 256) -> DataFrame:

@@ -20,6 +20,8 @@ TOKENS = (
     ("date", rf"\b\d{{4}}-\d{{2}}-\d{{2}}\b|\b(?:{MONTHS})\s+\d{{1,2}},?\s+\d{{4}}\b|\b\d{{1,2}}\s+(?:{MONTHS})\s+\d{{4}}\b"),
     ("number", r"(?<![\w.])\d[\d,]*(?:\.\d+)?%?(?![\w])"),
 )
+# What every token of a category holds.
+MARKS = {"address": "0x", "email": "@", "url": "://"}
 
 
 def html_body_text(pages: DataFrame, html: str = "html", strip_tags: tuple[str, ...] = CHROME_TAGS, strip_classes: tuple[str, ...] = (), out: str = "text") -> DataFrame:
@@ -113,9 +115,14 @@ def fingerprint_hunks(hunks: DataFrame) -> DataFrame:
     return hunks.groupBy("slug").agg(ordered.alias("t")).select("slug", X.sha256_hex(F.array_join(F.concat(F.array(F.concat(F.lit("slug="), F.col("slug"))), F.col("t")), "\n---\n")).alias("fingerprint"))
 
 
-def token_sets(text: Column) -> dict[str, Column]:
-    """Distinct tokens of each category; a claimed span is blanked before the next category looks."""
-    found, rest = {}, text
+def with_tokens(df: DataFrame, text: Column, prefix: str = "") -> DataFrame:
+    """Add one column of distinct tokens for each category; a claimed span is blanked before the next category looks.
+
+    Each step is a column of its own, so the text is rewritten once for each category, and only where it
+    holds what every token of that category has.
+    """
+    rest = f"__rest{prefix}"
+    df = df.withColumn(rest, text)
     for category, pattern in TOKENS:
         hits = F.regexp_extract_all(rest, F.lit(f"({pattern})"), F.lit(1))
         if category in ("address", "email"):
@@ -124,15 +131,20 @@ def token_sets(text: Column) -> dict[str, Column]:
             hits = F.transform(hits, lambda u: F.regexp_replace(u, r"[.,;:)]+$", ""))
         elif category == "number":
             hits = F.transform(hits, lambda n: F.replace(n, F.lit(","), F.lit("")))
-        found[category] = F.array_distinct(hits)
-        rest = F.regexp_replace(rest, pattern, " ")
-    return found
+        mark = MARKS.get(category)
+        blank = F.regexp_replace(rest, pattern, " ")
+        if mark:
+            there = F.col(rest).contains(mark)
+            hits, blank = F.when(there, hits).otherwise(F.when(F.col(rest).isNotNull(), F.array().cast("array<string>"))), F.when(there, blank).otherwise(F.col(rest))
+        df = df.withColumns({f"{prefix}{category}": F.array_distinct(hits), f"{rest}_next": blank}).drop(rest).withColumnRenamed(f"{rest}_next", rest)
+    return df.drop(rest)
 
 
 def extract_tokens(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, category, token), each once."""
-    entries = F.array(*[F.struct(F.lit(c).alias("category"), t.alias("tokens")) for c, t in token_sets(F.col(text)).items()])
-    return df.select(key, F.explode(entries).alias("e")).select(key, "e.category", F.explode("e.tokens").alias("token"))
+    found = with_tokens(df.select(key, F.col(text).alias("__text")), F.col("__text"), "__t_")
+    entries = F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"__t_{c}").alias("tokens")) for c, _ in TOKENS])
+    return found.select(key, F.explode(entries).alias("e")).select(key, "e.category", F.explode("e.tokens").alias("token"))
 
 
 def fact_value_index(facts: DataFrame) -> DataFrame:
@@ -161,12 +173,13 @@ def fact_value_index(facts: DataFrame) -> DataFrame:
 
 def hunk_tokens(hunks: DataFrame) -> DataFrame:
     """(slug, hunk, category, token, change): tokens that a hunk removes or adds."""
-    old, new = token_sets(F.array_join("old_lines", "\n")), token_sets(F.array_join("new_lines", "\n"))
+    found = with_tokens(with_tokens(hunks, F.array_join("old_lines", "\n"), "__o_"), F.array_join("new_lines", "\n"), "__n_")
+    old, new = ({c: F.col(f"{p}{c}") for c, _ in TOKENS} for p in ("__o_", "__n_"))
     entries = []
     for c, _ in TOKENS:
         entries.append(F.struct(F.lit(c).alias("category"), F.lit("removed").alias("change"), F.array_except(old[c], new[c]).alias("tokens")))
         entries.append(F.struct(F.lit(c).alias("category"), F.lit("added").alias("change"), F.array_except(new[c], old[c]).alias("tokens")))
-    rows = hunks.select("slug", "hunk", F.explode(F.array(*entries)).alias("e"))
+    rows = found.select("slug", "hunk", F.explode(F.array(*entries)).alias("e"))
     return rows.select("slug", "hunk", "e.category", "e.change", F.explode("e.tokens").alias("token"))
 
 

@@ -30,6 +30,7 @@ CHAIN_ID = r"(?i)chain[_-]?id\s*[:=]\s*['\"]?(0x[0-9a-fA-F]+|\d+)['\"]?"
 
 PLACE = ("repo", "file", "line_no")
 IDENTITY = ("repo", "type", "subtype", "value")
+FINDINGS = "array<struct<type:string,subtype:string,value:string>>"
 
 
 def _ends(names: Sequence[str]):
@@ -39,61 +40,87 @@ def _ends(names: Sequence[str]):
     return test
 
 
-def _found(lines: DataFrame, type_: str, subtype, values) -> DataFrame:
-    rows = lines.select(*PLACE, F.lit(type_).alias("type"), subtype.alias("subtype"), F.explode(values).alias("value"))
-    return rows.select("repo", "type", "subtype", "value", "file", "line_no")
+def _entries(type_: str, subtype, values, where=None):
+    """Findings of one line as an array; none where the file or line does not count."""
+    own = F.transform(values, lambda v: F.struct(F.lit(type_).alias("type"), (subtype(v) if callable(subtype) else F.lit(subtype)).alias("subtype"), v.alias("value")))
+    return own if where is None else F.when(where, own).otherwise(F.array().cast(FINDINGS))
 
 
-def extract_routes(lines: DataFrame) -> DataFrame:
-    """Decorator routes of Python files, exported handlers below app/api, and one route for each function file below api."""
+def _exploded(lines: DataFrame, *entries) -> DataFrame:
+    """All findings in one pass over the lines."""
+    every = F.concat(*entries) if len(entries) > 1 else entries[0]
+    return lines.select(*PLACE, F.explode(every).alias("e")).select("repo", "e.type", "e.subtype", "e.value", "file", "line_no")
+
+
+def _route_entries() -> list:
     tags = F.regexp_extract_all("line", F.lit(f"({DECORATOR})"), F.lit(1))
-    py = lines.where(F.col("file").endswith(".py")).select(*PLACE, F.explode(tags).alias("t"))
-    decorated = py.select("repo", F.lit("api_route").alias("type"), F.upper(F.regexp_extract("t", DECORATOR, 1)).alias("subtype"), F.regexp_extract("t", DECORATOR, 2).alias("value"), "file", "line_no")
-    script = lines.where(_ends((".ts", ".tsx", ".js", ".jsx")))
+    route = lambda subtype, value: F.struct(F.lit("api_route").alias("type"), subtype.alias("subtype"), value.alias("value"))
+    none = F.array().cast(FINDINGS)
+    decorated = F.transform(tags, lambda t: route(F.upper(F.regexp_extract(t, DECORATOR, 1)), F.regexp_extract(t, DECORATOR, 2)))
+    script = _ends((".ts", ".tsx", ".js", ".jsx"))
     in_app = F.col("file").contains("app/api/")
-    folder = F.regexp_extract("file", r"^.*?app/(api/.*)/[^/]*$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract("file", r"^.*?app/(api/.*)/[^/]*$", 1))
     name = F.element_at(F.split("file", "/"), -1)
-    handlers = script.where(in_app & name.startswith("route.")).select(*PLACE, folder.alias("folder"), F.explode(F.regexp_extract_all("line", F.lit(f"({EXPORT})"), F.lit(1))).alias("t"))
-    method = F.regexp_extract("t", r"\b(GET|POST|PUT|DELETE|PATCH|OPTIONS|HEAD)\b", 1)
-    app = handlers.select("repo", F.lit("api_route").alias("type"), method.alias("subtype"), F.concat(F.lit("/"), "folder").alias("value"), "file", "line_no")
-    files = script.where(~in_app & F.col("file").rlike("(^|/)api/")).select("repo", "file").distinct()
+    handlers = F.transform(F.regexp_extract_all("line", F.lit(f"({EXPORT})"), F.lit(1)), lambda t: route(F.regexp_extract(t, r"\b(GET|POST|PUT|DELETE|PATCH|OPTIONS|HEAD)\b", 1), folder))
     bare = F.regexp_replace(F.regexp_replace("file", r"\.(ts|tsx|js|jsx)$", ""), "/index$", "")
-    functions = files.select("repo", F.lit("api_route").alias("type"), F.lit("ANY").alias("subtype"), F.concat(F.lit("/"), bare).alias("value"), "file", F.lit(1).alias("line_no"))
-    return decorated.unionByName(app).unionByName(functions)
+    function = F.array(route(F.lit("ANY"), F.concat(F.lit("/"), bare)))
+    return [
+        F.when(F.col("file").endswith(".py"), decorated).otherwise(none),
+        F.when(script & in_app & name.startswith("route."), handlers).otherwise(none),
+        F.when(script & ~in_app & F.col("file").rlike("(^|/)api/") & (F.col("line_no") == 1), function).otherwise(none),
+    ]
+
+
+def extract_routes(lines: DataFrame) -> DataFrame:
+    """Decorator routes of Python files, exported handlers below app/api, and one route for each function file below api, at its first line."""
+    return _exploded(lines, *_route_entries())
+
+
+def _env_entries() -> list:
+    names = F.flatten(F.array(*[F.regexp_extract_all("line", F.lit(p), F.lit(1)) for p in ENV]))
+    return [_entries("env_var", "", names, _ends(CODE_EXTENSIONS))]
 
 
 def extract_env_vars(lines: DataFrame) -> DataFrame:
     """Names of environment variables that code files read."""
-    names = F.flatten(F.array(*[F.regexp_extract_all("line", F.lit(p), F.lit(1)) for p in ENV]))
-    return _found(lines.where(_ends(CODE_EXTENSIONS)), "env_var", F.lit(""), names)
+    return _exploded(lines, *_env_entries())
+
+
+def _address_entries() -> list:
+    return [_entries("address", "", F.regexp_extract_all("line", F.lit(f"({ADDRESS})"), F.lit(1)))]
 
 
 def extract_addresses(lines: DataFrame) -> DataFrame:
-    return _found(lines, "address", F.lit(""), F.regexp_extract_all("line", F.lit(f"({ADDRESS})"), F.lit(1)))
+    return _exploded(lines, *_address_entries())
 
 
-def extract_domains(lines: DataFrame, own_domain: str) -> DataFrame:
-    """Names under the own domain (literal), and hosts of urls elsewhere (url_host), lower-case."""
+def _domain_entries(own_domain: str) -> list:
     own = own_domain.lower().replace(".", r"\.")
     literal = F.transform(F.regexp_extract_all("line", F.lit(rf"(?i)(?<![\w.-])([a-zA-Z0-9][a-zA-Z0-9.-]*{own})\b"), F.lit(1)), F.lower)
     hosts = F.filter(F.transform(F.regexp_extract_all("line", F.lit(URL_HOST), F.lit(1)), F.lower), lambda h: ~h.contains(own_domain.lower()))
-    return _found(lines, "domain", F.lit("literal"), literal).unionByName(_found(lines, "domain", F.lit("url_host"), hosts))
+    return [_entries("domain", "literal", literal), _entries("domain", "url_host", hosts)]
+
+
+def extract_domains(lines: DataFrame, own_domain: str) -> DataFrame:
+    """Names under the own domain (literal), and hosts of urls elsewhere (url_host), lower-case."""
+    return _exploded(lines, *_domain_entries(own_domain))
+
+
+def _chain_entries() -> list:
+    return [_entries("chain_id", "", F.regexp_extract_all("line", F.lit(CHAIN_ID), F.lit(1)))]
 
 
 def extract_chain_ids(lines: DataFrame) -> DataFrame:
-    return _found(lines, "chain_id", F.lit(""), F.regexp_extract_all("line", F.lit(CHAIN_ID), F.lit(1)))
+    return _exploded(lines, *_chain_entries())
 
 
 def scan_surface(lines: DataFrame, own_domain: str) -> DataFrame:
-    """All findings; order them where they are shown."""
-    every = extract_routes(lines)
-    for part in (extract_env_vars(lines), extract_addresses(lines), extract_domains(lines, own_domain), extract_chain_ids(lines)):
-        every = every.unionByName(part)
-    return every
+    """All findings, in one pass over the lines; order them where they are shown."""
+    return _exploded(lines, *_route_entries(), *_env_entries(), *_address_entries(), *_domain_entries(own_domain), *_chain_entries())
 
 
 def group_findings(findings: DataFrame) -> DataFrame:
-    """One row for each identity, with its files; `places` counts them all, so a finding of every line stays one small row."""
+    """One row for each identity, with its files; `places` counts all lines. A finding of every line is one entry for a file, but a row lists all its files."""
     files = findings.groupBy(*IDENTITY, "file").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line"))
     return files.groupBy(*IDENTITY).agg(F.sum("n").alias("places"), F.array_sort(F.collect_list(F.struct("file", "first_line"))).alias("files"))
 
@@ -101,11 +128,10 @@ def group_findings(findings: DataFrame) -> DataFrame:
 def diff_surface(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """(identity, change): added, removed, and moved for routes whose files are all different. Inputs are grouped findings."""
     key = list(IDENTITY)
-    added = current.join(baseline.select(*key), key, "left_anti").select(*key, F.lit("added").alias("change"))
-    removed = baseline.join(current.select(*key), key, "left_anti").select(*key, F.lit("removed").alias("change"))
-    both = baseline.where("type = 'api_route'").select(*key, F.col("files.file").alias("was")).join(current.select(*key, F.col("files.file").alias("now")), key)
-    moved = both.where((F.size("was") > 0) & (F.size("now") > 0) & ~F.arrays_overlap("was", "now")).select(*key, F.lit("moved").alias("change"))
-    return added.unionByName(removed).unionByName(moved)
+    both = baseline.select(*key, F.col("files.file").alias("was")).join(current.select(*key, F.col("files.file").alias("now")), key, "full")
+    moved = (F.col("type") == "api_route") & (F.size("was") > 0) & (F.size("now") > 0) & ~F.arrays_overlap("was", "now")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(moved, "moved")
+    return both.select(*key, change.alias("change")).where("change is not null")
 
 
 def fingerprint_surface(diff: DataFrame) -> DataFrame:

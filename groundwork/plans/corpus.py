@@ -53,7 +53,7 @@ def a3(spark, sf_dir):
     return _merge(spark, sf_dir)[0]
 
 
-WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')"
+WORDS = r"list_filter(string_split_regex(text, '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+'), lambda w: w <> '')"
 CHUNK_COUNT = "CASE WHEN n = 0 THEN 0 ELSE 1 + greatest(0, ceil((n - 220) / 180.0))::BIGINT END"
 
 
@@ -92,12 +92,12 @@ def a7(spark, sf_dir):
 
 
 TOPK_SQL = """hits AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM
- (SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings i WHERE q.vec_id < 10) QUALIFY rank <= 5)"""
+ (SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings i WHERE q.vec_id % 50 = 0) QUALIFY rank <= 5)"""
 
 
 def _hits(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return C.vector_topk(asked, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")), 5)
 
 
@@ -185,12 +185,12 @@ def a17(spark, sf_dir):
 
 
 CITE_SQL = TOPK_SQL + """, links AS (SELECT query_id, 'https://docs.example.com/' || CASE WHEN item_id % 7 = 0 THEN 'previews/' ELSE 'p/' END || (item_id % 40) AS url, score, rank FROM hits),
-rows_ AS (SELECT query_id, url, 0 AS kind, rank FROM links WHERE score >= 0.2 AND NOT contains(url, '/previews/') UNION ALL SELECT vec_id, 'https://facts.example.com/' || label, 1, 1 FROM embeddings WHERE vec_id < 10)"""
+rows_ AS (SELECT query_id, url, 0 AS kind, rank FROM links WHERE score >= 0.2 AND NOT contains(url, '/previews/') UNION ALL SELECT vec_id, 'https://facts.example.com/' || label, 1, 1 FROM embeddings WHERE vec_id % 50 = 0)"""
 
 
 def _links(spark, sf_dir):
     url = F.concat(F.lit("https://docs.example.com/"), F.when(F.col("item_id") % 7 == 0, "previews/").otherwise("p/"), F.col("item_id") % 40)
-    facts = table(spark, sf_dir, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("https://facts.example.com/"), F.col("label")).alias("url"), F.lit(1).alias("rank"))
+    facts = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("https://facts.example.com/"), F.col("label")).alias("url"), F.lit(1).alias("rank"))
     return _hits(spark, sf_dir).withColumn("url", url), facts
 
 
@@ -200,21 +200,21 @@ def a18(spark, sf_dir):
     return C.citations(hits, 0.2, ["/previews/"], 3, facts)
 
 
-@query("a19_assemble_context", f"""WITH {TOPK_SQL}, r AS (SELECT vec_id AS query_id, 0 AS kind, 1 AS rank, 'fact ' || label AS text FROM embeddings WHERE vec_id < 10 AND vec_id % 2 = 0 UNION ALL SELECT query_id, 1, rank, 'chunk ' || item_id FROM hits WHERE query_id % 3 <> 0)
-SELECT q.vec_id AS query_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY kind, rank), '') AS context, CASE max(kind) WHEN 1 THEN 'rag' WHEN 0 THEN 'faq' ELSE 'refusal' END AS answer_kind FROM embeddings q LEFT JOIN r ON r.query_id = q.vec_id WHERE q.vec_id < 10 GROUP BY 1""")
+@query("a19_assemble_context", f"""WITH {TOPK_SQL}, r AS (SELECT vec_id AS query_id, 0 AS kind, 1 AS rank, 'fact ' || label AS text FROM embeddings WHERE vec_id % 50 = 0 AND vec_id % 2 = 0 UNION ALL SELECT query_id, 1, rank, 'chunk ' || item_id FROM hits WHERE query_id % 3 <> 0)
+SELECT q.vec_id AS query_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY kind, rank), '') AS context, CASE max(kind) WHEN 1 THEN 'rag' WHEN 0 THEN 'faq' ELSE 'refusal' END AS answer_kind FROM embeddings q LEFT JOIN r ON r.query_id = q.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1""")
 def a19(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
     facts = e.where("query_id % 2 = 0").select("query_id", F.lit(1).alias("rank"), F.concat(F.lit("fact "), F.col("label")).alias("text"))
     chunks = _hits(spark, sf_dir).where("query_id % 3 <> 0").select("query_id", "rank", F.concat(F.lit("chunk "), F.col("item_id")).alias("text"))
     return C.assemble_context(e, facts, chunks)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash, chunk, embed and rank: which chunks answer ten benchmark questions best, over all documents."""
+    """Hash, chunk, embed and rank: which chunks answer benchmark questions best, over all documents. Every 50th item asks."""
     docs = C.with_sha256(table(spark, sf_dir, "documents"))
     chunks = C.chunk_words(docs, keep=("doc_id", "sha256")).withColumn("item_id", F.col("doc_id") * 10000 + F.col("chunk_index"))
     vectors = C.hash_embed(chunks, "item_id", "content")
-    asked = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(10).select(F.col("item_id").alias("query_id"), "text")
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text")
     queries = C.hash_embed(asked, "query_id", "text").select("query_id", "bucket", F.col("weight").alias("w"))
     # Sparse unit vectors: the cosine is a sum over shared buckets.
     scored = vectors.join(F.broadcast(queries), "bucket").groupBy("query_id", "item_id").agg(F.sum(F.col("weight") * F.col("w")).alias("score"))
@@ -225,7 +225,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("query_id", "item_id", score.alias("score"), "rank")
 
 
-query("flagship_best_chunks", f"""WITH {CHUNKS_SQL}, texts AS (SELECT doc_id * 10000 + chunk_index AS id, content AS t, false AS asked FROM chunks UNION ALL SELECT * FROM (SELECT item_id, text, true FROM benchmark ORDER BY item_id LIMIT 10)),
+query("flagship_best_chunks", f"""WITH {CHUNKS_SQL}, texts AS (SELECT doc_id * 10000 + chunk_index AS id, content AS t, false AS asked FROM chunks UNION ALL SELECT item_id, text, true FROM benchmark WHERE item_id % 50 = 0),
 tok AS (SELECT id, asked, regexp_extract_all(lower(t), '[a-z0-9]+') AS t FROM texts),
 grams AS (SELECT id, asked, g, count(*) AS n FROM (SELECT id, asked, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS g FROM tok) GROUP BY ALL),
 hashed AS (SELECT id, asked, (('0x' || substr(h, 1, 16))::UBIGINT % 256)::INT AS bucket, CASE WHEN ('0x' || substr(h, 17, 2))::INT % 2 = 0 THEN n ELSE -n END AS v FROM (SELECT *, sha256(g) AS h FROM grams)),
