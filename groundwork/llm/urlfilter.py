@@ -37,9 +37,12 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.when(F.instr(url, "://") > 0, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)), F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Keys that a rule for this url can have, the longest first; among equals the longer host first."""
-    labels = F.split(host, r"\.", -1)
+def candidate_keys(host: Column, path: Column, lengths: list[int], most_labels: int) -> Column:
+    """Keys that a rule for this url can have, the longest first; among equals the longer host first.
+
+    No rule's host has more than `most_labels` labels, so no longer suffix of the host can be one.
+    """
+    labels = F.split(F.substring_index(host, ".", -most_labels), r"\.", -1)
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     cut = F.filter(F.array(*map(F.lit, lengths)), lambda n: F.length(path) >= n)
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(cut, lambda n: F.struct((-F.length(h) - n).alias("a"), (-F.length(h)).alias("b"), F.concat(h, F.substring(path, F.lit(1), n)).alias("k")))))
@@ -47,7 +50,10 @@ def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
 
 
 class DigestArray:
-    """Sorted digests in a memory-mapped file, the rule of each, and the rules' full strings."""
+    """Sorted digests in a memory-mapped file, the rule of each, and the rules' full strings.
+
+    The file is scratch of one task: it is unlinked as soon as it is made, and no other task looks for it.
+    """
 
     def __init__(self, keys: list[str], verdicts: list[str]):
         raw = [k.encode() for k in keys]
@@ -98,14 +104,16 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url: str
     and repeated rows pass through. `rules` is a list in the driver's memory and its digest array is
     broadcast; for rule tables of any size take `judge_urls_by_join`.
     """
+    rules = list(rules)
     table = {rule_key(h, p): (v, len(p)) for v, h, p in rules}
+    most_labels = max((h.count(".") + 1 for _, h, _ in rules), default=1)
     array = DigestArray(list(table), [v for v, _ in table.values()])
     lengths = sorted({n for _, n in table.values()}) or [0]
     spark = pages.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(array)
     base = pages.drop("host", "path", "rule", "verdict", "__k", "__d")
-    ready = base.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))}).withColumn("__k", candidate_keys(F.col("host"), F.col("path"), lengths))
+    ready = base.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))}).withColumn("__k", candidate_keys(F.col("host"), F.col("path"), lengths, most_labels))
     ready = ready.withColumn("__d", F.transform("__k", lambda k: F.xxhash64(k)))
     out = T.StructType(list(base.schema.fields)).add("host", "string").add("path", "string").add("rule", "string").add("verdict", "string")
 
@@ -139,8 +147,9 @@ def judge_urls_by_join(pages: DataFrame, rules: DataFrame, url: str = "url", def
     keyed = rules.groupBy(F.concat(host, F.coalesce(F.col("path"), F.lit(""))).alias("rule")).agg(F.max("verdict").alias("verdict"), F.max(F.length(F.coalesce(F.col("path"), F.lit("")))).alias("n"))
     keyed = keyed.withColumn("__d", F.xxhash64("rule"))
     lengths = sorted(r[0] for r in keyed.select("n").distinct().collect()) or [0]  # as many as paths have lengths
+    most_labels = rules.agg(F.max(F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1)).first()[0] or 1
     base = pages.drop("host", "path", "rule", "verdict").withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
-    asked = base.select("host", "path").distinct().select("host", "path", F.posexplode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("pos", "k"))
+    asked = base.select("host", "path").distinct().select("host", "path", F.posexplode(candidate_keys(F.col("host"), F.col("path"), lengths, most_labels)).alias("pos", "k"))
     asked = asked.withColumn("__d", F.xxhash64("k"))
     hits = asked.join(keyed, (asked["__d"] == keyed["__d"]) & (asked["k"] == keyed["rule"])).groupBy("host", "path").agg(F.min_by(F.struct("rule", "verdict"), "pos").alias("__r"))
     return base.join(hits, ["host", "path"], "left").select(*base.columns, F.col("__r.rule").alias("rule"), F.coalesce("__r.verdict", F.lit(default)).alias("verdict"))

@@ -182,7 +182,21 @@ def test_decontam_odd(spark, odd, empty):
     assert {tuple(x["items"]) for x in got} == {(), ("", "1")}
     assert decontam.mark_contamination(empty, bench).count() == 0
     assert not any(x["contaminated"] for x in rows(decontam.mark_contamination(odd, bench.limit(0))))
-    assert decontam.drop_contaminated(odd, bench).count() == 7
+    left = decontam.drop_contaminated(odd, bench)
+    assert left.count() == 7 and left.columns == odd.columns and left.schema == odd.schema and {x["items"] for x in rows(left)} == {"clash"}
+    upper = odd.withColumnRenamed("items", "ITEMS")
+    for block in (1 << 20, 5):  # one block, and one for every item or so
+        assert decontam.drop_contaminated(upper, bench, block_bytes=block).columns == upper.columns
+        marked = decontam.mark_contamination(odd, bench, block_bytes=block)
+        assert sorted(str((x["doc_id"], x["text"], x["n_words"], x["n_hit"], x["spans"], x["items"])) for x in rows(marked)) == sorted(str((x["doc_id"], x["text"], x["n_words"], x["n_hit"], x["spans"], x["items"])) for x in got)
+
+
+def test_spans_of_blocks_are_joined(spark):
+    rng = random.Random(6)
+    cases = [[(a, a + rng.randint(1, 5)) for a in rng.choices(range(30), k=rng.randint(0, 8))] for _ in range(40)]
+    d = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, s array<struct<start:bigint,end:bigint>>")
+    got = {r.i: [tuple(x) for x in r.j] for r in d.select("i", decontam.joined_spans(F.col("s")).alias("j")).collect()}
+    assert got == {i: decontam.join_spans(c) for i, c in enumerate(cases)}
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE))
@@ -257,6 +271,15 @@ def test_urls(spark):
     assert {r.verdict for r in urlfilter.judge_urls(p, []).collect()} == {"allow"}
 
 
+def test_a_host_of_many_labels(spark):
+    url = "http://" + "a." * 20_000 + "example.com/en/7"
+    p = spark.createDataFrame([(1, url)], "page_id int, url string")
+    rules = urlfilter.example_rules()
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    for judged in (urlfilter.judge_urls(p, rules), urlfilter.judge_urls_by_join(p, table)):
+        assert [(r.rule, r.verdict) for r in judged.collect()] == [("example.com/en/7", "allow")]
+
+
 def test_colliding_digests_are_told_apart_by_the_string():
     a = urlfilter.DigestArray(["x", "y"], ["block", "allow"])
     a.digests = np.array([5, 5], np.uint64).tobytes()
