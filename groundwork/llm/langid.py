@@ -149,9 +149,10 @@ class Model:
 def learning_sample(docs: DataFrame, text: str, lang: str, key: str, most_each: int, longest: int) -> DataFrame:
     """(t, l): about `most_each` texts of each language, chosen by the hash of key and text; all where there are no more."""
     usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.octet_length(text) <= longest)).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k"))
-    shares = usable.groupBy("l").agg((most_each / F.count(F.lit(1))).alias("share"))  # one row for each language
+    counts = usable.groupBy("l").count().collect()  # one row for each language, which the model lists as well
+    shares = F.create_map(*[F.lit(v) for r in counts for v in (r[0], most_each / r[1])]) if counts else F.create_map().cast("map<string,double>")
     bucket = F.xxhash64("k", F.md5("t"), F.lit(17)).bitwiseAND(F.lit(2**32 - 1)) / float(2**32)
-    return usable.join(shares, "l").where(bucket < F.col("share")).select("t", "l")
+    return usable.where(bucket < F.try_element_at(shares, F.col("l"))).select("t", "l")
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", most_each: int = 3000, longest: int = 1 << 20, least_count: int = 2) -> Model:
