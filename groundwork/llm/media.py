@@ -3,7 +3,8 @@
 A WAV value is written and read by the wave module. Features come from the samples read back: the
 signal is cut into frames of 576 samples, each Hann-windowed frame is transformed, the strongest bin
 of each frequency band is a peak if it stands out, and each peak is paired with peaks of the next
-frames. A pair is stored as one 64-bit number: frame << 32 | bin << 20 | other bin << 8 | frame gap.
+frames. A pair is stored as one 64-bit number: frame << 32 | bin << 20 | other bin << 8 | frame gap. The
+four lowest bins hold what the window makes of a frame's level and slope, and are in no band.
 """
 
 from __future__ import annotations

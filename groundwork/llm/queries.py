@@ -75,9 +75,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as WAV samples, read back and fingerprinted."""
+    """Every text as WAV samples, read back and fingerprinted; the time-coded pairs follow as an array."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return media.media_columns(docs, keep_media=False, keep_fingerprint=False).drop("text")
+    return media.media_columns(docs, keep_media=False).drop("text")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -493,8 +493,8 @@ def test_lm_probabilities_sum_to_one(spark):
     d = spark.createDataFrame([(i, " ".join(rng.choices(words, k=30))) for i in range(80)], "doc_id bigint, text string")
     counts = lm.count_words(d, "text")
     hashes, forms, found = lm.frequent_words(counts)
-    v = lm.Vocabulary(hashes, np.arange(len(hashes)), found, np.zeros(len(hashes)))
-    table = lm.sample_contexts(lm.count_class_pairs(d, "text", v))
+    v = lm.Vocabulary(hashes, np.arange(len(hashes)), found, np.zeros(len(hashes)), 1000)
+    table = lm.sample_contexts(lm.count_class_pairs(d, "text", v), v.width)
     assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-3)
     e = lm.sample_endings(counts)
     h, f, c = (np.array([r[i] for r in counts.collect()]) for i in range(3))
@@ -503,6 +503,11 @@ def test_lm_probabilities_sum_to_one(spark):
     assert np.allclose(total, 1)
 
 
+def test_what_contexts_gather_grows_with_the_text():
+    sizes = [lm.own_classes(n) for n in (0, 1, 10**3, 10**6, 10**9, 10**13)]
+    assert sizes == sorted(sizes) and sizes[2] < sizes[3] < sizes[4] < sizes[5] < 3000
+
+
 def test_seating():
     n = np.array([1, 2, 5, 1000, 20_000])
     t = lm.seat(n, np.full(5, 0.2), 0.5, 1.0, 10.0, np.arange(5), 1)
@@ -514,10 +519,10 @@ def test_context_tables_are_carried_from_sweep_to_sweep(spark):
     n = np.random.default_rng(4).multinomial(200_000, 1 / np.arange(1, 1001) / (1 / np.arange(1, 1001)).sum())
     k = np.flatnonzero(n)
     contexts = spark.createDataFrame([(7, k.tolist(), n[k].tolist()), (9, [3], [2])], "context int, k array<int>, n array<bigint>")
-    own = lm.seat_contexts(contexts)
+    own = lm.seat_contexts(contexts, 1500)
     (first, before, _, held), (_, _, _, later) = own.sweeps
     assert later[7] == own.tables(7, k, n[k], before, held, first).sum() and later[9] in (1, 2)
-    assert held[7] > 1.2 * len(k) and not held[[c for c in range(lm.CLASSES) if c not in (7, 9)]].any()
+    assert held[7] > 1.2 * len(k) and not held[[c for c in range(1500) if c not in (7, 9)]].any()
 
 
 def test_lm_odd(spark, odd, empty):
