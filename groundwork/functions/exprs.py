@@ -87,9 +87,13 @@ def numbers_in(text: str | Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(_c(text), F.lit(f"({NUMBER})"), F.lit(1)), normal_number))
 
 
-def leading_amount(text: str | Column) -> Column:
-    """The first amount of a text, commas cut, as a double; null where there is none."""
-    return F.regexp_replace(F.regexp_extract(_c(text), r"(\d[\d,]*(?:\.\d+)?)", 1), ",", "").try_cast("double")
+def leading_amount(text: str | Column, unit: str) -> Column:
+    """The whole amount that a text begins with, commas cut, before the unit (letters and digits) or the end; null where there is none.
+
+    A figure further on, or of another unit, is never taken.
+    """
+    found = F.regexp_extract(_c(text), rf"(?U)^\s*([\d,]+)(?:\s*{unit}\b|\s*$)", 1)
+    return F.regexp_replace(found, ",", "").try_cast("bigint")
 
 
 def thousands(number: str | Column, digits: int = 0) -> Column:

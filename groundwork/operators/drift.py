@@ -15,11 +15,13 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 TOKENS = (
     ("address", r"0x[a-fA-F0-9]{40}"),
-    ("email", r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+"),
+    ("email", r"[\w.+-]+@[\w-]+\.[\w.-]+"),
     ("url", r"https?://[^\s)\"'<>]+"),
     ("date", rf"\b\d{{4}}-\d{{2}}-\d{{2}}\b|\b(?:{MONTHS})\s+\d{{1,2}},?\s+\d{{4}}\b|\b\d{{1,2}}\s+(?:{MONTHS})\s+\d{{4}}\b"),
     ("number", r"(?<![\w.])\d[\d,]*(?:\.\d+)?%?(?![\w])"),
 )
+# Letters, digits, blanks and word ends of every script count.
+UNICODE = "(?U)"
 # What every token of a category holds.
 MARKS = {"address": "0x", "email": "@", "url": "://"}
 
@@ -124,6 +126,7 @@ def with_tokens(df: DataFrame, text: Column, prefix: str = "") -> DataFrame:
     rest = f"__rest{prefix}"
     df = df.withColumn(rest, text)
     for category, pattern in TOKENS:
+        pattern = UNICODE + pattern
         hits = F.regexp_extract_all(rest, F.lit(f"({pattern})"), F.lit(1))
         if category in ("address", "email"):
             hits = F.transform(hits, F.lower)
@@ -166,7 +169,7 @@ def fact_value_index(facts: DataFrame) -> DataFrame:
         level = level.where(~is_leaf)
     kind = F.lit(None).cast("string")
     for category, pattern in reversed(TOKENS):
-        kind = F.when(F.col("leaf").rlike(rf"^(?:{pattern})$"), category).otherwise(kind)
+        kind = F.when(F.col("leaf").rlike(rf"{UNICODE}^(?:{pattern})$"), category).otherwise(kind)
     token = F.when(F.col("category").isin("address", "email"), F.lower("leaf")).when(F.col("category") == "number", F.replace("leaf", F.lit(","), F.lit(""))).otherwise(F.col("leaf"))
     return leaves.withColumn("category", kind).where("category is not null").select("category", token.alias("token"), "key", "pos").distinct()
 

@@ -106,7 +106,7 @@ def b7(spark, sf_dir):
 
 def _tokens_sql(source: str, key: str) -> str:
     """Long tokens of a (key, t) relation. RE2 has no lookaround, so numbers are found by their neighbours."""
-    p = {c: x.replace("'", "''") for c, x in D.TOKENS}
+    p = {c: x.replace("'", "''").replace("\\w", "\\p{L}\\p{N}_") if c == "email" else x.replace("'", "''") for c, x in D.TOKENS}
     steps = [f"k0 AS (SELECT {key}, t FROM {source})"]
     parts = []
     for i, (c, _) in enumerate(D.TOKENS[:4]):

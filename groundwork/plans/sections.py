@@ -113,11 +113,15 @@ def s9(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.epoch_iso(F.col("o_orderkey") * 86400 + 61).alias("iso"), X.display_date(text).alias("day"))
 
 
-@query("s11_s13_numbers", r"""SELECT l_orderkey, l_linenumber, (l_quantity::BIGINT * 1000)::VARCHAR AS plain, l_quantity * 1000 AS amount, format('{:,}', l_quantity::BIGINT * 1000) AS shown FROM lineitem""")
+@query("s11_s13_numbers", r"""WITH t AS (SELECT *, format('{:,}', l_quantity::BIGINT * 1000) AS shown FROM lineitem), s AS (SELECT *, CASE l_linenumber % 4 WHEN 0 THEN shown WHEN 1 THEN ' ' || shown || ' units or $1,000 each' WHEN 2 THEN '$' || shown || ' for 7 units' ELSE shown || ' unitsets' END AS said FROM t),
+a AS (SELECT *, try_cast(replace(regexp_extract(said, '^\s*([\d,]+)(?:\s*units\b|\s*$)', 1), ',', '') AS BIGINT) AS amount FROM s) SELECT l_orderkey, l_linenumber, (l_quantity::BIGINT * 1000)::VARCHAR AS plain, amount, amount IS NULL AS failed, shown FROM a""")
 def s11(spark, sf_dir):
+    """Amounts before their unit, alone, after another mark and before another word; `failed` marks the rows without one."""
     n = (F.col("l_quantity") * 1000).cast("bigint")
-    text = F.concat(F.lit("about "), F.format_number(n, 0), F.lit(".00 units"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.normal_number(F.concat(F.lit("$"), F.format_number(n, 0), F.lit(".0"))).alias("plain"), X.leading_amount(text).alias("amount"), X.thousands(n).alias("shown"))
+    shown, kind = F.format_number(n, 0), F.col("l_linenumber") % 4
+    text = F.when(kind == 0, shown).when(kind == 1, F.concat(F.lit(" "), shown, F.lit(" units or $1,000 each"))).when(kind == 2, F.concat(F.lit("$"), shown, F.lit(" for 7 units"))).otherwise(F.concat(shown, F.lit(" unitsets")))
+    amount = X.leading_amount(text, "units")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.normal_number(F.concat(F.lit("$"), F.format_number(n, 0), F.lit(".0"))).alias("plain"), amount.alias("amount"), amount.isNull().alias("failed"), X.thousands(n).alias("shown"))
 
 
 @query("s14_markdown", r"""SELECT doc_id, regexp_replace(text, '([_*\[\]()~`>#+\-=|{}.!\\])', '\\\1', 'g') AS escaped, regexp_replace(text, '([`\\])', '\\\1', 'g') AS code, regexp_replace(text, '([)\\])', '\\\1', 'g') AS link FROM documents""")

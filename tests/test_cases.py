@@ -1,6 +1,7 @@
 """Hand-made cases of single operators."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,52 @@ def test_tokens(spark):
     assert got["email"] == {"a.b@example.org"} and got["number"] == {"1234.50", "7%"}
 
 
+def brute_tokens(text):
+    """Tokens by Python's own patterns, a category at a time with the spans before it blanked."""
+    found = set()
+    for category, pattern in drift.TOKENS:
+        for t in re.findall(f"(?:{pattern})", text):
+            found.add((category, t.lower() if category in ("address", "email") else t.rstrip(".,;:)") if category == "url" else t.replace(",", "") if category == "number" else t))
+        text = re.sub(pattern, " ", text)
+    return found
+
+
+def test_tokens_equal_brute_force(spark, sf_dir):
+    texts = ["", "5é and é5 but 5 é", "12,5 3.14.15 .7 8% 9%% 1,2,3, x_4 4_x 7-8 $9", "müller@grün.de, Ä.b+c@x-y.org.", "on 5 März 2026 or 5 March 2026, 2026-01-05é", "٣ and 1\u00a0000", "see https://e.org/ü?a=1). 0x" + "aB" * 21, "9" * 3000]
+    texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect() if r.text is not None]
+    d = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "doc_id bigint, text string")
+    got = {}
+    for i, c, t in values(drift.extract_tokens(d), "doc_id", "category", "token"):
+        assert (c, t) not in got.setdefault(i, set())
+        got[i].add((c, t))
+    assert {i: got.get(i, set()) for i in range(len(texts))} == {i: brute_tokens(t) for i, t in enumerate(texts)} and -1 not in got
+
+
+def test_leading_amount(spark):
+    cases = {"100,000 XYZ or $5": 100000, " 70 ": 70, "12xyz": None, "5 XYZs": None, "$5 for 7 XYZ": None, "about 7 XYZ": None, "7.5 XYZ": None, "": None, ",": None, "3 XYZ": 3, None: None}
+    d = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert dict(values(d, "t", X.leading_amount("t", "XYZ"))) == cases
+
+
+def test_inventory_and_faq(spark, tmp_path):
+    p = tmp_path / "inventory.json"
+    p.write_text('[{"kind": "post", "slug": "a", "words": 7, "gated": true, "more": 1},\n {"slug": "b", "sha256": null}]')
+    got = files.read_inventory(spark, str(p))
+    assert sorted(values(got, "slug", "kind", "words", "gated", "title")) == [("a", "post", 7, True, None), ("b", None, None, None, None)]
+    assert got.columns == [f.split()[0] for f in files.INVENTORY.split(", ")]
+    q = tmp_path / "faq.json"
+    q.write_text('{"fees": [{"question": "How much?", "answer": "1"}, {"question": "When?", "answer": "now"}], "none": []}')
+    faq = files.read_faq(spark, str(q)).first().faq
+    assert {k: [(x.question, x.answer) for x in v] for k, v in faq.items()} == {"fees": [("How much?", "1"), ("When?", "now")], "none": []}
+
+
+def test_versions_stay_beside_each_other(spark, tmp_path):
+    one, two = (files.write_version(spark.range(n), str(tmp_path / "t"), v) for n, v in ((3, "a"), (5, "b")))
+    assert one != two and (spark.read.parquet(one).count(), spark.read.parquet(two).count()) == (3, 5)
+    with pytest.raises(Exception):
+        files.write_version(spark.range(1), str(tmp_path / "t"), "a")
+
+
 def test_nested_fact_values(spark):
     f = spark.createDataFrame([("a.x", '{"p": "12", "q": ["https://e.org/a", "0x' + "1" * 40 + '"]}'), ("a.y", "unknown"), ("a.z", "5,000")], "key string, value string")
     got = sorted(values(drift.fact_value_index(f), "category", "token", "key"))
@@ -114,7 +161,7 @@ def test_numbers(spark):
 
 
 def test_snake_case(spark):
-    assert one(spark, X.snake_case(F.lit("totalCPXPresold"))) == "total_cpx_presold"
+    assert one(spark, X.snake_case(F.lit("totalXYZPresold"))) == "total_xyz_presold"
 
 
 def test_terms_leave_link_targets(spark):
