@@ -626,6 +626,28 @@ def test_near_duplicates_with_repeated_passages_equal_brute_force(spark):
     assert {x["doc_id"]: x["class_id"] for x in got} == {i: want[t] for i, t in docs}
 
 
+@pytest.mark.parametrize("small, block", [(64, 512), (8, 16)])
+def test_near_duplicates_in_large_buckets_equal_brute_force(spark, monkeypatch, small, block):
+    """160 texts with a long common beginning, none linked by it, and a near copy of every fourth."""
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    sizes, made = [], neardup.crossing_pairs
+    monkeypatch.setattr(neardup, "crossing_pairs", lambda o: (sizes.append(o.groupBy("key").count().agg(F.max("count")).first()[0]), made(o))[1])
+    rng = random.Random(17)
+    words = [a + b + c for a in A for b in A for c in A]
+    base, docs = rng.sample(words, 172), []
+    for i in range(160):
+        w = base + rng.sample(words, 28)
+        docs.append((len(docs), " ".join(w)))
+        if i % 4 == 0:
+            docs.append((len(docs), " ".join(w[:-2] + rng.sample(words, 2))))
+    want = brute_classes(docs)
+    assert len(set(want.values())) == 160
+    got = rows(neardup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")))
+    assert {x["doc_id"]: x["class_id"] for x in got} == {i: want[t] for i, t in docs}
+    assert sizes[0] > 64
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(3)
     e = rng.integers(0, 2**63, 300).astype(np.uint64)
@@ -666,3 +688,20 @@ def test_pipeline(spark, sf_dir):
     assert not any(tables.scan(decontam.words_of(everything[i].encode()))[0] for i in kept)
     classes = brute_classes([(i, everything[i]) for i in kept])
     assert len(set(classes.values())) == len(kept) > 100
+
+
+def test_pipeline_odd(spark, sf_dir, odd, empty):
+    import corpus_pipeline as P
+    from groundwork.llm.common import written
+
+    for docs in (odd, empty):
+        step, left = docs, []
+        for name, stage in P.STAGES[:-1]:
+            step = written(stage(spark, step, sf_dir), name)
+            assert step.columns == docs.columns, name
+            left.append(step.count())
+        texts = [r.text for r in step.collect()]
+        assert len(set(texts)) == len(texts) and not {None, "", "123 456 !!"} & set(texts)
+        assert left == sorted(left, reverse=True) and (left[-1] >= 3) == (docs is odd)
+        pieces = P.STAGES[-1][1](spark, step, sf_dir).collect()
+        assert {r.doc_id for r in pieces} == {r.doc_id for r in step.select("doc_id").collect()} and len(pieces) >= len(texts)
