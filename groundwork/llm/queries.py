@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import decontam, divergence, langid, lm, media, neardup, packing, phrases, quality, sharding, toxicity, urlfilter
+from groundwork.llm import chat, decontam, divergence, langid, lm, media, neardup, packing, phrases, quality, sharding, toxicity, urlfilter
 from groundwork.llm.common import remainder, table
 
 SHARDS = 24
@@ -96,6 +96,15 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that quotes the template's marks, formatted and read back."""
+    said = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    quoting = spark.range(2).select(F.lit(-7).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(said))
+    records = rows.unionAll(quoting).select(F.col("conv_id").alias("key"), F.to_json(F.struct("turn", "role", "text")).alias("record"))
+    return chat.read_back(chat.format_turns(chat.canonical_turns(records))).withColumnRenamed("key", "conv_id")
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_decontaminate": op2_decontaminate,
@@ -109,6 +118,7 @@ QUERIES = {
     "op10_near_duplicates": op10_near_duplicates,
     "op11_phrases": op11_phrases,
     "op12_source_divergence": op12_source_divergence,
+    "op13_chat_format": op13_chat_format,
 }
 
 ORACLE = {
@@ -157,4 +167,10 @@ pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(va
 terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50""",
+    "op13_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>') AS body, replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>'), ':', '\:') AS head FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(length(head) + length(body) + 4 + 2 + 8)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""",
 }
