@@ -177,7 +177,8 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
             yield from rows(name, vectors)
 
     vectors = placed.groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("vector")).select("lang", "vector")
-    ordered = vectors.repartitionByRange("lang", "vector").sortWithinPartitions("lang", "vector")
+    # The range is cut on the first entries alone, as a sample of its keys goes to the driver.
+    ordered = vectors.repartitionByRange("lang", F.slice("vector", 1, 3)).sortWithinPartitions("lang", "vector")
     sums = ordered.mapInArrow(differences, "lang string, a int, b int, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     one = groups.select("lang", "source", F.col("place").alias("p"))
     pairs = one.join(one.select("lang", F.col("source").alias("item"), F.col("p").alias("o")), "lang").where("p <> o")
