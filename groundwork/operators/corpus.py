@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundwork.functions import exprs as X
+from groundwork.functions.workers import ship
+from groundwork.operators import markup
 
 # White space of any script, as text is split at.
 BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
@@ -188,18 +190,29 @@ def unparseable_dates(docs: DataFrame, date: str = "date") -> DataFrame:
     return docs.where(X.display_date(date).isNull()).groupBy("slug").agg(F.min(date).alias("date"))
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of a tag, wherever it stands in the tag."""
-    return F.regexp_extract(tag, rf'(?i)\s{name}\s*=\s*"([^"]*)"', 1)
+CARD = {"slug": "data-slug", "title": "data-title", "date": "data-date", "path": "data-pdf"}
 
 
-def extract_cards(pages: DataFrame, html: str, card: str, excluded: DataFrame, hidden: str = "previews", key: str = "page_id") -> DataFrame:
-    """(key, position, path, slug, title) of link cards; none of excluded pages, empty or hidden paths."""
-    open_ = pages.join(excluded.select(key).distinct(), key, "left_anti")
-    found = open_.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(card), F.lit(0))).alias("position", "tag"))
-    path = attribute(F.col("tag"), "href")
-    rows = found.select(key, "position", path.alias("path"), F.regexp_replace(path, "^/+|/+$", "").alias("slug"), F.trim(F.regexp_replace("tag", "<[^>]*>", "")).alias("title"))
-    return rows.where(X.is_public_path("path", hidden))
+def extract_cards(pages: DataFrame, html: str = "html", listed_on: str = "listed_on", card_class: str = "pdf-preview-card", attributes: dict[str, str] = CARD, excluded: tuple[str, ...] = (), hidden: str = "previews", key: str = "page_id") -> DataFrame:
+    """(key, listed_on, position, slug, title, date, path, ...) of the publication cards of index pages.
+
+    A card is an element of the class, whatever other classes it has, that has the attribute named for
+    `slug`; `attributes` says which of its attributes hold what, in any order and quoting, entities decoded.
+    Absent ones are null. Pages on an excluded list give none, nor do cards without a path or with a hidden
+    segment in it. Positions count all cards of a page, from 0. Only the html column goes to Python.
+    """
+    ship(pages.sparkSession)
+    names = list(attributes)
+    kind = pa.list_(pa.struct([(n, pa.string()) for n in names]))
+
+    @F.arrow_udf(f"array<struct<{','.join(f'{n}:string' for n in names)}>>")
+    def cards_of(html: pa.Array) -> pa.Array:
+        found = (markup.marked_elements(x or "", card_class, attributes["slug"]) for x in html.to_pylist())
+        return pa.array([[{n: e.get(a) for n, a in attributes.items()} for e in page] for page in found], kind)
+
+    open_ = pages.where(~F.coalesce(F.col(listed_on).isin(list(excluded)), F.lit(False)))
+    rows = open_.select(key, F.col(listed_on).alias("listed_on"), F.posexplode(cards_of(html)).alias("position", "c"))
+    return rows.select(key, "listed_on", "position", *[F.col(f"c.{n}").alias(n) for n in names]).where(X.is_public_path("path", hidden))
 
 
 PUSH = "ref string, commits array<struct<added:array<string>, modified:array<string>, removed:array<string>>>"

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions import exprs as X
+from groundwork.functions.workers import ship
+from groundwork.operators import alignment, markup
 
 # What counts as page chrome.
 CHROME_TAGS = ("script", "style", "nav", "header", "footer", "noscript", "svg")
-# Entities that text pages use.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+CHROME_CLASSES = ("nav", "navbar", "footer", "site-footer", "site-header")
+CHROME_ATTRIBUTES = ("data-nav",)
+# What ends a line, and what counts as blank at a line's ends, in any script.
+LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+OUTER_BLANKS = r"^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$"
 # Token patterns, in the order in which spans are claimed.
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 TOKENS = (
@@ -26,22 +32,25 @@ UNICODE = "(?U)"
 MARKS = {"address": "0x", "email": "@", "url": "://"}
 
 
-def html_body_text(pages: DataFrame, html: str = "html", strip_tags: tuple[str, ...] = CHROME_TAGS, strip_classes: tuple[str, ...] = (), out: str = "text") -> DataFrame:
-    """Body text of a page, one block on each line, chrome and comments dropped. Chrome must not nest in its own kind."""
-    c = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for tag in strip_tags:
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
-    for name in strip_classes:
-        c = F.regexp_replace(c, rf'(?is)<div class="{name}"[^>]*>.*?</div>', " ")
-    body = F.regexp_extract(c, r"(?is)<body\b[^>]*>(.*)</body>", 1)
-    c = F.regexp_replace(F.when(body != "", body).otherwise(c), r"<[^>]*>", "\n")
-    for a, b in ENTITIES:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return pages.withColumn(out, normal_lines(c))
+def html_body_text(pages: DataFrame, html: str = "html", strip_tags: tuple[str, ...] = CHROME_TAGS, strip_classes: tuple[str, ...] = CHROME_CLASSES, strip_attributes: tuple[str, ...] = CHROME_ATTRIBUTES, out: str = "text") -> DataFrame:
+    """Body text of a page, one run of text on each line, without comments and chrome.
+
+    Elements of the tags, with one of the classes in their class list, or with one of the attributes go
+    with all that they hold, however they nest. A page without a body counts whole. Entities are told
+    by the full table. Only the html column goes to Python; a null page has a null text.
+    """
+    ship(pages.sparkSession)
+    tags, classes, attributes = frozenset(strip_tags), frozenset(strip_classes), frozenset(strip_attributes)
+
+    @F.arrow_udf("string")
+    def text_of(html: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else markup.body_text(x, tags, classes, attributes) for x in html.to_pylist()], pa.string())
+
+    return pages.withColumn(out, text_of(F.col(html)))
 
 
 def normal_lines(text: Column) -> Column:
-    lines = F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\f\x0B]+", " ")))
+    lines = F.transform(F.split(text, LINE_ENDS), lambda x: F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), OUTER_BLANKS, ""))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
@@ -76,31 +85,43 @@ def line_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     return summed.select("slug", "line", F.greatest(-F.col("n"), F.lit(0)).alias("removed"), F.greatest("n", F.lit(0)).alias("added"))
 
 
+HUNKS = "array<struct<op:string,old_lines:array<string>,new_lines:array<string>>>"
+
+
+def hunk_lists(old: pa.Array, new: pa.Array) -> pa.Array:
+    rows = []
+    for x, y in zip(old.to_pylist(), new.to_pylist(), strict=True):
+        a, b = x.splitlines(), y.splitlines()
+        rows.append([{"op": op, "old_lines": a[i1:i2], "new_lines": b[j1:j2]} for op, i1, i2, j1, j2 in alignment.opcodes(a, b) if op != "equal"])
+    lines = pa.list_(pa.string())
+    return pa.array(rows, pa.list_(pa.struct([("op", pa.string()), ("old_lines", lines), ("new_lines", lines)])))
+
+
 def page_hunks(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(slug, hunk, op, old_lines, new_lines, ambiguous) of changed pages in document order.
+    """(slug, hunk, op, old_lines, new_lines) of changed pages in document order.
 
-    The k-th occurrence of a line matches its k-th occurrence on the other side. Runs of unmatched lines
-    between matched ones are hunks, anchored on the last matched old position. Where lines repeat or
-    matched lines change their order, the row says ambiguous: another alignment may be as good.
+    The longest common block of lines is fixed first, then what lies before and after it in the same way; what
+    is left between blocks is a hunk: insert, delete or replace. So lines that move are deleted in one place
+    and inserted in another. Pages are aligned on their own row, and only those whose texts differ.
     """
-    pairs = changed_pairs(old, new)
-    sides = pairs.select("slug", F.lit("old").alias("side"), F.posexplode(F.split("old_text", "\n")).alias("pos", "line"))
-    sides = sides.union(pairs.select("slug", F.lit("new"), F.posexplode(F.split("new_text", "\n"))))
-    by_line = Window.partitionBy("slug", "side", "line").orderBy("pos")
-    numbered = sides.withColumn("occ", F.row_number().over(by_line))
-    # The two sides of a match carry each other's position.
-    other = Window.partitionBy("slug", "line", "occ")
-    matched = numbered.withColumn("old_pos", F.max(F.when(F.col("side") == "old", F.col("pos"))).over(other)).withColumn("both", F.count(F.lit(1)).over(other) == 2)
-    in_order = Window.partitionBy("slug", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    hit = F.when(F.col("both"), F.col("old_pos"))
-    placed = matched.withColumn("anchor", F.coalesce(F.max(hit).over(in_order), F.lit(-1))).withColumn("crossed", F.col("both") & (F.max(hit).over(before) > F.col("old_pos")))
-    doubt = placed.groupBy("slug").agg(F.max((F.col("occ") > 1) | F.coalesce("crossed", F.lit(False))).alias("ambiguous"))
-    runs = placed.where(~F.col("both")).groupBy("slug", "anchor").agg(
-        F.array_sort(F.collect_list(F.when(F.col("side") == "old", F.struct("pos", "line")))).alias("o"), F.array_sort(F.collect_list(F.when(F.col("side") == "new", F.struct("pos", "line")))).alias("n"))
-    op = F.when((F.size("o") > 0) & (F.size("n") > 0), "replace").when(F.size("o") > 0, "delete").otherwise("insert")
-    number = F.row_number().over(Window.partitionBy("slug").orderBy("anchor"))
-    return runs.join(doubt, "slug").select("slug", number.alias("hunk"), op.alias("op"), F.col("o.line").alias("old_lines"), F.col("n.line").alias("new_lines"), "ambiguous")
+    ship(old.sparkSession)
+    found = changed_pairs(old, new).select("slug", F.posexplode(F.arrow_udf(hunk_lists, HUNKS)("old_text", "new_text")).alias("n", "h"))
+    return found.select("slug", (F.col("n") + 1).alias("hunk"), "h.op", "h.old_lines", "h.new_lines")
+
+
+def unified_diffs(old: DataFrame, new: DataFrame, names: tuple[str, str] = ("baseline", "current"), context: int = 3) -> DataFrame:
+    """(slug, diff) of changed pages as unified diffs; `{slug}` in a name stands for the page. Pages whose lines are alike have none."""
+    ship(old.sparkSession)
+
+    @F.arrow_udf("string")
+    def diff_of(slug: pa.Array, old_text: pa.Array, new_text: pa.Array) -> pa.Array:
+        out = []
+        for key, x, y in zip(slug.to_pylist(), old_text.to_pylist(), new_text.to_pylist(), strict=True):
+            a, b = x.splitlines(), y.splitlines()
+            out.append(alignment.unified(a, b, alignment.opcodes(a, b), tuple(n.replace("{slug}", str(key)) for n in names), context))
+        return pa.array(out, pa.string())
+
+    return changed_pairs(old, new).select("slug", diff_of("slug", "old_text", "new_text").alias("diff")).where("diff <> ''")
 
 
 def diff_text(hunks: DataFrame) -> DataFrame:
@@ -245,10 +266,13 @@ def scope_parity(sitemap: DataFrame, tracked: DataFrame, noindex: DataFrame, exc
 
 
 def source_parity(live: DataFrame, repo: DataFrame, sentinels: DataFrame) -> DataFrame:
-    """(slug, matches, diff) of sentinel pages in two sources."""
-    a, b = (x.join(sentinels, "slug", "left_semi") for x in (live, repo))
+    """(slug, matches, diff) of sentinel pages in two sources; the diff leads from the repository's lines to the live ones.
+
+    Pages match if their lines are alike in order.
+    """
+    a, b = (x.join(sentinels.select("slug").distinct(), "slug", "left_semi") for x in (live, repo))
     both = a.select("slug").join(b.select("slug"), "slug")
-    return both.join(diff_text(page_hunks(a, b)), "slug", "left").select("slug", F.col("diff").isNull().alias("matches"), "diff")
+    return both.join(unified_diffs(b, a, ("repo:{slug}", "live:{slug}")), "slug", "left").select("slug", F.col("diff").isNull().alias("matches"), "diff")
 
 
 def advance_baseline(base: DataFrame, current: DataFrame, accepted: DataFrame) -> DataFrame:

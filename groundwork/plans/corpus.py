@@ -167,12 +167,27 @@ def a15(spark, sf_dir):
     return C.unparseable_dates(dated(table(spark, sf_dir, "orders")))
 
 
-@query("a16_extract_cards", r"""WITH tags AS (SELECT page_id, unnest(t) AS tag, generate_subscripts(t, 1) - 1 AS position FROM (SELECT page_id, regexp_extract_all(html, '<a\s[^>]*>[^<]*</a>') AS t FROM pages WHERE page_id % 9 <> 0)),
-p AS (SELECT page_id, position::INT AS position, regexp_extract(tag, '(?i)\shref\s*=\s*"([^"]*)"', 1) AS path, trim(regexp_replace(tag, '<[^>]*>', '', 'g')) AS title FROM tags)
-SELECT page_id, position, path, trim(path, '/') AS slug, title FROM p WHERE path <> '' AND NOT list_contains(string_split(path, '/'), 'previews')""")
+CARD_DAYS = ("January 5, 2026", "2026-02-07", "TBD")
+
+
+def _card_pages(spark, sf_dir):
+    """Pages with cards in their body: one that differs from page to page, one without a date, one hidden, one of another class."""
+    id_ = F.col("page_id").cast("string")
+    day = F.element_at(F.array(*map(F.lit, CARD_DAYS)), (F.col("page_id") % 3 + 1).cast("int"))
+    first = F.concat(F.lit('<button data-pdf="papers/'), id_, F.lit(".pdf\" data-title='Q&amp;A \"on\" "), id_, F.lit("' class=\"wide pdf-preview-card\" data-date=\""), day, F.lit('" data-slug=paper-'), id_, F.lit(">Read</button>"))
+    second = F.concat(F.lit('<div class="pdf-preview-card big" data-slug="undated-'), id_, F.lit('" data-pdf="a/b.pdf" data-title="Caf&eacute;"></div>'))
+    hidden = F.lit('<a class="pdf-preview-card" data-slug="h" data-title="H" data-date="x" data-pdf="papers/previews/h.pdf"></a><a class="pdf-preview-card" data-slug="e" data-title="E" data-pdf=""></a>')
+    other = F.lit('<a class="pdf-preview-cards" data-slug="o" data-pdf="o.pdf"></a><a class="pdf-preview-card" data-pdf="n.pdf"></a><!-- <a class="pdf-preview-card" data-slug="c" data-pdf="c.pdf"> -->')
+    cards = F.concat(first, hidden, other, F.when(F.col("page_id") % 2 == 0, second).otherwise(""))
+    listed = F.when(F.col("page_id") % 9 == 0, "archive").when(F.col("page_id") % 9 == 1, F.lit(None).cast("string")).otherwise("updates")
+    return table(spark, sf_dir, "pages").select("page_id", listed.alias("listed_on"), F.replace("html", F.lit("<article>"), F.concat(F.lit("<article>"), cards)).alias("html"))
+
+
+@query("a16_extract_cards", f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 9 = 1 THEN NULL ELSE 'updates' END AS listed_on FROM pages WHERE page_id % 9 <> 0)
+SELECT page_id, listed_on, 0 AS position, 'paper-' || page_id AS slug, 'Q&A "on" ' || page_id AS title, (['{"', '".join(CARD_DAYS)}'])[page_id % 3 + 1] AS date, 'papers/' || page_id || '.pdf' AS path FROM p
+UNION ALL SELECT page_id, listed_on, 3, 'undated-' || page_id, 'Café', NULL, 'a/b.pdf' FROM p WHERE page_id % 2 = 0""")
 def a16(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    return C.extract_cards(pages, "html", r"<a\s[^>]*>[^<]*</a>", pages.where(F.col("page_id") % 9 == 0))
+    return C.extract_cards(_card_pages(spark, sf_dir), excluded=("archive",))
 
 
 @query("a17_relevant_pushes", "SELECT event_id FROM events WHERE event_type <> 'view' AND (user_id % 10 = 0 OR user_id % 10 = 3)")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from groundwork.functions import exprs as X
 from groundwork.operators import drift as D
-from groundwork.plans.fixtures import FACTS_SQL, NEXT_SQL, facts, snapshot_pair
+from groundwork.plans.fixtures import FACTS_SQL, facts
 from groundwork.plans.registry import Registry
 from groundwork.sources.files import table
 
@@ -14,26 +14,38 @@ lane = Registry()
 QUERIES, ORACLE, query = lane.QUERIES, lane.ORACLE, lane.query
 
 
+LINE_ENDS = D.LINE_ENDS
+BLANKS = D.OUTER_BLANKS
+
+
 def _lines_sql(text: str) -> str:
-    return f"array_to_string(list_filter(list_transform(regexp_split_to_array({text}, '\\r\\n|\\r|\\n'), lambda x: trim(regexp_replace(x, '[ \\t\\f\\x0B]+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
+    return f"array_to_string(list_filter(list_transform(regexp_split_to_array({text}, '{LINE_ENDS}'), lambda x: regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), '{BLANKS}', '', 'g')), lambda x: x <> ''), chr(10))"
+
+
+# Chrome that a page gets in front of its article; only the entities are to stay.
+PLANTED = (
+    """<nav><nav>in</nav>left by the inner end</nav><ul class='nav top'><li>gone</li></ul><div class="wide site-footer"><div>gone</div>gone</div>"""
+    """<p data-nav>gone</p><svg><g>gone</g></svg><p CLASS=navbar>gone</p><i>caf&eacute; &#233;&#x1F600; &copy 2020</i><!-- gone --><article>"""
+)
 
 
 def _body_sql() -> str:
-    c = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in D.CHROME_TAGS:
-        c = f"regexp_replace({c}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'g')"
-    cut = f"SELECT page_id, url, {c} AS c FROM pages"
-    t = "regexp_replace(CASE WHEN regexp_extract(c, '(?is)<body\\b[^>]*>(.*)</body>', 1) <> '' THEN regexp_extract(c, '(?is)<body\\b[^>]*>(.*)</body>', 1) ELSE c END, '<[^>]*>', chr(10), 'g')"
-    for a, b in D.ENTITIES:
-        t = f"replace({t}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
-    return f"SELECT page_id, url, {_lines_sql('t')} AS text FROM (SELECT page_id, url, {t} AS t FROM ({cut}))"
+    """Body text of the given pages by patterns that hold for them, with the one planted line that is to stay."""
+    c = "regexp_replace(html, '(?is)<(?:nav|footer|style|script)\\b[^>]*>.*?</(?:nav|footer|style|script)>', chr(10), 'g')"
+    c = f"regexp_replace({c}, '(?s)<!--.*?-->|<article>', '<hr>', 'g')"
+    mark = "replace(html, '<article>', '<i>caf' || chr(233) || ' ' || chr(233) || chr(128512) || ' ' || chr(169) || ' 2020</i><article>')"
+    t = f"regexp_replace(regexp_extract({c.replace('(html,', f'({mark},')}, '(?is)<body\\b[^>]*>(.*?)(?:</body>|$)', 1), '<[^>]*>', chr(10), 'g')"
+    for a, b in (("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&quot;", "chr(34)"), ("&amp;", "'&'")):
+        t = f"replace({t}, '{a}', {b})"
+    return f"SELECT page_id, url, {_lines_sql(f't')} AS text FROM (SELECT page_id, url, regexp_replace({t}, '&amp', '&', 'g') AS t FROM pages)"
 
 
 PAGES_SQL = f"body AS ({_body_sql()}), cur AS (SELECT page_id, 'p-' || page_id AS slug, text FROM body), nxtp AS (SELECT page_id, slug, CASE page_id % 5 WHEN 0 THEN text || chr(10) || 'edited' ELSE text END AS text FROM cur WHERE page_id % 7 <> 0 UNION ALL SELECT page_id + 1000000, 'p-' || (page_id + 1000000), text FROM cur WHERE page_id % 11 = 0)"
 
 
 def _pages(spark, sf_dir):
-    return D.html_body_text(table(spark, sf_dir, "pages")).select("page_id", "url", F.concat(F.lit("p-"), F.col("page_id")).alias("slug"), "text")
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("<article>"), F.lit(PLANTED)))
+    return D.html_body_text(pages).select("page_id", "url", F.concat(F.lit("p-"), F.col("page_id")).alias("slug"), "text")
 
 
 def _next_pages(cur):
@@ -59,12 +71,22 @@ def b3(spark, sf_dir):
 
 
 def _versions(spark, sf_dir):
-    old, new = snapshot_pair(spark, sf_dir)
+    """Documents as pages, and later ones: of ten ids a line is changed, put in, cut or moved, the page gone, or two places changed."""
+    docs = D.normalize_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    m, lines, id_ = F.col("doc_id") % 10, F.split("text", "\n"), F.col("doc_id").cast("string")
+    rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+    changed = F.concat(F.array(F.concat(F.lit("changed "), lines[0])), rest)
+    edits = {0: changed, 1: F.concat(F.array(F.concat(F.lit("inserted line "), id_)), lines), 2: rest, 5: F.concat(rest, F.array(lines[0])), 6: F.concat(changed, F.array(F.concat(F.lit("tail "), id_)))}
+    later = F.col("text")
+    for k, edit in edits.items():
+        later = F.when(m == k, F.array_join(edit, "\n")).otherwise(later)
     slug = F.concat(F.lit("d-"), F.col("doc_id")).alias("slug")
-    return old.select(slug, "text"), new.select(slug, "text")
+    return docs.select(slug, "text"), docs.where(m != 3).select(slug, later.alias("text"))
 
 
-DOCS_SQL = f"{NEXT_SQL}, old AS (SELECT 'd-' || doc_id AS slug, text FROM documents), new AS (SELECT 'd-' || doc_id AS slug, text FROM nxt), pairs AS (SELECT slug, old.text AS a, new.text AS b FROM old JOIN new USING (slug) WHERE old.text <> new.text)"
+DOCS_SQL = f"""base AS (SELECT doc_id, 'd-' || doc_id AS slug, doc_id % 10 AS m, {_lines_sql('text')} AS a FROM documents), lined AS (SELECT *, string_split(a, chr(10)) AS l FROM base),
+edited AS (SELECT slug, doc_id, m, a, l, array_to_string(CASE m WHEN 0 THEN list_concat(['changed ' || l[1]], l[2:]) WHEN 1 THEN list_concat(['inserted line ' || doc_id], l) WHEN 2 THEN l[2:] WHEN 5 THEN list_concat(l[2:], [l[1]]) WHEN 6 THEN list_concat(['changed ' || l[1]], l[2:], ['tail ' || doc_id]) ELSE l END, chr(10)) AS b FROM lined WHERE m <> 3),
+pairs AS (SELECT * FROM edited WHERE a <> b)"""
 
 
 @query("b4_line_delta", f"WITH {DOCS_SQL}, r AS (SELECT slug, unnest(string_split(a, chr(10))) AS line, -1 AS n FROM pairs UNION ALL SELECT slug, unnest(string_split(b, chr(10))), 1 FROM pairs) SELECT slug, line, greatest(-sum(n), 0)::BIGINT AS removed, greatest(sum(n), 0)::BIGINT AS added FROM r GROUP BY slug, line HAVING sum(n) <> 0")
@@ -72,20 +94,33 @@ def b4(spark, sf_dir):
     return D.line_delta(*_versions(spark, sf_dir))
 
 
-HUNKS_SQL = DOCS_SQL + """, sides AS (SELECT slug, 'old' AS side, unnest(string_split(a, chr(10))) AS line, unnest(range(len(string_split(a, chr(10))))) AS pos FROM pairs UNION ALL SELECT slug, 'new', unnest(string_split(b, chr(10))), unnest(range(len(string_split(b, chr(10))))) FROM pairs),
-num AS (SELECT *, row_number() OVER (PARTITION BY slug, side, line ORDER BY pos) AS occ FROM sides),
-mat AS (SELECT x.*, y.pos IS NOT NULL AS both_, CASE WHEN x.side = 'old' THEN x.pos ELSE y.pos END AS old_pos FROM num x LEFT JOIN num y ON x.slug = y.slug AND x.line = y.line AND x.occ = y.occ AND x.side <> y.side),
-anc AS (SELECT *, coalesce(max(CASE WHEN both_ THEN old_pos END) OVER (PARTITION BY slug, side ORDER BY pos ROWS UNBOUNDED PRECEDING), -1) AS anchor, both_ AND max(CASE WHEN both_ THEN old_pos END) OVER (PARTITION BY slug, side ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > old_pos AS crossed FROM mat),
-doubt AS (SELECT slug, bool_or(occ > 1 OR coalesce(crossed, false)) AS ambiguous FROM anc GROUP BY slug),
-runs AS (SELECT slug, anchor, coalesce(list(line ORDER BY pos) FILTER (side = 'old'), []) AS old_lines, coalesce(list(line ORDER BY pos) FILTER (side = 'new'), []) AS new_lines FROM anc WHERE NOT both_ GROUP BY slug, anchor),
-hunks AS (SELECT slug, row_number() OVER (PARTITION BY slug ORDER BY anchor)::INT AS hunk, CASE WHEN len(old_lines) > 0 AND len(new_lines) > 0 THEN 'replace' WHEN len(old_lines) > 0 THEN 'delete' ELSE 'insert' END AS op, old_lines, new_lines, ambiguous FROM runs JOIN doubt USING (slug))"""
+def _h(op: str, old: str, new: str) -> str:
+    return f"{{'op': '{op}', 'o': {old}::VARCHAR[], 'n': {new}::VARCHAR[]}}"
+
+
+# What each edit is to give, said outright. Where a page's lines are all alike, or two alternate, the longest common
+# block begins at its first line, so the change shows at the end.
+HUNKS_SQL = f"""{DOCS_SQL}, kinds AS (SELECT *, a = '' AS empty_, len(l) AS n, len(list_distinct(l)) = 1 AS alike, len(l) % 2 = 0 AND len(list_filter(l, lambda x, i: i > 2 AND x <> l[i - 2])) = 0 AS swing, 'changed ' || l[1] AS c, 'tail ' || doc_id AS tail FROM pairs),
+told AS (SELECT slug, CASE
+ WHEN m = 0 AND empty_ THEN [{_h('insert', '[]', '[c]')}]
+ WHEN m = 0 AND n > 1 AND alike THEN [{_h('insert', '[]', '[c]')}, {_h('delete', '[l[1]]', '[]')}]
+ WHEN m = 0 THEN [{_h('replace', '[l[1]]', '[c]')}]
+ WHEN m = 1 THEN [{_h('insert', '[]', "['inserted line ' || doc_id]")}]
+ WHEN m = 2 THEN [{_h('delete', '[l[1]]', '[]')}]
+ WHEN m = 5 AND swing THEN [{_h('insert', '[]', '[l[2]]')}, {_h('delete', '[l[2]]', '[]')}]
+ WHEN m = 5 THEN [{_h('delete', '[l[1]]', '[]')}, {_h('insert', '[]', '[l[1]]')}]
+ WHEN m = 6 AND empty_ THEN [{_h('insert', '[]', '[c, tail]')}]
+ WHEN m = 6 AND n = 1 THEN [{_h('replace', '[l[1]]', '[c, tail]')}]
+ WHEN m = 6 AND alike THEN [{_h('insert', '[]', '[c]')}, {_h('replace', '[l[1]]', '[tail]')}]
+ WHEN m = 6 THEN [{_h('replace', '[l[1]]', '[c]')}, {_h('insert', '[]', '[tail]')}] END AS h FROM kinds),
+hunks AS (SELECT slug, hunk::INT AS hunk, h[hunk].op AS op, h[hunk].o AS old_lines, h[hunk].n AS new_lines FROM (SELECT slug, h, unnest(range(1, len(h) + 1)) AS hunk FROM told))"""
 
 
 def _hunks(spark, sf_dir):
     return D.page_hunks(*_versions(spark, sf_dir))
 
 
-@query("b5_page_hunks", f"WITH {HUNKS_SQL} SELECT slug, hunk, op, array_to_string(old_lines, chr(10)) AS old_lines, array_to_string(new_lines, chr(10)) AS new_lines, ambiguous FROM hunks")
+@query("b5_page_hunks", f"WITH {HUNKS_SQL} SELECT slug, hunk, op, array_to_string(old_lines, chr(10)) AS old_lines, array_to_string(new_lines, chr(10)) AS new_lines FROM hunks")
 def b5(spark, sf_dir):
     return _hunks(spark, sf_dir).withColumns({c: F.array_join(c, "\n") for c in ("old_lines", "new_lines")})
 
@@ -132,37 +167,39 @@ def b8_numbers(spark, sf_dir):
 
 
 def _price_pages(spark, sf_dir):
-    """Parts as pages that name their price, and an edit that moves every third price."""
+    """Parts as pages that name their price; later every third price is another, and of those every second page has a size at its end."""
     part = table(spark, sf_dir, "part")
     slug = F.concat(F.lit("part-"), F.col("p_partkey")).alias("slug")
-    line = lambda price: F.concat(F.lit("Name "), F.col("p_name"), F.lit("\nPrice "), F.format_string("%.2f", price), F.lit("\nMore at https://shop.example.com/"), F.col("p_partkey"))
+    line = lambda price, more: F.concat(F.lit("Name "), F.col("p_name"), F.lit("\nPrice "), F.format_string("%.2f", price), more, F.lit("\nIn stock\nMore at https://shop.example.com/"), F.col("p_partkey"))
     m = F.col("p_partkey")
-    old = part.select(slug, line(F.col("p_retailprice")).alias("text"))
-    new = part.select(slug, F.concat(line(F.when(m % 3 == 0, F.col("p_retailprice") + 1).otherwise(F.col("p_retailprice"))), F.when(m % 6 == 0, F.concat(F.lit(" and "), F.col("p_size"))).otherwise("")).alias("text"))
+    old = part.select(slug, line(F.col("p_retailprice"), F.lit("")).alias("text"))
+    price = F.when(m % 3 == 0, F.col("p_retailprice") + 1).otherwise(F.col("p_retailprice"))
+    new = part.select(slug, F.concat(line(price, F.when(m % 12 == 0, " or 7").otherwise("")), F.when(m % 6 == 0, F.concat(F.lit(" and "), F.col("p_size"))).otherwise("")).alias("text"))
     return old, new
 
 
-PRICES_SQL = f"""{FACTS_SQL}, both_ AS (SELECT p_partkey AS k, 'part-' || p_partkey AS slug, printf('%.2f', p_retailprice) AS a, printf('%.2f', CASE WHEN p_partkey % 3 = 0 THEN p_retailprice + 1 ELSE p_retailprice END) AS b, p_partkey % 3 = 0 AS moved, p_partkey % 6 = 0 AS sized, p_size FROM part),
-h AS (SELECT * FROM both_ WHERE moved), rem AS (SELECT slug, a AS token FROM h UNION ALL SELECT slug, b FROM h UNION ALL SELECT slug, p_size::VARCHAR FROM h WHERE sized),
-touched AS (SELECT slug, key FROM rem JOIN facts ON token = value GROUP BY ALL)"""
+PRICES_SQL = f"""{FACTS_SQL}, both_ AS (SELECT p_partkey AS k, 'part-' || p_partkey AS slug, printf('%.2f', p_retailprice) AS a, printf('%.2f', p_retailprice + 1) AS b, p_partkey % 6 = 0 AS sized, p_partkey % 12 = 0 AS twice, p_size FROM part WHERE p_partkey % 3 = 0),
+h AS (SELECT slug, 1 AS hunk FROM both_ UNION ALL SELECT slug, 2 FROM both_ WHERE sized), rem AS (SELECT slug, 1 AS hunk, a AS token FROM both_ UNION ALL SELECT slug, 1, b FROM both_ UNION ALL SELECT slug, 1, '7' FROM both_ WHERE twice UNION ALL SELECT slug, 2, p_size::VARCHAR FROM both_ WHERE sized),
+touched AS (SELECT slug, hunk, key FROM rem JOIN facts ON token = value GROUP BY ALL)"""
 
 
-@query("b9_reconcile", f"WITH {PRICES_SQL} SELECT h.slug, 1 AS hunk, coalesce(array_to_string(list_sort(list(key) FILTER (key IS NOT NULL)), ','), '') AS keys, count(key) = 0 AS unmapped FROM h LEFT JOIN touched USING (slug) GROUP BY h.slug")
+@query("b9_reconcile", f"WITH {PRICES_SQL} SELECT h.slug, h.hunk, coalesce(array_to_string(list_sort(list(key) FILTER (key IS NOT NULL)), ','), '') AS keys, count(key) = 0 AS unmapped FROM h LEFT JOIN touched USING (slug, hunk) GROUP BY h.slug, h.hunk")
 def b9(spark, sf_dir):
     hunks = D.page_hunks(*_price_pages(spark, sf_dir))
     return D.reconcile(hunks, D.fact_value_index(facts(table(spark, sf_dir, "part")))).withColumn("keys", F.array_join("keys", ","))
 
 
-PROPOSE_SQL = PRICES_SQL + ", prop AS (SELECT t.slug, t.key, CASE WHEN f.value = h.a THEN 'number' END AS category, CASE WHEN f.value = h.a THEN h.a END AS old_value, CASE WHEN f.value = h.a AND NOT sized THEN h.b END AS proposed FROM touched t JOIN h USING (slug) JOIN facts f ON f.key = t.key)"
+PROPOSE_SQL = PRICES_SQL + ", prop AS (SELECT t.slug, t.hunk, t.key, CASE WHEN t.hunk = 1 AND f.value = p.a THEN 'number' END AS category, CASE WHEN t.hunk = 1 AND f.value = p.a THEN p.a END AS old_value, CASE WHEN t.hunk = 1 AND f.value = p.a AND NOT twice THEN p.b END AS proposed FROM touched t JOIN both_ p USING (slug) JOIN facts f ON f.key = t.key)"
 
 
-@query("b10_propose_value", f"WITH {PROPOSE_SQL} SELECT slug, 1 AS hunk, key, category, old_value, proposed FROM prop")
+@query("b10_propose_value", f"WITH {PROPOSE_SQL} SELECT slug, hunk, key, category, old_value, proposed FROM prop")
 def b10(spark, sf_dir):
     hunks = D.page_hunks(*_price_pages(spark, sf_dir))
     return D.propose_value(hunks, D.fact_value_index(facts(table(spark, sf_dir, "part"))))
 
 
-FINDINGS_SQL = PROPOSE_SQL + ", found AS (SELECT h.slug, 1::BIGINT AS n_hunks, CASE WHEN count(p.key) = 0 THEN 1 ELSE 0 END::BIGINT AS unmapped, coalesce(string_agg(p.key || '=' || coalesce(old_value, '?') || '>' || coalesce(proposed, '?'), ';' ORDER BY p.key), '') AS edits, count(p.key) AS n_edits FROM h LEFT JOIN prop p USING (slug) GROUP BY h.slug)"
+FINDINGS_SQL = PROPOSE_SQL + """, first_ AS (SELECT * FROM prop QUALIFY row_number() OVER (PARTITION BY slug, key ORDER BY hunk) = 1), loose AS (SELECT slug, count(*) AS n_hunks, count(*) FILTER (NOT EXISTS (SELECT 1 FROM touched t WHERE t.slug = h.slug AND t.hunk = h.hunk)) AS unmapped FROM h GROUP BY slug),
+found AS (SELECT l.slug, any_value(n_hunks)::BIGINT AS n_hunks, any_value(l.unmapped)::BIGINT AS unmapped, coalesce(string_agg(p.key || '=' || coalesce(old_value, '?') || '>' || coalesce(proposed, '?'), ';' ORDER BY p.key), '') AS edits, count(p.key) AS n_edits FROM loose l LEFT JOIN first_ p USING (slug) GROUP BY l.slug)"""
 
 
 def _findings(spark, sf_dir):
@@ -212,7 +249,8 @@ def b15(spark, sf_dir):
     return D.scope_parity(part("id % 4 <> 0"), part("id % 3 <> 0"), part("id % 8 = 0"), part("id % 10 = 1"))
 
 
-@query("b16_source_parity", f"WITH {PAGES_SQL} SELECT a.slug, a.text = b.text AS matches, CASE WHEN a.text <> b.text THEN '+edited' END AS diff FROM cur a JOIN nxtp b USING (slug) WHERE a.page_id % 2 = 0")
+@query("b16_source_parity", f"""WITH {PAGES_SQL}, l AS (SELECT slug, string_split(text, chr(10)) AS l FROM cur), d AS (SELECT slug, '--- repo:' || slug || chr(10) || '+++ live:' || slug || chr(10) || '@@ -' || CASE len(l) WHEN 0 THEN '' ELSE greatest(1, len(l) - 2) || ',' || (len(l) + 1 - greatest(1, len(l) - 2) + 1) END || ' +' || CASE WHEN len(l) = 1 THEN '1' ELSE greatest(1, len(l) - 2) || ',' || least(3, len(l)) END || ' @@' || chr(10) || array_to_string(list_transform(l[greatest(1, len(l) - 2) :], lambda x: ' ' || x), chr(10)) || chr(10) || '-edited' AS diff FROM l)
+SELECT a.slug, a.text = b.text AS matches, CASE WHEN a.text <> b.text THEN diff END AS diff FROM cur a JOIN nxtp b USING (slug) JOIN d USING (slug) WHERE a.page_id % 2 = 0""")
 def b16(spark, sf_dir):
     cur = _pages(spark, sf_dir)
     return D.source_parity(cur.select("slug", "text"), _next_pages(cur).select("slug", "text"), cur.where("page_id % 2 = 0").select("slug"))
@@ -231,10 +269,10 @@ def b18(spark, sf_dir):
     return D.finding_batch_summary(_findings(spark, sf_dir)[1])
 
 
-@query("b19_report_rows", f"""WITH {FINDINGS_SQL}, hl AS (SELECT h.slug, 'Price ' || a AS o1, 'Price ' || b AS n1, 'More at https://shop.example.com/' || k AS o2, 'More at https://shop.example.com/' || k || ' and ' || p_size AS n2, sized FROM h),
-d AS (SELECT slug, CASE WHEN sized THEN '-' || o1 || chr(10) || '-' || o2 || chr(10) || '+' || n1 || chr(10) || '+' || n2 ELSE '-' || o1 || chr(10) || '+' || n1 END AS diff,
- sha256('slug=' || slug || chr(10) || '---' || chr(10) || 'replace|OLD:' || o1 || CASE WHEN sized THEN chr(10) || o2 ELSE '' END || '|NEW:' || n1 || CASE WHEN sized THEN chr(10) || n2 ELSE '' END) AS fp FROM hl),
-e AS (SELECT slug, string_agg('- ' || key || ': ' || coalesce(old_value, '?') || ' -> ' || coalesce(proposed, 'manual review'), chr(10) ORDER BY key) AS lines FROM prop GROUP BY slug)
+@query("b19_report_rows", f"""WITH {FINDINGS_SQL}, hl AS (SELECT slug, 'Price ' || a AS o1, 'Price ' || b || CASE WHEN twice THEN ' or 7' ELSE '' END AS n1, 'More at https://shop.example.com/' || k AS o2, 'More at https://shop.example.com/' || k || ' and ' || p_size AS n2, sized FROM both_),
+d AS (SELECT slug, '-' || o1 || chr(10) || '+' || n1 || CASE WHEN sized THEN chr(10) || '-' || o2 || chr(10) || '+' || n2 ELSE '' END AS diff,
+ sha256('slug=' || slug || chr(10) || '---' || chr(10) || 'replace|OLD:' || o1 || '|NEW:' || n1 || CASE WHEN sized THEN chr(10) || '---' || chr(10) || 'replace|OLD:' || o2 || '|NEW:' || n2 ELSE '' END) AS fp FROM hl),
+e AS (SELECT slug, string_agg('- ' || key || ': ' || coalesce(old_value, '?') || ' -> ' || coalesce(proposed, 'manual review'), chr(10) ORDER BY key) AS lines FROM first_ GROUP BY slug)
 SELECT slug, '20260102-' || slug || '-' || substr(fp, 1, 12) || '.md' AS file_name, '# Drift: ' || slug || chr(10) || 'fingerprint ' || fp || chr(10) || 'unmapped hunks ' || unmapped || chr(10) || coalesce(lines, '') || chr(10) || '```diff' || chr(10) || diff || chr(10) || '```' AS body
 FROM found JOIN d USING (slug) LEFT JOIN e USING (slug)""")
 def b19(spark, sf_dir):

@@ -47,16 +47,6 @@ def test_dates(spark):
     assert [r[0] for r in values(d, X.display_date("d"))] == [dt.date(2026, 1, 5), dt.date(2026, 1, 5), None, None, None]
 
 
-def test_hunks(spark):
-    s = "slug string, text string"
-    old = spark.createDataFrame([("p", "a\nb\nc\nd"), ("q", "x\ny"), ("r", "same"), ("z", "a\nb\na")], s)
-    new = spark.createDataFrame([("p", "a\nB\nc\nd\ne"), ("q", "y"), ("r", "same"), ("z", "b\na\na")], s)
-    h = drift.page_hunks(old, new)
-    got = sorted(values(h.where("slug <> 'z'"), "slug", "hunk", "op", "old_lines", "new_lines", "ambiguous"))
-    assert got == [("p", 1, "replace", ["b"], ["B"], False), ("p", 2, "insert", [], ["e"], False), ("q", 1, "delete", ["x"], [], False)]
-    assert all(values(h.where("slug = 'z'"), "ambiguous")) or h.where("slug = 'z'").count() == 0
-
-
 def test_tokens(spark):
     text = "Mail A.b@Example.org, see 0x" + "Ab" * 20 + " or https://e.org/x1. on 2026-01-05: 1,234.50 and 7% of abc9"
     d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
