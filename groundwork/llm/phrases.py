@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections import Counter
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,9 +24,10 @@ from groundwork.llm.common import ship, slices, written
 BREAK = b"\xff"  # no byte of UTF-8
 # Bytes: A-Z folded, what ends a piece made BREAK, all else as it is.
 FOLD = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
-COUNTED = "lang string, prefix string, phrase string, n long"
+COUNTED = "lang string, prefix int, phrase string, n long"
 BURST = 4_096  # entries of a container
-HELD = 400_000  # entries that a task holds before subtrees leave
+HELD = 1_000_000  # entries that a task holds before subtrees leave
+TOKENS = 1_000_000  # words that are looked up together
 WORDS = 1_000_000  # words that a task numbers before it starts anew
 RANKED = 256  # parts of a language in which candidates are ranked before they meet
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -36,88 +39,126 @@ def tokens_of(texts: list[bytes]) -> list[bytes]:
     return BREAK.join(texts).translate(FOLD).replace(BREAK, b" \xff ").split()
 
 
+class Container(dict):
+    """Counts of what follows a path of words; the words that follow are packed into one number."""
+
+
+class Node(dict):
+    """Containers and further nodes by word id."""
+
+
 class Trie:
-    """Phrase counts: word ids lead to a hash container; one that grows beyond BURST entries becomes a node of its own."""
+    """Phrase counts: the first word's id leads to a hash container; one that grows beyond BURST entries becomes a node with containers of its own.
+
+    Of a phrase's further ids, each below 2^bits, the next one stands highest, and 0 stands where there is none.
+    """
 
-    def __init__(self):
-        self.root: dict = {}
+    def __init__(self, longest: int):
+        self.longest, self.bits = longest, 63 // max(1, longest - 1)
+        self.root = Node()
         self.size = 0
 
-    def add(self, phrase: tuple[int, ...], n: int) -> None:
-        node, depth = self.root, 0
-        while isinstance(node, dict) and depth < len(phrase) - 1:
-            below = node.get(phrase[depth])
-            if below is None:
-                below = node[phrase[depth]] = Counter()
-            depth += 1
-            if isinstance(below, Counter):
-                rest = phrase[depth:]
-                self.size += rest not in below
-                below[rest] += n
-                if len(below) > BURST and len(rest) > 1:
-                    node[phrase[depth - 1]] = self.burst(below)
-                return
-            node = below
-        # Phrases of one word, and last words below burst nodes, are kept on the node itself.
-        last = (phrase[-1],)
-        self.size += last not in node
-        node[last] = node.get(last, 0) + n
+    def pack(self, ids: np.ndarray) -> np.ndarray:
+        """Rows of further ids as one number each."""
+        packed = np.zeros(len(ids), np.int64)
+        for i in range(ids.shape[1]):
+            packed |= ids[:, i] << self.bits * (self.longest - 2 - i)
+        return packed
+
+    def unpack(self, first: np.ndarray, packed: np.ndarray) -> list[np.ndarray]:
+        """The ids of each place in the phrases, 0 after their ends."""
+        return [first, *(packed >> self.bits * (self.longest - 2 - i) & (1 << self.bits) - 1 for i in range(self.longest - 1))]
+
+    def add(self, first: np.ndarray, packed: np.ndarray, counts: np.ndarray) -> None:
+        """Different phrases, sorted by their first ids and then by their packed ones."""
+        cuts = [0, *(np.flatnonzero(np.diff(first)) + 1).tolist(), len(first)] if len(first) else [0]
+        heads, keys, n = first[cuts[:-1]].tolist(), packed.tolist(), counts.tolist()
+        for head, i, j in zip(heads, cuts, cuts[1:], strict=False):
+            self.put(self.root, head, keys[i:j], n[i:j], 1)
+
+    def put(self, node: Node, head: int, keys: list[int], counts: list[int], depth: int) -> None:
+        at = node.get(head)
+        if isinstance(at, Node):
+            self.spread(at, keys, counts, depth)
+            return
+        if at is None:
+            at = node[head] = Container(zip(keys, counts, strict=True))
+            self.size += len(at)
+        else:
+            before = len(at)
+            for k, n in zip(keys, counts, strict=True):
+                at[k] = at.get(k, 0) + n
+            self.size += len(at) - before
+        if len(at) > BURST and depth < self.longest - 1:
+            self.size -= len(at)
+            node[head] = Node()
+            self.spread(node[head], *map(list, zip(*sorted(at.items()), strict=True)), depth)
+
+    def spread(self, node: Node, keys: list[int], counts: list[int], depth: int) -> None:
+        """Sorted entries over the children of a node, by their next word; 0 keeps what ends here."""
+        shift, mask = self.bits * (self.longest - 2), (1 << self.bits * (self.longest - 1)) - 1
+        i = 0
+        while i < len(keys):
+            head, j = keys[i] >> shift, i
+            while j < len(keys) and keys[j] >> shift == head:
+                j += 1
+            self.put(node, head, [k << self.bits & mask for k in keys[i:j]], counts[i:j], depth + 1)
+            i = j
+
+    def count(self, node) -> int:
+        return len(node) if isinstance(node, Container) else sum(map(self.count, node.values()))
+
+    def entries(self, node):
+        """(packed ids, count) of a subtree, as they stand below its root."""
+        if isinstance(node, Container):
+            yield from node.items()
+            return
+        shift = self.bits * (self.longest - 2)
+        for head, below in node.items():
+            for packed, n in self.entries(below):
+                yield head << shift | packed >> self.bits, n
+
+    def spill(self, down_to: int, run: int = 50_000):
+        """Take out whole subtrees, the largest first, until `down_to` entries are left; yields (first ids, packed ids, counts) of some at a time."""
+        sizes = {k: self.count(x) for k, x in self.root.items()}
+        heads, lengths, entries, held = [], [], [], 0
+        for k in sorted(sizes, key=sizes.get, reverse=True):
+            if self.size <= down_to:
+                break
+            self.size -= sizes[k]
+            heads.append(k)
+            lengths.append(sizes[k])
+            entries.append(self.entries(self.root.pop(k)))
+            held += sizes[k]
+            if held >= run:
+                yield self.taken(heads, lengths, entries)
+                heads, lengths, entries, held = [], [], [], 0
+        if heads:
+            yield self.taken(heads, lengths, entries)
 
     @staticmethod
-    def burst(container: Counter) -> dict:
-        """The same entries, one level deeper."""
-        node: dict = {}
-        for rest, n in container.items():
-            if len(rest) == 1:
-                node[rest] = n
-            else:
-                node.setdefault(rest[0], Counter())[rest[1:]] = n
-        return node
-
-    def entries(self, node, path: tuple[int, ...] = ()):
-        for k, x in node.items():
-            if isinstance(k, tuple):
-                yield path + k, x
-            else:
-                yield from self.entries(x, (*path, k))
-
-    def spill(self, down_to: int):
-        """Take out whole subtrees, the largest first, until `down_to` entries are left; yields each one's entries."""
-        single = [k for k in self.root if isinstance(k, tuple)]
-        subtrees = {k: sum(1 for _ in self.entries(x)) for k, x in self.root.items() if not isinstance(k, tuple)}
-        if single and self.size > down_to:
-            self.size -= len(single)
-            yield [(k, self.root.pop(k)) for k in single]
-        for k in sorted(subtrees, key=subtrees.get, reverse=True):
-            if self.size <= down_to:
-                return
-            self.size -= subtrees[k]
-            yield [(p, n) for p, n in self.entries(self.root.pop(k), (k,))]
+    def taken(heads: list[int], lengths: list[int], entries: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        both = np.fromiter(chain.from_iterable(chain.from_iterable(entries)), np.int64, 2 * sum(lengths)).reshape(-1, 2)
+        return np.repeat(np.array(heads, np.int64), lengths), both[:, 0], both[:, 1]
 
 
-class Numbers(dict):
+class Numbers:
     """Ids of the words that may be part of a counted phrase; 0 for all others."""
 
     def __init__(self, lang: str, bits: np.ndarray):
-        super().__init__({BREAK: 0})
         self.lang, self.bits = lang.encode() + b"\0", bits
-        self.words, self.hashes = [b""], [0]
-        self.known = np.empty(0, np.uint64)
-
-    def all_hashes(self) -> np.ndarray:
-        self.known = np.append(self.known, np.array(self.hashes[len(self.known) :], np.uint64))
-        return self.known
+        self.ids: dict[bytes, int] = {BREAK: 0}
+        self.words = [b""]
+        self.hashes = np.zeros(1, np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(self.lang + word)
-        at = mixed_one(h) & (len(self.bits) * 64 - 1)
-        if not int(self.bits[at >> 6]) >> (at & 63) & 1:
-            self[word] = 0
-            return 0
-        self[word] = n = len(self.words)
-        self.words.append(word)
-        self.hashes.append(h)
-        return n
+    def of(self, tokens: list[bytes]) -> np.ndarray:
+        new = list(set(tokens).difference(self.ids))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, [self.lang + w for w in new]), np.uint64, len(new))
+        known = has(self.bits, mixed(hashes))
+        self.ids.update(zip(new, np.where(known, len(self.words) - 1 + np.cumsum(known), 0).tolist(), strict=True))
+        self.words += [new[i] for i in np.flatnonzero(known).tolist()]
+        self.hashes = np.append(self.hashes, hashes[known])
+        return np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
 
 
 def mixed(h: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
@@ -146,33 +187,33 @@ def phrase_hash(lang: str, words: list[str]) -> int:
     return x
 
 
-def occurrences(ids: np.ndarray, hashes: np.ndarray, size: int, shorter: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different phrases of `size` words (a row of ids each) and their counts; every phrase of `shorter` words in them must be in the bit table."""
+def occurrences(ids: np.ndarray, hashes: np.ndarray, size: int, shorter: int, bits: np.ndarray, trie: Trie) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first id, packed further ids, count) of the different phrases of `size` words; every phrase of `shorter` words in them must be in the bit table."""
     n = len(ids) - size + 1
     if n <= 0:
-        return np.empty((0, size), np.int64), np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 3
     there = ids > 0
     window = reduce(np.logical_and, [there[i : len(ids) - shorter + 1 + i] for i in range(shorter)])
     if shorter > 1:  # single words were looked up when they were numbered
         word = hashes[ids]
         window &= has(bits, reduce(lambda x, i: mixed(word[i : len(ids) - shorter + 1 + i], x), range(shorter), None))
     at = np.flatnonzero(reduce(np.logical_and, [window[i : i + n] for i in range(size - shorter + 1)]))
-    # Number phrases from left to right: a pair of numbers below 2^32 is one of 64 bits.
-    key = ids[at]
-    for i in range(1, size):
-        distinct, key = np.unique(key << 32 | ids[at + i], return_inverse=True)
-    if not len(at):
-        return np.empty((0, size), np.int64), np.empty(0, np.int64)
-    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    return np.stack([ids[at[first] + i] for i in range(size)], 1), counts
+    first, packed = ids[at], trie.pack(np.stack([ids[at + i] for i in range(1, size)], 1))
+    order = np.lexsort((packed, first))
+    first, packed = first[order], packed[order]
+    new = np.flatnonzero(np.append(True, (np.diff(first) != 0) | (np.diff(packed) != 0))[: len(at)])
+    return first[new], packed[new], np.diff(np.append(new, len(at)))
 
 
-def run_of(lang: str, words: list[bytes], entries: list) -> pa.RecordBatch:
-    """A subtree as a sorted run of rows."""
-    rows = sorted((b" ".join([words[i] for i in path]), n) for path, n in entries)
-    phrases = [p.decode() for p, _ in rows]
-    prefixes = [" ".join(p.split(" ", 3)[:3]) for p in phrases]
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(prefixes, pa.string()), pa.array(phrases, pa.string()), pa.array([n for _, n in rows], pa.int64())], ["lang", "prefix", "phrase", "n"])
+def runs_of(lang: str, numbers: Numbers, trie: Trie, down_to: int):
+    """Subtrees that leave a trie, as runs of rows sorted by phrase; the prefix of a phrase, its first three words, is hashed."""
+    names = pa.array(numbers.words, pa.binary()).cast(pa.string())
+    for first, packed, counts in trie.spill(down_to):
+        ids = trie.unpack(first, packed)
+        prefix = reduce(lambda x, i: np.where(i > 0, mixed(numbers.hashes[i], x), x), ids[1:3], mixed(numbers.hashes[first]))
+        phrase = pc.binary_join_element_wise(*[pc.if_else(pa.array(i > 0), names.take(pa.array(i)), None) for i in ids], pa.scalar(" "), null_handling="skip")
+        batch = pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(first), np.int32)), pa.array([lang])).cast(pa.string()), pa.array((prefix >> np.uint64(48)).astype(np.int32)), phrase, pa.array(counts)], ["lang", "prefix", "phrase", "n"])
+        yield batch.take(pc.sort_indices(phrase))
 
 
 def texts_by_lang(batch) -> dict[str, list[bytes]]:
@@ -189,15 +230,14 @@ def count_words(batches):
     def rows():
         for lang, counts in held.items():
             counts.pop(BREAK, None)
-            total, names = sum(counts.values()), list(counts)
-            for i in range(0, len(names), 50_000):
-                some = names[i : i + 50_000]
-                words = pa.array(some, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), words, words, pa.array([counts[w] for w in some], pa.int64())], ["lang", "prefix", "phrase", "n"])
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.array([total], pa.int64())], ["lang", "prefix", "phrase", "n"])
-
-    for batch in slices(batches, 1024):
+            words, n = pa.array(counts.keys(), pa.binary()).cast(pa.string()), np.fromiter(counts.values(), np.int64, len(counts))
+            for i in range(0, len(words), 50_000):
+                some = words[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.nulls(len(some), pa.int32()), some, pa.array(n[i : i + 50_000])], ["lang", "prefix", "phrase", "n"])
+            if counts:
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([n.sum()])], ["lang", "prefix", "phrase", "n"])
+
+    for batch in slices(batches, 4096):
         for lang, texts in texts_by_lang(batch).items():
             held.setdefault(lang, Counter()).update(tokens_of(texts))
         if sum(map(len, held.values())) > WORDS:
@@ -214,35 +254,34 @@ def count_longer(sizes: tuple[int, ...], bit_tables):
         words_table, table = bit_tables.value[1], bit_tables.value[shorter]
         held: dict[str, tuple[Numbers, Trie]] = {}
 
-        def spill(lang, down_to):
-            numbers, trie = held[lang]
-            for entries in trie.spill(down_to):
-                yield run_of(lang, numbers.words, entries)
-
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 4096):
             for lang, texts in texts_by_lang(batch).items():
-                numbers, trie = held.setdefault(lang, (Numbers(lang, words_table), Trie()))
                 tokens = tokens_of(texts)
-                ids = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-                hashes = numbers.all_hashes()
-                for size in sizes:
-                    phrases, counts = occurrences(ids, hashes, size, shorter, table)
-                    for phrase, n in zip(map(tuple, phrases.tolist()), counts.tolist(), strict=True):
-                        trie.add(phrase, n)
-                    if trie.size > HELD:
-                        yield from spill(lang, HELD // 4)
-            for lang in [k for k, (numbers, _) in held.items() if len(numbers) > WORDS] or (list(held) if sum(len(x) + t.size for x, t in held.values()) > WORDS + 2 * HELD else []):
-                yield from spill(lang, 0)
-                del held[lang]
-        for lang in held:
-            yield from spill(lang, 0)
+                for start in range(0, len(tokens), TOKENS):
+                    numbers, trie = held.setdefault(lang, (Numbers(lang, words_table), Trie(sizes[-1])))
+                    # A stretch ends with the first words of the next, which no whole phrase of this one begins with.
+                    ids = numbers.of(tokens[start : start + TOKENS + sizes[-1] - 1])
+                    for size in sizes:
+                        trie.add(*occurrences(ids[: TOKENS + size - 1], numbers.hashes, size, shorter, table, trie))
+                    if len(numbers.ids) > min(WORDS, 1 << trie.bits - 1):
+                        yield from runs_of(lang, numbers, trie, 0)
+                        del held[lang]
+                    elif trie.size > HELD:
+                        yield from runs_of(lang, numbers, trie, HELD // 4)
+            if sum(len(x.ids) + t.size for x, t in held.values()) > WORDS + 2 * HELD:
+                for lang, (numbers, trie) in held.items():
+                    yield from runs_of(lang, numbers, trie, 0)
+                held.clear()
+        for lang, (numbers, trie) in held.items():
+            yield from runs_of(lang, numbers, trie, 0)
 
     return count
 
 
-def merged(runs: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, n) of runs merged for each prefix partition, from `least` occurrences on; totals without a phrase stay."""
-    return runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("n")).where(F.col("phrase").isNull() | (F.col("n") >= least)).drop("prefix")
+def merged(runs: DataFrame, least: int, *prefix: str) -> DataFrame:
+    """(lang, phrase, n) of runs merged in partitions of a prefix, from `least` occurrences on; totals without a phrase stay."""
+    dealt = runs.repartition("lang", *prefix) if prefix else runs
+    return dealt.groupBy("lang", *prefix, "phrase").agg(F.sum("n").alias("n")).where(F.col("phrase").isNull() | (F.col("n") >= least)).select("lang", "phrase", "n")
 
 
 def bit_table(phrases: DataFrame, most_bits: int) -> np.ndarray:
@@ -263,13 +302,13 @@ def bit_table(phrases: DataFrame, most_bits: int) -> np.ndarray:
 def frequent_phrases(plain: DataFrame, least: int, longest: int, most_bits: int) -> DataFrame:
     """(lang, phrase, n, size) of all phrases of up to `longest` words with `least` occurrences; size 0 is a language's number of words."""
     sc = plain.sparkSession.sparkContext
-    found = [written(merged(plain.mapInArrow(count_words, COUNTED), least).withColumn("size", F.when(F.col("phrase").isNull(), 0).otherwise(1)), "phrases-1")]
+    found = [written(merged(plain.mapInArrow(count_words, COUNTED).repartition("lang", "phrase"), least).withColumn("size", F.when(F.col("phrase").isNull(), 0).otherwise(1)), "phrases-1")]
     tables: dict[int, np.ndarray] = {}
     passes = [(2,), tuple(range(3, longest + 1))]
     for sizes in [p for p in passes if p and p[-1] <= longest]:
         tables = {k: t for k, t in tables.items() if k == 1} | {sizes[0] - 1: bit_table(found[-1].where("phrase is not null"), most_bits)}
         given = sc.broadcast(tables)
-        counted = merged(plain.mapInArrow(count_longer(sizes, given), COUNTED), least)
+        counted = merged(plain.mapInArrow(count_longer(sizes, given), COUNTED), least, "prefix")
         found.append(written(counted.withColumn("size", F.size(F.split("phrase", " "))), f"phrases-{sizes[0]}"))
         given.destroy()
     return reduce(DataFrame.unionByName, found)

@@ -60,7 +60,7 @@ def mined(df):
 
 def test_phrases_equal_brute_force(spark, monkeypatch):
     # Small containers, so that they burst and leave as runs; so few bits that wrong phrases are let through.
-    for name, value in (("BURST", 3), ("HELD", 20), ("WORDS", 40)):
+    for name, value in (("BURST", 3), ("HELD", 20), ("WORDS", 12), ("TOKENS", 7)):
         monkeypatch.setattr(phrases, name, value)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(12)] + ["É", "#", "\x1c", "Straße"]
@@ -74,17 +74,20 @@ def test_phrases_equal_brute_force(spark, monkeypatch):
 
 def test_trie_bursts_and_spills_whole_subtrees(monkeypatch):
     monkeypatch.setattr(phrases, "BURST", 4)
-    rng, trie, want = random.Random(1), phrases.Trie(), Counter()
-    for _ in range(3000):
-        p = tuple(rng.randrange(1, 6) for _ in range(rng.choice([1, 3, 4])))
-        trie.add(p, 2)
-        want[p] += 2
-    assert trie.size == len(want) and not isinstance(trie.root[1], Counter)
+    rng, trie, want = random.Random(1), phrases.Trie(4), Counter()
+    for _ in range(60):
+        batch = Counter(tuple(rng.randrange(1, 6) for _ in range(rng.choice([2, 3, 4]))) for _ in range(50))
+        some = np.array([list(p) + [0] * (4 - len(p)) for p in sorted(batch)])
+        trie.add(some[:, 0], trie.pack(some[:, 1:]), np.array([batch[p] for p in sorted(batch)]))
+        want += batch
+    assert trie.size == len(want) and isinstance(trie.root[1], phrases.Node) and any(isinstance(x, phrases.Node) for x in trie.root[1].values())
     got: Counter = Counter()
     for down_to in (trie.size // 2, 0):
-        for entries in trie.spill(down_to):
-            assert len({p[0] for p, _ in entries if len(p) > 1}) <= 1
-            got.update(dict(entries))
+        for first, packed, counts in trie.spill(down_to, 10):
+            ids = zip(*(x.tolist() for x in trie.unpack(first, packed)), strict=True)
+            for p, n in zip(ids, counts.tolist(), strict=True):
+                assert p[0] not in trie.root
+                got[tuple(i for i in p if i)] += n
         assert trie.size <= down_to
     assert got == want
 
