@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions import exprs as X
+from groundwork.functions.workers import ship
+from groundwork.operators import similarity
 
 KEY = r"^[a-z][a-z0-9-]*\.[A-Za-z0-9_.-]+$"
 FIELDS = ("value", "verified_on", "source_url", "notes")
@@ -110,34 +113,70 @@ def humanize_key(facts: DataFrame, labels: dict[str, str], acronyms: Sequence[st
     return facts.select("key", label.alias("label"))
 
 
-def token_sort(text) -> F.col:
-    return F.array_join(F.array_sort(X.word_tokens(text)), " ")
+def length_blocks(lengths: list[tuple[int, int]], most_chars: int) -> list[tuple[int, int, int]]:
+    """(shortest, longest, parts) of runs of text lengths, from (length, how many) in order; a run has about `most_chars` characters, and a length with more is cut in parts."""
+    blocks: list[list[int]] = []
+    for length, n in lengths:
+        chars = (length + 1) * n
+        if blocks and blocks[-1][2] + chars <= most_chars:
+            blocks[-1][1:] = [length, blocks[-1][2] + chars]
+        else:
+            blocks.append([length, length, chars])
+    return [(lo, hi, -(-chars // most_chars)) for lo, hi, chars in blocks]
 
 
-def fuzzy_faq(questions: DataFrame, faq: DataFrame, priority: dict[str, str], threshold: int = 80, blocked: Sequence[str] = (), most_faq: int = 10_000) -> DataFrame:
-    """(query_id, question, score): a priority keyword wins with 100; else the most similar FAQ question from the threshold on.
+def fuzzy_faq(questions: DataFrame, faq: DataFrame, priority: dict[str, str], threshold: int = 80, blocked: Sequence[str] = (), block_chars: int = 1 << 20, part_rows: int = 20_000) -> DataFrame:
+    """(query_id, question, score): a priority keyword's question wins with 100 if the FAQ has it; else the most similar FAQ question from the threshold on.
 
-    Similarity: 100 * (1 - edit distance / longer length) of the sorted tokens. A question is compared
-    with the whole FAQ, save entries whose length alone keeps them below the threshold. Without a token
-    there is no match. The FAQ is a short list (at most `most_faq` rows, else an error).
+    Similarity is 100 * (1 - insertions and deletions / characters of both), over the sorted lower-case words of
+    any script, rounded; equal ones go by question. Without a word there is no match, and a question in
+    `blocked` is matched by none: where it would be the best, nothing is.
+
+    The FAQ may be of any size. Its different texts are dealt by length into blocks of about `block_chars`
+    characters, and the different questions into parts; a part meets only the blocks whose lengths can reach the
+    threshold, and all texts of a block at once, as one bit vector. Each part keeps its best alone. Of the FAQ
+    only its text lengths and their counts come to the driver.
     """
-    listed = faq.select("question").where(~F.col("question").isin(list(blocked))).distinct().limit(most_faq + 1).collect()
-    if len(listed) > most_faq:
-        raise ValueError(f"more than {most_faq} questions")
-    known = faq.sparkSession.createDataFrame(listed, "question string").withColumn("fs", token_sort("question"))
-    q = questions.select("query_id", "text", token_sort("text").alias("qs"))
+    ship(faq.sparkSession)
+    sort_words = F.arrow_udf(lambda text: pa.array([similarity.sorted_words(x) for x in text.to_pylist()], pa.string()), "string")
+    listed = {r[0] for r in faq.where(F.col("question").isin(list(priority.values()))).select("question").distinct().collect()}
     hit = F.lit(None).cast("string")
-    for word, question in reversed(priority.items()):
-        hit = F.when(F.lower("text").contains(word.lower()), question).otherwise(hit)
-    first = q.withColumn("p", hit)
-    pairs = first.where("p is null and qs <> ''").select("query_id", "qs")
-    longest = F.greatest(F.length("qs"), F.length("fs"))
-    # An edit distance is at least the difference in length; scores are rounded, so half a point counts as one.
-    near = F.abs(F.length("qs") - F.length("fs")) * 100 <= longest * (100.5 - threshold)
-    met = pairs.join(F.broadcast(known.where("fs <> ''")), near)
-    score = F.round(100 * (1 - F.levenshtein("qs", "fs") / longest)).cast("int")
-    best = met.withColumn("score", score).where(F.col("score") >= threshold).groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "question")).alias("b"))
-    return first.where("p is not null").select("query_id", F.col("p").alias("question"), F.lit(100).alias("score")).unionByName(best.select("query_id", F.col("b.question").alias("question"), (-F.col("b.s")).alias("score")))
+    for word, question in reversed([(w, q) for w, q in priority.items() if q in listed]):
+        hit = F.when(F.contains(F.lower("text"), F.lit(word.lower())), question).otherwise(hit)
+    asked = questions.select("query_id", "text", hit.alias("p"))
+    open_ = asked.where("p is null").select("query_id", sort_words("text").alias("qs"))
+    known = faq.where("question is not null").select("question", sort_words("question").alias("fs")).where("fs <> ''").groupBy("fs").agg(F.min("question").alias("question"))
+
+    texts = known.withColumn("n", F.length("fs"))
+    blocks = length_blocks(sorted((r[0], r[1]) for r in texts.groupBy("n").count().collect()), block_chars)
+    if not blocks:
+        return asked.where("p is not null").select("query_id", F.col("p").alias("question"), F.lit(100).alias("score"))
+    distinct = open_.where("qs <> ''").select("qs").distinct()
+    parts = max(1, -(-distinct.count() // part_rows))
+    share = similarity.shortest_share(threshold)
+    every = F.array(*[F.struct(F.lit(i).alias("b"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(k).alias("k")) for i, (lo, hi, k) in enumerate(blocks)])
+    n = F.length("qs")
+    near = F.filter(every, lambda x: (x["hi"] >= n * share) & (x["lo"] * share <= n))
+    left = distinct.select("qs", F.pmod(F.xxhash64("qs"), F.lit(parts)).cast("int").alias("part"), F.explode(near).alias("x")).select("qs", "part", "x.b", F.explode(F.sequence(F.lit(0), F.col("x.k") - 1)).alias("cut"))
+    mine = F.filter(every, lambda x: (x["lo"] <= F.col("n")) & (F.col("n") <= x["hi"]))[0]
+    right = texts.select("fs", "question", mine.alias("x")).select("fs", "question", "x.b", F.pmod(F.xxhash64("fs"), F.col("x.k")).cast("int").alias("cut"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def best_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = sorted(zip(right.column("question").to_pylist(), right.column("fs").to_pylist(), strict=True)) if left.num_rows else []
+        block = similarity.Block([t for _, t in rows])
+        out = []
+        for q in left.column("qs").to_pylist() if rows else []:
+            scores = block.scores(q)
+            at = int(scores.argmax())  # the first of equal ones, so the smallest question
+            if round(float(scores[at])) >= threshold:
+                out.append((q, rows[at][0], float(scores[at])))
+        return pa.table({"qs": pa.array([x[0] for x in out], pa.string()), "question": pa.array([x[1] for x in out], pa.string()), "exact": pa.array([x[2] for x in out], pa.float64())})
+
+    keys = ("b", "cut", "part")
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best_of, "qs string, question string, exact double")
+    best = met.groupBy("qs").agg(F.min(F.struct((-F.col("exact")).alias("s"), "question")).alias("m")).select("qs", "m.question", F.bround(-F.col("m.s")).cast("int").alias("score"))
+    found = open_.join(best.where(~F.col("question").isin(list(blocked))), "qs").select("query_id", "question", "score")
+    return asked.where("p is not null").select("query_id", F.col("p").alias("question"), F.lit(100).alias("score")).unionByName(found)
 
 
 def flatten_faq(df: DataFrame, faq: str = "faq", keep: Sequence[str] = ()) -> DataFrame:

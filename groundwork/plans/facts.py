@@ -96,18 +96,25 @@ def e9(spark, sf_dir):
     return E.humanize_key(keys, special, ["usd"])
 
 
-FAQ_SQL = "faq AS (SELECT array_to_string(string_split_regex(trim(text), '\\s+')[1:8], ' ') AS question FROM benchmark)"
+def _sorted_sql(text: str) -> str:
+    return f"array_to_string(list_sort(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+')), ' ')"
 
 
-@query("e10_fuzzy_faq", f"""WITH {FAQ_SQL}, asked AS (SELECT c.conv_id * 100 + c.turn AS query_id, CASE c.turn % 3 WHEN 0 THEN f.question || ' ok' WHEN 1 THEN c.text ELSE 'what is the Refund rule' END AS text FROM conversations c JOIN (SELECT question, item_id FROM (SELECT array_to_string(string_split_regex(trim(text), '\\s+')[1:8], ' ') AS question, item_id FROM benchmark)) f ON f.item_id = c.conv_id % 40 WHERE role = 'user'),
-q AS (SELECT query_id, text, list_sort(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM asked), f AS (SELECT DISTINCT question, list_sort(regexp_extract_all(lower(question), '[a-z0-9]+')) AS t FROM faq),
-m AS (SELECT query_id, question, round(100 * (1 - levenshtein(array_to_string(q.t, ' '), array_to_string(f.t, ' ')) / greatest(length(array_to_string(q.t, ' ')), length(array_to_string(f.t, ' ')))))::INT AS score FROM q JOIN f ON list_has_any(q.t, f.t) WHERE NOT contains(lower(text), 'refund'))
-SELECT query_id, 'How do refunds work?' AS question, 100 AS score FROM q WHERE contains(lower(text), 'refund') UNION ALL SELECT query_id, question, score FROM (SELECT * FROM m WHERE score >= 80 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, question) = 1)""")
+# What each kind of question is to find, said outright: a text with one more word, the same words in another order, a
+# keyword whose question is listed, one whose question is not, and prose that nothing resembles.
+@query("e10_fuzzy_faq", f"""WITH n AS (SELECT max(item_id) + 1 AS n FROM benchmark), items AS (SELECT item_id, min(text) OVER (PARTITION BY {_sorted_sql('text')}) AS question, length({_sorted_sql('text')}) AS l FROM benchmark),
+asked AS (SELECT conv_id * 100 + turn AS query_id, turn % 5 AS kind, question, l FROM conversations, n JOIN items ON item_id = conv_id % n WHERE role = 'user')
+SELECT query_id, question, round_even(100.0 * 2 * l / (2 * l + 3), 0)::INT AS score FROM asked WHERE kind = 0 AND 100.0 * 2 * l / (2 * l + 3) >= 79.5 UNION ALL SELECT query_id, question, 100 FROM asked WHERE kind = 1
+UNION ALL SELECT query_id, 'How do refunds work?', 100 FROM asked WHERE kind = 2""")
 def e10(spark, sf_dir):
-    faq = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 8), " ").alias("question"))
-    c = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("item_id", F.col("conv_id") % 40).join(faq, "item_id")
-    text = F.when(F.col("turn") % 3 == 0, F.concat("question", F.lit(" ok"))).when(F.col("turn") % 3 == 1, F.col("text")).otherwise("what is the Refund rule")
-    return E.fuzzy_faq(c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), text.alias("text")), faq, {"refund": "How do refunds work?"})
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    n = items.agg(F.max("item_id")).first()[0] + 1
+    c = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("item_id", F.col("conv_id") % n).join(items, "item_id")
+    turned = F.array_join(F.reverse(F.split("question", r"\s+")), " ")
+    kinds = F.array(F.concat("question", F.lit(" zz")), turned, F.lit("What is the Refund rule"), F.lit("and the warranty rule"), F.col("text"))
+    asked = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), kinds[(F.col("turn") % 5).cast("int")].alias("text"))
+    faq = items.select("question").unionAll(spark.range(1).select(F.lit("How do refunds work?")))
+    return E.fuzzy_faq(asked, faq, {"warranty": "How long is the warranty?", "refund": "How do refunds work?"})
 
 
 @query("e11_flatten_faq", "SELECT item_id, 'general' AS category, 0 AS position, 'Q' || item_id AS question, text AS answer FROM benchmark UNION ALL SELECT item_id, 'general', 1, 'R', 'none' FROM benchmark UNION ALL SELECT item_id, 'odd', 0, 'S', NULL FROM benchmark")
