@@ -6,16 +6,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundwork.functions import exprs as X
-from groundwork.functions.workers import ship
-from groundwork.operators import markup
+from groundwork.functions.workers import ship, slices
+from groundwork.operators import markup, nearest
 
 # White space of any script, as text is split at.
-BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
+BLANKS = r"(?U)[\s\x1C-\x1F]+"
 
 
 def scan_inventory(df: DataFrame, kind: str = "pdf", ok_status: str = "ok") -> DataFrame:
@@ -77,33 +78,63 @@ def chunk_chars(df: DataFrame, text: str = "text", size: int = 1000, keep: tuple
     return rows.select(*keep, "chunk_index", F.substring(text, F.col("chunk_index") * size + 1, F.lit(size)).alias("content"))
 
 
+def gram_sums(texts: list[list[str] | None], dim: int, sizes: tuple[int, ...], known: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(row * dim + bucket, signed count) of the grams of some texts, sums of zero left out; each different gram is hashed once."""
+    grams = [[g for n in sizes for g in (map(" ".join, zip(*(words[i:] for i in range(n)))) if n > 1 else words)] for words in (t or [] for t in texts)]
+    for g in set().union(*grams).difference(known):
+        d = hashlib.sha256(g.encode()).digest()
+        known[g] = int.from_bytes(d[:8], "big") % dim, 1 - 2 * (d[8] & 1)
+    lengths = [len(g) for g in grams]
+    both = np.array([known[g] for row in grams for g in row], np.int64).reshape(-1, 2)
+    slot, at = np.unique(np.repeat(np.arange(len(grams)), lengths) * dim + both[:, 0], return_inverse=True)
+    v = np.bincount(at, weights=both[:, 1], minlength=len(slot))
+    return slot[v != 0], v[v != 0]
+
+
+KNOWN_GRAMS = 500_000  # that a task keeps before it forgets them
+
+
 def hash_embed(df: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 256, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
     """Sparse signed hashing embedding of unit length: (key, bucket, weight), for each row of its own.
 
     Bucket: the first eight bytes of the gram's sha256, unsigned, modulo dim; sign: parity of the ninth.
     Grams of a row are counted and hashed where the row is, so nothing is shuffled. Zero weights are left out.
     """
+    ship(df.sparkSession)
     tokens = df.select(key, X.word_tokens(text).alias("t"))
     schema = T.StructType([tokens.schema[key]]).add("bucket", "integer").add("weight", "double")
 
     def work(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                digests, lengths = [], []
-                for words in part.column("t").to_pylist():
-                    words = words or []
-                    grams = [g for n in sizes for g in (map(" ".join, zip(*(words[i:] for i in range(n)))) if n > 1 else words)]
-                    digests += [hashlib.sha256(g.encode()).digest() for g in grams]
-                    lengths.append(len(grams))
-                d = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 32)
-                bucket = np.ascontiguousarray(d[:, :8]).view(">u8").ravel() % np.uint64(dim)
-                slot, at = np.unique(np.repeat(np.arange(len(lengths)), lengths) * dim + bucket.astype(np.int64), return_inverse=True)
-                v = np.bincount(at, weights=1.0 - 2.0 * (d[:, 8] & 1), minlength=len(slot))
-                row, full = slot // dim, v != 0
-                norm = np.sqrt(np.bincount(row, weights=v * v, minlength=len(lengths)))
-                row, slot, v = row[full], slot[full], v[full]
-                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(row)), pa.array((slot % dim).astype(np.int32)), pa.array(v / norm[row])], schema.names)
+        known: dict = {}
+        for part in slices(batches, 256):
+            slot, v = gram_sums(part.column("t").to_pylist(), dim, sizes, known)
+            row = slot // dim
+            norm = np.sqrt(np.bincount(row, weights=v * v, minlength=part.num_rows))
+            yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(row)), pa.array((slot % dim).astype(np.int32)), pa.array(v / norm[row])], schema.names)
+            if len(known) > KNOWN_GRAMS:
+                known.clear()
+
+    return tokens.mapInArrow(work, schema)
+
+
+def hash_vectors(df: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 256, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(key, v): the same embedding as one dense vector on its row; a text without a gram has zeros."""
+    ship(df.sparkSession)
+    tokens = df.select(key, X.word_tokens(text).alias("t"))
+    schema = T.StructType([tokens.schema[key]]).add("v", T.ArrayType(T.DoubleType()))
+
+    def work(batches):
+        known: dict = {}
+        for part in slices(batches, 256):
+            slot, v = gram_sums(part.column("t").to_pylist(), dim, sizes, known)
+            rows = np.zeros(part.num_rows * dim)
+            rows[slot] = v
+            rows = rows.reshape(-1, dim)
+            rows /= np.maximum(np.sqrt((rows * rows).sum(1)), 1)[:, None]
+            ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))], schema.names)
+            if len(known) > KNOWN_GRAMS:
+                known.clear()
 
     return tokens.mapInArrow(work, schema)
 
@@ -114,21 +145,56 @@ def dense(sparse: DataFrame, key: str = "doc_id", dim: int = 256) -> DataFrame:
     return sparse.groupBy(key).agg(entries.alias("m")).select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int, block: int = 200) -> DataFrame:
+def vector_topk(queries: DataFrame, items: DataFrame, k: int, block_bytes: int = 32 << 20, block_rows: int = 4096, chunk_bytes: int = 64 << 20, digits: int | None = None) -> DataFrame:
     """The k nearest items by cosine for each query: (query_id, item_id, score, rank).
 
-    queries (query_id, q) may be any number. Up to `block` of them are broadcast; more are dealt by
-    hash into blocks of about that size, and each task meets one block with one part of the items. Only
-    a count comes to the driver. The window keeps k rows by task before it shuffles. Zero vectors have
-    no score and are left out. Equal scores go by item_id.
+    queries (query_id, q) and items (item_id, v) may be any number. Queries go to the tasks in blocks of about
+    `block_bytes` or `block_rows`, one pass over the items for each block. A task multiplies a block with chunks of items
+    as matrices and passes on the k best of a chunk for each query that may still count; a window ranks them. Item
+    groups that an angle bound rules out are never multiplied. Null and zero vectors, those with a null or
+    infinite part, and pairs of different length have no score and are left out. Equal scores go by item_id;
+    with `digits` scores are rounded first. Repeated ids and vectors count each for itself.
     """
-    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("q").cast("array<double>").alias("q")).withColumn("__m", X.l2_norm("q")).where("__m > 0")
-    blocks = -(-asked.count() // block)
-    part = F.broadcast(asked) if blocks <= 1 else asked.repartition(blocks, "query_id").hint("shuffle_replicate_nl")
-    with_norm = items.withColumn("__n", X.l2_norm("v")).where("__n > 0")
+    spark = items.sparkSession
+    ship(spark)
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("q").cast("array<double>").alias("q"), F.size("q").alias("dim")).where("q is not null and dim > 0")
+    counts = sorted(tuple(r) for r in asked.groupBy("dim").count().collect())
+    vectors = items.select("item_id", F.col("v").cast("array<double>").alias("v"))
+    schema = T.StructType([T.StructField("query_id", T.LongType()), vectors.schema["item_id"]]).add("score", "double")
+
+    def search(dim, given):
+        def work(batches):
+            ids, q, norms = given.value
+            low = np.full(len(ids), -np.inf)
+            for part in slices(batches, max(256, chunk_bytes // (8 * dim))):
+                lengths = pc.fill_null(pc.list_value_length(part.column("v")), 0).to_numpy(zero_copy_only=False)
+                part = part.take(pa.array(np.flatnonzero(lengths == dim)))
+                v = pc.list_flatten(part.column("v")).to_numpy(zero_copy_only=False).reshape(-1, dim)
+                names = part.column("item_id")
+                ranks = np.empty(len(names), np.int64)
+                ranks[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+                at, i, score, _ = nearest.top(q, norms, v, ranks, k, low, digits)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), names.take(pa.array(i)), pa.array(score)], schema.names)
+
+        return work
+
+    found = None
+    for dim, n in counts:
+        blocks = max(-(-n * dim * 8 // block_bytes), -(-n // block_rows))
+        dealt = asked.where(F.col("dim") == dim).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        for b in range(blocks):
+            mine = dealt.where(F.col("block") == b).select("query_id", "q").toArrow()
+            q = pc.list_flatten(mine.column("q")).to_numpy().reshape(-1, dim)
+            norms = nearest.unit(q)[1]
+            real = (norms > 0) & np.isfinite(norms)
+            given = spark.sparkContext.broadcast((mine.column("query_id").to_numpy()[real], q[real], norms[real]))
+            some = vectors.mapInArrow(search(dim, given), schema)
+            found = some if found is None else found.unionAll(some)
+    if found is None:
+        found = vectors.limit(0).select(F.lit(0).cast("bigint").alias("query_id"), "item_id", F.lit(0.0).alias("score"))
+    score = F.col("score") if digits is None else F.round("score", digits)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    scored = with_norm.join(part, F.lit(True)).select("query_id", "item_id", (X.dot(F.col("v"), F.col("q")) / (F.col("__n") * F.col("__m"))).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.select("query_id", "item_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def serving_gate(docs: DataFrame, quarantine_on: bool = True, include_unapproved: bool = False, allow: DataFrame | None = None) -> DataFrame:

@@ -228,16 +228,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash, chunk, embed and rank: which chunks answer benchmark questions best, over all documents. Every 50th item asks."""
     docs = C.with_sha256(table(spark, sf_dir, "documents"))
     chunks = C.chunk_words(docs, keep=("doc_id", "sha256")).withColumn("item_id", F.col("doc_id") * 10000 + F.col("chunk_index"))
-    vectors = C.hash_embed(chunks, "item_id", "content")
     asked = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text")
-    queries = C.hash_embed(asked, "query_id", "text").select("query_id", "bucket", F.col("weight").alias("w"))
-    # Sparse unit vectors: the cosine is a sum over shared buckets.
-    scored = vectors.join(F.broadcast(queries), "bucket").groupBy("query_id", "item_id").agg(F.sum(F.col("weight") * F.col("w")).alias("score"))
-    from pyspark.sql import Window
-
-    score = F.round("score", R6)
-    order = Window.partitionBy("query_id").orderBy(score.desc(), "item_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("query_id", "item_id", score.alias("score"), "rank")
+    queries = C.hash_vectors(asked, "query_id", "text").withColumnRenamed("v", "q")
+    return C.vector_topk(queries, C.hash_vectors(chunks, "item_id", "content"), 5, digits=R6)
 
 
 query("flagship_best_chunks", f"""WITH {CHUNKS_SQL}, texts AS (SELECT doc_id * 10000 + chunk_index AS id, content AS t, false AS asked FROM chunks UNION ALL SELECT item_id, text, true FROM benchmark WHERE item_id % 50 = 0),
