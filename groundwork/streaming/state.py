@@ -1,116 +1,146 @@
-"""Stateful operators as streams: foreachBatch over a versioned state table.
+"""Stateful operators as streams, on Spark's own state: what a micro-batch writes grows with the batch, not with history.
 
-Each micro-batch reads the newest state version below its own number and writes its number's version,
-so a batch that runs again after a failure finds what it found before and overwrites what it left.
-State holds one row for each key; batches are joined with it, nothing is gathered in the driver.
+State lies in the query's checkpoint, one row for each key, so a query that is started again goes on
+where it ended and a batch that runs again leaves the same rows. `keep_state_on_disk` moves it from
+executor memory to RocksDB, whose checkpoints are logs of changes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from groundwork.operators import drift, kpi, surface
+from groundwork.operators import kpi
 
 
-class VersionedState:
-    """A table of versions `v=<batch>` in a folder of any Hadoop file system."""
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Let queries started from now on keep their state in RocksDB and write changes only."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, folder, schema
 
-    def versions(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        done = [n for n in names if n.startswith("v=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done)
+def append(stream: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append a stream's rows as Parquet, each once; by default it takes what is there and ends."""
+    return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start(folder)
 
-    def before(self, batch: int | None = None) -> DataFrame:
-        """The newest version below a batch, or the newest at all; an empty table where there is none."""
-        old = [v for v in self.versions() if batch is None or v < batch]
-        if not old:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v={old[-1]}")
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/v={batch}")
+def write_updates(stream: DataFrame, folder: str, checkpoint: str, mode: str = "update", **trigger) -> StreamingQuery:
+    """Write the rows that each micro-batch changed to `batch=<number>` of a folder; a batch that runs again overwrites its own."""
 
-
-def run(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
-    """Start a stream whose batches go through `step`; by default it takes what is there and ends."""
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def latest_kpi_step(state: VersionedState) -> Callable[[DataFrame, int], None]:
-    """Keeps the newest reading of each (source, metric); a late one never replaces it."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        names = [f.split()[0] for f in state.schema.split(", ")]
-        state.write(kpi.latest_kpi(state.before(number).select(*names).unionByName(batch.select(*names))), number)
-
-    return step
-
-
-HEALTH = "source bigint, at timestamp_ntz, id bigint, ok boolean, consecutive_failures bigint, last_success timestamp_ntz"
-
-
-def poll_health_step(state: VersionedState, late: str) -> Callable[[DataFrame, int], None]:
-    """Carries one health row for each source; polls older than the carried one go to the `late` table."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        old = state.before(number)
-        carried = old.select("source", F.struct("at", "id").alias("seen"))
-        polls = batch.select("source", "at", "id", "outcome").join(carried, "source", "left")
-        on_time = F.col("seen").isNull() | (F.struct("at", "id") > F.col("seen"))
-        polls.where(~on_time).drop("seen").write.mode("overwrite").parquet(f"{late}/v={number}")
-        fresh = polls.where(on_time).drop("seen")
-        last = fresh.groupBy("source").agg(F.max(F.struct("at", "id")).alias("m"), F.max(F.when(F.col("outcome") == "ok", F.lit(True))).alias("won"))
-        now = kpi.latest_health(fresh).join(last, "source").select("source", "m", "won", F.col("ok").alias("ok1"), F.col("consecutive_failures").alias("f1"), F.col("last_success").alias("s1"))
-        both = old.join(now, "source", "full")
-        fails = F.when(F.col("m").isNull(), F.col("consecutive_failures")).when(F.col("won"), F.col("f1")).otherwise(F.col("f1") + F.coalesce("consecutive_failures", F.lit(0)))
-        state.write(both.select("source", F.coalesce("m.at", "at").alias("at"), F.coalesce("m.id", "id").alias("id"), F.coalesce("ok1", "ok").alias("ok"), fails.alias("consecutive_failures"), F.coalesce("s1", "last_success").alias("last_success")), number)
-
-    return step
-
-
-FINDINGS = "slug string, fingerprint string, first_seen timestamp_ntz"
-
-
-def dedup_step(state: VersionedState, out: str) -> Callable[[DataFrame, int], None]:
-    """Writes each finding that was never seen, once."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        old = state.before(number)
-        new = drift.dedup_findings(batch, old)
-        new.write.mode("overwrite").parquet(f"{out}/v={number}")
-        written = batch.sparkSession.read.schema(FINDINGS).parquet(f"{out}/v={number}")
-        state.write(old.unionByName(written), number)
-
-    return step
-
-
-SURFACE = "repo bigint, fingerprint string, first_seen timestamp_ntz"
-
-
-def surface_step(state: VersionedState, accepts: DataFrame, out: str) -> Callable[[DataFrame, int], None]:
-    """Reports a repo's diff once until it is resolved; prints are (repo, fingerprint, seen_at), the last of a batch counts."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("repo").agg(F.max_by(F.struct("fingerprint", "seen_at"), "seen_at").alias("p")).select("repo", "p.*")
-        old = state.before(number)
-        status = surface.surface_status(last, old, accepts)
-        status.write.mode("overwrite").parquet(f"{out}/v={number}")
-        told = batch.sparkSession.read.parquet(f"{out}/v={number}")
-        rest = old.join(told.select("repo"), "repo", "left_anti")
-        state.write(rest.unionByName(told.where("fingerprint is not null").select("repo", "fingerprint", "first_seen")), number)
-
-    return step
+    def step(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def latest_kpi(readings: DataFrame) -> DataFrame:
+    """The newest reading of each (source, metric), again whenever it changes; a late one never replaces it. In mode update."""
+    return kpi.latest_kpi(readings)
+
+
+def micros(time: str) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(time))
+
+
+def from_micros(time: str) -> Column:
+    return F.timestamp_add("MICROSECOND", F.col(time), F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
+def poll_health(polls: DataFrame) -> DataFrame:
+    """(source, at, id, ok, consecutive_failures, last_success, late) of polls (source, at, id, outcome).
+
+    After each micro-batch a source that was polled has one row with late = false: its health at its newest poll,
+    as the batch operator `latest_health` has it. Polls not newer than what an earlier batch had come out
+    as late rows with their own time and id, and change nothing. A failure adds one, a degraded poll
+    changes neither number nor time, a success clears. Polls of a source within a batch may come in any order;
+    the task holds the failures since the newest success, not all polls.
+    """
+
+    def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen_at, seen_id, outcome, fails, success = state.get if state.exists else (None, None, None, 0, None)
+        carried = None if seen_at is None else (seen_at, seen_id)
+        newest, won, open_ = carried, None, pd.DataFrame({"at": [], "id": []}, dtype="int64")
+        for chunk in chunks:
+            if carried is not None:
+                old = (chunk["at"] < carried[0]) | ((chunk["at"] == carried[0]) & (chunk["id"] <= carried[1]))
+                late = chunk[old]
+                if len(late):
+                    yield pd.DataFrame({"source": key[0], "at": late["at"], "id": late["id"], "ok": late["outcome"] == "ok", "consecutive_failures": pd.array([None] * len(late), "Int64"), "last_success": pd.array([None] * len(late), "Int64"), "late": True})
+                chunk = chunk[~old]
+            if not len(chunk):
+                continue
+            last = chunk.sort_values(["at", "id"]).iloc[-1]
+            if newest is None or (last["at"], last["id"]) > newest:
+                newest, outcome = (int(last["at"]), int(last["id"])), last["outcome"]
+            wins = chunk[chunk["outcome"] == "ok"].sort_values(["at", "id"])
+            if len(wins) and (won is None or (wins.iloc[-1]["at"], wins.iloc[-1]["id"]) > won):
+                won = (int(wins.iloc[-1]["at"]), int(wins.iloc[-1]["id"]))
+            open_ = pd.concat([open_, chunk.loc[chunk["outcome"] == "failed", ["at", "id"]]])
+            if won is not None:
+                open_ = open_[(open_["at"] > won[0]) | ((open_["at"] == won[0]) & (open_["id"] > won[1]))]
+        if newest == carried:
+            return
+        fails = len(open_) + (0 if won else fails)
+        success = won[0] if won else success
+        state.update((*newest, outcome, fails, success))
+        yield pd.DataFrame({"source": [key[0]], "at": [newest[0]], "id": [newest[1]], "ok": [outcome == "ok"], "consecutive_failures": [fails], "last_success": pd.array([success], "Int64"), "late": [False]})
+
+    source = polls.schema["source"].dataType.simpleString()
+    rows = polls.select("source", micros("at").alias("at"), F.col("id").cast("long").alias("id"), "outcome").groupBy("source")
+    out = rows.applyInPandasWithState(update, f"source {source}, at long, id long, ok boolean, consecutive_failures long, last_success long, late boolean", "at long, id long, outcome string, fails long, success long", "append", GroupStateTimeout.NoTimeout)
+    return out.withColumns({"at": from_micros("at"), "last_success": from_micros("last_success")})
+
+
+def new_findings(findings: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(slug, fingerprint, first_seen) of findings (slug, fingerprint, detected_at) that were never seen, each once.
+
+    first_seen is the earliest time within the micro-batch that brought the finding. `known` findings of
+    a table stay silent.
+    """
+
+    def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first = min(int(c["at"].min()) for c in chunks)
+        if not state.exists:
+            yield pd.DataFrame({"slug": [key[0]], "fingerprint": [key[1]], "first_seen": [first]})
+            state.update((True,))
+
+    fresh = findings if known is None else findings.join(known.select("slug", "fingerprint"), ["slug", "fingerprint"], "left_anti")
+    rows = fresh.select("slug", "fingerprint", micros("detected_at").alias("at")).groupBy("slug", "fingerprint")
+    out = rows.applyInPandasWithState(update, "slug string, fingerprint string, first_seen long", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    return out.withColumn("first_seen", from_micros("first_seen"))
+
+
+def surface_status(prints: DataFrame) -> DataFrame:
+    """(repo, status, fingerprint, first_seen, last_seen) of prints (repo, fingerprint or null, seen_at, accepted), one row for each repo of a micro-batch.
+
+    The last print of a batch counts. accepted: the diff becomes the baseline; silent: nothing differs; both clear
+    the repo's state. suppressed: the diff is the open one; reported: it is not, and is open from now on, since
+    the time at which this repo's diff was first seen.
+    """
+
+    def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = max((c.sort_values("at").iloc[-1] for c in chunks), key=lambda r: r["at"])
+        at, mark = int(last["at"]), None if pd.isna(last["fingerprint"]) else last["fingerprint"]
+        old, since = state.get if state.exists else (None, None)
+        status = "accepted" if bool(last["accepted"]) else "silent" if mark is None else "suppressed" if mark == old else "reported"
+        if status in ("accepted", "silent"):
+            if state.exists:
+                state.remove()
+            mark = first = at = None
+        else:
+            first = at if since is None else since
+            state.update((mark, first))
+        yield pd.DataFrame({"repo": [key[0]], "status": [status], "fingerprint": [mark], "first_seen": pd.array([first], "Int64"), "last_seen": pd.array([at], "Int64")})
+
+    repo = prints.schema["repo"].dataType.simpleString()
+    rows = prints.select("repo", "fingerprint", micros("seen_at").alias("at"), F.coalesce("accepted", F.lit(False)).alias("accepted")).groupBy("repo")
+    out = rows.applyInPandasWithState(update, f"repo {repo}, status string, fingerprint string, first_seen long, last_seen long", "fingerprint string, since long", "append", GroupStateTimeout.NoTimeout)
+    return out.withColumns({"first_seen": from_micros("first_seen"), "last_seen": from_micros("last_seen")})
 
 
 def enabled_stream(stream: DataFrame, switches: DataFrame) -> DataFrame:
