@@ -232,22 +232,27 @@ def render_markdown(md: Column) -> Column:
 
 
 def render_block(b: Column) -> Column:
-    """A typed block as text; buttons render to nothing."""
+    """A typed block as text; buttons render to nothing, and a type that is not known is an error."""
     links = F.array_join(F.transform(b["items"], lambda i: F.concat(F.lit("["), X.escape_text(i["label"]), F.lit("]("), X.escape_link(i["url"]), F.lit(")"))), "\n")
     fact = F.concat(F.lit("*"), X.escape_text(b["label"]), F.lit("*\n"), X.escape_text(b["value"]), F.lit("\nSource: ["), X.escape_text(b["source"]), F.lit("]("), X.escape_link(b["source"]), F.lit(")\nAs of "), X.escape_text(b["as_of"]))
     return (
         F.when(b["type"] == "heading", F.concat(F.lit("*"), X.escape_text(b["text"]), F.lit("*"))).when(b["type"] == "paragraph", render_markdown(b["text"])).when(b["type"] == "fact", fact)
-        .when(b["type"] == "links", links).when(b["type"] == "warning", F.concat(F.lit("⚠️ *Warning:* "), render_markdown(b["text"]))).otherwise("")
+        .when(b["type"] == "links", links).when(b["type"] == "warning", F.concat(F.lit("⚠️ *Warning:* "), render_markdown(b["text"])))
+        .when(b["type"] == "buttons", "").otherwise(F.raise_error(F.concat(F.lit("unknown block type "), F.coalesce(b["type"], F.lit("null")))))
     )
 
 
 def render_blocks(responses: DataFrame, blocks: str = "blocks") -> DataFrame:
-    """Add rendered, the non-empty texts of the blocks in order."""
-    return responses.withColumn("rendered", F.filter(F.transform(blocks, render_block), lambda t: t != ""))
+    """Add rendered, the non-empty texts of the blocks in order, and buttons, the (label, url) of all button blocks in order."""
+    pressed = F.flatten(F.transform(F.filter(blocks, lambda b: b["type"] == "buttons"), lambda b: F.transform(b["items"], lambda i: F.struct(i["label"].alias("label"), i["url"].alias("url")))))
+    return responses.withColumns({"rendered": F.filter(F.transform(blocks, render_block), lambda t: t != ""), "buttons": pressed})
 
 
 def pack_messages(rendered: DataFrame, texts: str = "rendered", limit: int = 4096) -> DataFrame:
-    """Add parts: texts joined by blank lines up to `limit` characters; one text is never cut; no text is one empty part."""
+    """Add parts: texts joined by blank lines up to `limit` characters; one text is never cut; no text is one empty part.
+
+    Where there is a column `buttons`, messages is added too: each part as (text, buttons), all buttons with the last.
+    """
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("cur"))
 
     def fold(acc: Column, t: Column) -> Column:
@@ -255,7 +260,11 @@ def pack_messages(rendered: DataFrame, texts: str = "rendered", limit: int = 409
         over = (F.length(joined) > limit) & (acc["cur"] != "")
         return F.struct(F.when(over, F.array_append(acc["parts"], acc["cur"])).otherwise(acc["parts"]).alias("parts"), F.when(over, t).otherwise(joined).alias("cur"))
 
-    return rendered.withColumn("parts", F.aggregate(texts, start, fold, lambda acc: F.array_append(acc["parts"], acc["cur"])))
+    packed = rendered.withColumn("parts", F.aggregate(texts, start, fold, lambda acc: F.array_append(acc["parts"], acc["cur"])))
+    if "buttons" not in rendered.columns:
+        return packed
+    last = lambda i: i == F.size("parts") - 1
+    return packed.withColumn("messages", F.transform("parts", lambda t, i: F.struct(t.alias("text"), F.when(last(i), F.col("buttons")).otherwise(F.slice("buttons", 1, 0)).alias("buttons"))))
 
 
 def chat_context(turns: DataFrame, n: int = 3) -> DataFrame:

@@ -226,7 +226,7 @@ def f19(spark, sf_dir):
     return M.match_topics(m, TOPICS, sections, RELATED)
 
 
-@query("f20_cache_hits", """WITH e AS (SELECT user_id, event_type, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS age FROM events)
+@query("f20_repeated_within", """WITH e AS (SELECT user_id, event_type, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS age FROM events)
 SELECT user_id, event_type, event_id, coalesce(age < 86400000000, false) AS hit FROM e""")
 def f20(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("seq"))

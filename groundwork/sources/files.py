@@ -29,7 +29,7 @@ def scan_tree(spark: SparkSession, root: str, extensions: Sequence[str], skip_di
     """(file, line_no, line) of the text files under a folder.
 
     Files with one of the extensions; none below a folder of `skip_dirs`, none larger than `max_bytes`,
-    none whose bytes are not UTF-8. Size and path are tested before content is read. Spark's listing
+    none whose bytes are not UTF-8. Size is tested before content is read, names and folders only after. Spark's listing
     itself leaves out names that begin with a dot or an underscore: land `.env` files as `x.env`.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

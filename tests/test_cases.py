@@ -162,6 +162,17 @@ def test_terms_leave_link_targets(spark):
     assert messages.normalize_terms(once, ["t"], r).first().t == once.first().t
 
 
+def test_buttons_go_with_the_last_part_and_unknown_blocks_fail(spark):
+    kind = "id int, blocks array<struct<type:string,text:string,label:string,value:string,source:string,as_of:string,items:array<struct<label:string,url:string>>>>"
+    block = lambda t, text=None, items=None: (t, text, None, None, None, None, items)
+    a, b = ("A", "https://a.example"), ("B", "https://b.example")
+    good = [(1, [block("buttons", items=[a]), block("paragraph", "x" * 9), block("paragraph", "y" * 9), block("buttons", items=[b])]), (2, [block("buttons", items=[a])]), (3, [])]
+    got = {r.id: [(m.text, [tuple(x) for x in m.buttons]) for m in r.messages] for r in messages.pack_messages(messages.render_blocks(spark.createDataFrame(good, kind)), limit=12).collect()}
+    assert got == {1: [("x" * 9, []), ("y" * 9, [a, b])], 2: [("", [a])], 3: [("", [])]}
+    with pytest.raises(Exception, match="unknown block type"):
+        messages.render_blocks(spark.createDataFrame([(1, [block("carousel")])], kind)).collect()
+
+
 def test_packing_joins_to_the_input(spark):
     d = spark.createDataFrame([(["a" * 5, "b" * 5, "c" * 30, "d"],), ([],)], "rendered array<string>")
     got = [r[0] for r in values(messages.pack_messages(d, limit=12), "parts")]
