@@ -186,13 +186,17 @@ def filter_links(responses: DataFrame, items: str, prefixes: Sequence[str]) -> D
     return responses.withColumn("dropped", dropped).withColumn(items, kept)
 
 
+def safe_source(source: Column, r: Rules) -> Column:
+    """An API path of an official host as that host's page, an allowed link as it is, all else as the site."""
+    out = F.when(_allowed(source, r.link_prefixes), source).otherwise(F.lit(r.site))
+    for prefix, page in r.api_hosts.items():
+        out = F.when(source.startswith(prefix), page).otherwise(out)
+    return out
+
+
 def sanitize_sources(df: DataFrame, source: str, r: Rules) -> DataFrame:
     """A fact's source: an API path of an official host is that host's page, an allowed link stays, all else is the site."""
-    c = F.col(source)
-    out = F.when(_allowed(c, r.link_prefixes), c).otherwise(F.lit(r.site))
-    for prefix, page in r.api_hosts.items():
-        out = F.when(c.startswith(prefix), page).otherwise(out)
-    return df.withColumn(source, out)
+    return df.withColumn(source, safe_source(F.col(source), r))
 
 
 def enforce(responses: DataFrame, r: Rules, text: str = "text", items: str = "items") -> DataFrame:
@@ -213,6 +217,66 @@ def apply_maintenance(messages: DataFrame, control: DataFrame, default: str) ->
 BLOCK = "struct<type:string,text:string,label:string,value:string,source:string,as_of:string,items:array<struct<label:string,url:string>>>"
 
 
+ITEMS = "array<struct<label:string,url:string>>"
+LISTS = ("links", "buttons")
+PROSE = ("heading", "paragraph", "warning")
+
+
+def typed_block(**fields: Column) -> Column:
+    """A block struct; fields that are not given are null."""
+    parts = [fields.get(n, F.lit(None)).cast(ITEMS if n == "items" else "string").alias(n) for n in ("type", "text", "label", "value", "source", "as_of", "items")]
+    return F.struct(*parts)
+
+
+def normal_block(b: Column, r: Rules) -> Column:
+    """A block with the brand's spelling in what is read: text, a fact's label and value, labels of links and buttons."""
+    kind = b["type"]
+    prose, fact = kind.isin(*PROSE), kind == "fact"
+    items = F.transform(b["items"], lambda i: F.struct(normal_terms(i["label"], r).alias("label"), i["url"].alias("url")))
+    pick = lambda test, name: F.when(test, normal_terms(b[name], r)).otherwise(b[name])
+    return typed_block(type=kind, text=pick(prose, "text"), label=pick(fact, "label"), value=pick(fact, "value"), source=b["source"], as_of=b["as_of"], items=F.when(kind.isin(*LISTS), items).otherwise(b["items"]))
+
+
+def blocks_text(blocks: Column) -> Column:
+    """All that a response says, a line for each text, fact and label, as the policy reads it."""
+    def said(b: Column) -> Column:
+        return (
+            F.when(b["type"].isin(*PROSE), F.array(b["text"])).when(b["type"] == "fact", F.array(F.concat_ws(" ", b["label"], b["value"])))
+            .when(b["type"].isin(*LISTS), F.transform(b["items"], lambda i: i["label"])).otherwise(F.array().cast("array<string>"))
+        )
+
+    return F.array_join(F.flatten(F.filter(F.transform(blocks, said), lambda x: x.isNotNull())), "\n")
+
+
+def allowed_block(b: Column, r: Rules) -> Column:
+    """A block with a safe source and allowed links only; null for links or buttons of which none is left."""
+    lists = b["type"].isin(*LISTS)
+    kept = F.filter(b["items"], lambda i: F.coalesce(_allowed(i["url"], r.link_prefixes), F.lit(False)))
+    source = F.when(b["type"] == "fact", safe_source(b["source"], r)).otherwise(b["source"])
+    whole = typed_block(type=b["type"], text=b["text"], label=b["label"], value=b["value"], source=source, as_of=b["as_of"], items=F.when(lists, kept).otherwise(b["items"]))
+    return F.when(~lists | (F.size(kept) > 0), whole)
+
+
+def enforce_blocks(responses: DataFrame, r: Rules, blocks: str = "blocks") -> DataFrame:
+    """A whole response of typed blocks behind the gate; add violations, the (family, pattern) that it breaks, and dropped, the urls that go.
+
+    The brand is spelled first, then all that is said is held against the policy at once: where a rule is broken
+    the response is a warning and a link to the site. Else sources are made safe, links that are not allowed go,
+    and blocks that lose all their links go with them. Links never decide on a refusal. A null response is an
+    empty one; a null block goes, and a type that is not known stays, for rendering to refuse.
+    """
+    rules = policy_rules(r)
+    given = F.filter(F.coalesce(F.col(blocks), F.array().cast(f"array<{BLOCK}>")), lambda b: b.isNotNull())
+    spelled = responses.withColumn(blocks, F.transform(given, lambda b: normal_block(b, r))).withColumn("__said", blocks_text(F.col(blocks)))
+    judged = spelled.withColumn("violations", violations(F.col("__said"), rules))
+    refusal = F.array(typed_block(type=F.lit("warning"), text=F.lit(r.refusal)), typed_block(type=F.lit("links"), items=F.array(F.struct(F.lit(r.brand).alias("label"), F.lit(r.site).alias("url")))))
+    kept = F.filter(F.transform(blocks, lambda b: allowed_block(b, r)), lambda b: b.isNotNull())
+    listed = F.flatten(F.transform(F.filter(blocks, lambda b: b["type"].isin(*LISTS) & b["items"].isNotNull()), lambda b: b["items"]["url"]))
+    bad = F.size("violations") > 0
+    gone = F.filter(listed, lambda u: ~F.coalesce(_allowed(u, r.link_prefixes), F.lit(False)))
+    return judged.withColumn("dropped", F.when(bad, F.slice(gone, 1, 0)).otherwise(gone)).withColumn(blocks, F.when(bad, refusal).otherwise(kept)).drop("__said")
+
+
 def render_markdown(md: Column) -> Column:
     """The small markdown subset with every other mark escaped: code, links, bold and italic spans keep their meaning."""
     parts = F.regexp_extract_all(md, F.lit(r"(`[^`]*`|\[[^\]]+\]\([^)]+\)|\*\*[^*]+?\*\*|\*[^*]+?\*|(?s:.))"), F.lit(1))
@@ -249,18 +313,23 @@ def render_blocks(responses: DataFrame, blocks: str = "blocks") -> DataFrame:
 
 
 def pack_messages(rendered: DataFrame, texts: str = "rendered", limit: int = 4096) -> DataFrame:
-    """Add parts: texts joined by blank lines up to `limit` characters; one text is never cut; no text is one empty part.
+    """Add parts: texts joined by blank lines up to `limit` characters; one text is never cut; empty ones are left out; no text is one empty part.
 
     Where there is a column `buttons`, messages is added too: each part as (text, buttons), all buttons with the last.
     """
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("cur"))
+    whole = F.filter(F.coalesce(F.col(texts), F.array().cast("array<string>")), lambda t: t != "")
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("i"), F.lit(0).alias("used"))
 
     def fold(acc: Column, t: Column) -> Column:
-        joined = F.when(acc["cur"] == "", t).otherwise(F.concat(acc["cur"], F.lit("\n\n"), t))
-        over = (F.length(joined) > limit) & (acc["cur"] != "")
-        return F.struct(F.when(over, F.array_append(acc["parts"], acc["cur"])).otherwise(acc["parts"]).alias("parts"), F.when(over, t).otherwise(joined).alias("cur"))
-
-    packed = rendered.withColumn("parts", F.aggregate(texts, start, fold, lambda acc: F.array_append(acc["parts"], acc["cur"])))
+        n = F.length(t)
+        fresh = (acc["i"] == 0) | (acc["used"] + 2 + n > limit)
+        return F.struct(F.when(fresh, F.array_append(acc["starts"], acc["i"] + 1)).otherwise(acc["starts"]).alias("starts"), (acc["i"] + 1).alias("i"), F.when(fresh, n).otherwise(acc["used"] + 2 + n).alias("used"))
+
+    # Lengths alone decide where a part begins, so no text is copied before its part is cut out.
+    laid = rendered.withColumn("__texts", whole).withColumn("__starts", F.aggregate("__texts", start, fold, lambda acc: acc["starts"]))
+    end = lambda i: F.coalesce(F.get("__starts", i + 1), F.size("__texts") + 1)
+    cut = F.transform("__starts", lambda s, i: F.array_join(F.slice("__texts", s, end(i) - s), "\n\n"))
+    packed = laid.withColumn("parts", F.when(F.size("__starts") == 0, F.array(F.lit(""))).otherwise(cut)).drop("__texts", "__starts")
     if "buttons" not in rendered.columns:
         return packed
     last = lambda i: i == F.size("parts") - 1

@@ -42,18 +42,19 @@ LIST = "[" + ", ".join("'" + e.replace("'", "''") + "'" for e in ENDINGS) + "]"
 MESSAGES_SQL = f"msgs AS (SELECT conv_id, turn, CASE {PICK} % 15 WHEN 12 THEN 'hello there' WHEN 13 THEN '  ' WHEN 14 THEN '/Price@bot ' || text ELSE text || ' ' || ({LIST})[{PICK} % 15 + 1] END AS text FROM conversations WHERE role = 'user')"
 
 
-@query("f1_translate_updates", """WITH b AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 1 AND turn % 2 = 0 THEN '/help@acme now' WHEN conv_id % 3 = 2 AND turn % 4 = 0 THEN 'ping @ACME please' ELSE 'plain words' END AS text FROM conversations WHERE role = 'user'),
-u AS (SELECT json_object('message_id', turn, 'from', json_object('id', conv_id * 10 + 1), 'chat', json_object('id', conv_id, 'type', CASE WHEN conv_id % 3 = 0 THEN 'private' ELSE 'group' END), 'date', turn + 1700000000, 'text', text, 'command_length', CASE WHEN starts_with(text, '/') THEN 10 END) AS m FROM b),
+@query("f1_translate_updates", """WITH b AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 1 AND turn % 2 = 0 THEN '/help@acme ' || text WHEN conv_id % 3 = 2 AND turn % 4 = 0 THEN 'ping @ACME ' || text ELSE text END AS text FROM conversations WHERE role = 'user'),
+u AS (SELECT json_object('message_id', turn, 'from', json_object('id', conv_id * 10 + 1), 'chat', json_object('id', conv_id, 'type', CASE WHEN conv_id % 3 = 0 THEN 'private' ELSE 'group' END), 'date', turn + 1700000000, 'text', text, 'command_length', CASE WHEN starts_with(text, '/help@acme ') THEN 10 END) AS m FROM b),
 x AS (SELECT *, m->>'$.text' AS text, (m->>'$.command_length')::INT AS n, (m->>'$.chat.type') = 'private' AS is_dm FROM u)
-SELECT m->>'$.chat.id' AS chat_id, m->>'$.from.id' AS user_id, m->>'$.message_id' AS message_id, is_dm, CASE WHEN n IS NOT NULL THEN lower(split_part(substr(text, 2, n - 1), '@', 1)) END AS command, strftime(make_timestamp((m->>'$.date')::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts
-FROM x WHERE is_dm OR n IS NOT NULL OR contains(lower(text), '@acme')""")
+SELECT m->>'$.chat.id' AS chat_id, m->>'$.from.id' AS user_id, m->>'$.message_id' AS message_id, text, is_dm, CASE WHEN n IS NOT NULL THEN lower(split_part(substr(text, 2, n - 1), '@', 1)) END AS command, strftime(make_timestamp((m->>'$.date')::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts
+FROM x WHERE text IS NOT NULL AND (is_dm OR n IS NOT NULL OR contains(lower(text), '@acme'))""")
 def f1(spark, sf_dir):
     c, t = F.col("conv_id"), F.col("turn")
-    entity = F.when((c % 3 == 1) & (t % 2 == 0), F.array(F.struct(F.lit("bot_command").alias("type"), F.lit(0).alias("offset"), F.lit(10).alias("length"))))
-    text = F.when((c % 3 == 1) & (t % 2 == 0), "/help@acme now").when((c % 3 == 2) & (t % 4 == 0), "ping @ACME please").otherwise("plain words")
+    command = (c % 3 == 1) & (t % 2 == 0)
+    entity = F.when(command, F.array(F.struct(F.lit("bot_command").alias("type"), F.lit(0).alias("offset"), F.lit(10).alias("length"))))
+    text = F.when(command, F.concat(F.lit("/help@acme "), "text")).when((c % 3 == 2) & (t % 4 == 0), F.concat(F.lit("ping @ACME "), "text")).otherwise(F.col("text"))
     chat = F.struct(c.alias("id"), F.when(c % 3 == 0, "private").otherwise("group").alias("type"))
     body = F.to_json(F.struct(t.alias("update_id"), F.struct(t.alias("message_id"), F.struct((c * 10 + 1).alias("id")).alias("from"), chat.alias("chat"), (t + 1700000000).alias("date"), text.alias("text"), entity.alias("entities")).alias("message")))
-    return M.translate_updates(_turns(spark, sf_dir, "user").select(body.alias("payload")), "payload", "acme").select("chat_id", "user_id", "message_id", "is_dm", "command", "ts")
+    return M.translate_updates(_turns(spark, sf_dir, "user").select(body.alias("payload")), "payload", "acme").select("chat_id", "user_id", "message_id", "text", "is_dm", "command", "ts")
 
 
 @query("f2_detect_command", f"WITH {MESSAGES_SQL}, p AS (SELECT *, nullif(lower(regexp_extract(text, '(?s)^/(\\w+)(?:@\\w+)?\\s*(.*)$', 1)), '') AS c FROM msgs) SELECT conv_id, turn, CASE WHEN c IS NULL THEN NULL WHEN c IN ('help','price','start') THEN c ELSE 'help' END AS command, CASE WHEN c IS NOT NULL THEN regexp_extract(text, '(?s)^/(\\w+)(?:@\\w+)?\\s*(.*)$', 2) END AS args FROM p")
@@ -167,6 +168,34 @@ def f14(spark, sf_dir):
     return out.select("conv_id", "turn", "text", F.size("violations").alias("broken"), F.array_join("items.url", ",").alias("links"))
 
 
+# A response of blocks for each message: what each is to become, said outright.
+GATED_SQL = f"""cl AS (SELECT conv_id, turn, {TERMS.format('text')} AS body FROM msgs), said AS (SELECT *, 'About Acme ' || turn || chr(10) || body || chr(10) || 'Acme price ' || turn || '.5' || chr(10) || 'read' || chr(10) || 'Acme elsewhere' || chr(10) || 'go' AS text FROM cl),
+v AS ({_policy_sql('said', 'conv_id, turn')}), n AS (SELECT conv_id, turn, count(*) AS k FROM v GROUP BY ALL)"""
+
+
+def _responses(spark, sf_dir):
+    t = F.col("turn")
+    item = lambda label, url: F.struct(F.lit(label).alias("label"), url.alias("url"))
+    docs, other = F.concat(F.lit("https://docs.example.com/"), t), F.concat(F.lit("https://other.example.net/"), F.col("conv_id"))
+    source = F.when(t % 4 == 0, F.lit("https://api.example.com/v1/price")).when(t % 4 == 2, docs).otherwise(other)
+    return _messages(spark, sf_dir).select("conv_id", "turn", F.array(
+        M.typed_block(type=F.lit("heading"), text=F.concat(F.lit("About ac-me "), t)), M.typed_block(type=F.lit("paragraph"), text=F.col("text")),
+        M.typed_block(type=F.lit("fact"), label=F.lit("AC-ME price"), value=F.concat(t, F.lit(".5")), source=source, as_of=F.lit("2026-01-02")),
+        M.typed_block(type=F.lit("links"), items=F.array(item("read", docs), item("ACME elsewhere", other))), M.typed_block(type=F.lit("buttons"), items=F.array(item("go", other))),
+    ).alias("blocks"))
+
+
+@query("f14_enforce_blocks", f"""WITH {MESSAGES_SQL}, {GATED_SQL} SELECT conv_id, turn, coalesce(k, 0)::INT AS broken, CASE WHEN k > 0 THEN 'warning,links' ELSE 'heading,paragraph,fact,links' END AS kinds,
+CASE WHEN k > 0 THEN 'I can''t help with that.' || chr(10) || 'Acme' ELSE 'About Acme ' || turn || chr(10) || body || chr(10) || 'Acme price ' || turn || '.5' || chr(10) || 'read' END AS said,
+CASE WHEN k > 0 THEN '' WHEN turn % 4 = 0 THEN 'https://example.com' WHEN turn % 4 = 2 THEN 'https://docs.example.com/' || turn ELSE 'https://example.com/home' END AS source,
+CASE WHEN k > 0 THEN 'https://example.com/home' ELSE 'https://docs.example.com/' || turn END AS links, CASE WHEN k > 0 THEN '' ELSE 'https://other.example.net/' || conv_id || ',https://other.example.net/' || conv_id END AS dropped
+FROM said LEFT JOIN n USING (conv_id, turn)""")
+def f14_blocks(spark, sf_dir):
+    out = M.enforce_blocks(_responses(spark, sf_dir), RULES)
+    urls = F.flatten(F.transform(F.filter("blocks", lambda b: b["items"].isNotNull()), lambda b: b["items"]["url"]))
+    return out.select("conv_id", "turn", F.size("violations").alias("broken"), F.array_join("blocks.type", ",").alias("kinds"), M.blocks_text(F.col("blocks")).alias("said"), F.array_join("blocks.source", ",").alias("source"), F.array_join(urls, ",").alias("links"), F.array_join("dropped", ",").alias("dropped"))
+
+
 @query("f15_maintenance", "WITH n AS (SELECT '' AS message FROM region WHERE r_regionkey = 0) SELECT conv_id, turn, coalesce(nullif(message, ''), CASE WHEN message IS NOT NULL THEN 'Back soon.' END) AS notice FROM conversations LEFT JOIN n ON true WHERE role = 'user'")
 def f15(spark, sf_dir):
     control = table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit("").alias("message"))
