@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.functions import exprs as X
@@ -172,47 +172,71 @@ def extract_tokens(df: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
 
 def fact_value_index(facts: DataFrame) -> DataFrame:
-    """(category, token, key, pos): every leaf of every known fact's value, as a token of its kind.
+    """(category, token, key, pos): every leaf of every known fact's value, as a token of its kind; pos orders a fact's leaves.
 
-    A value that is a JSON object or list is opened three levels deep; other values are one leaf.
+    A value that is a JSON object or list is opened three levels deep, all in one pass; other values are one
+    leaf. Names of an object come in alphabetical order. Leaves of no kind, and nulls, are left out. A leaf keeps
+    a row of its own for each fact row, and no key or token is gathered, so any number of facts may share a token.
     """
-    known = facts.where("value <> 'unknown'").select("key", "value")
-    opened = known.select("key", F.when(F.col("value").rlike(r"^\s*[\[{]"), F.try_parse_json("value")).alias("v"), "value")
-    plain = opened.where("v is null").select("key", F.lit(0).alias("pos"), F.col("value").alias("leaf"))
-    nested = opened.where("v is not null").select("key", "v")
-    spark = facts.sparkSession
-    level, leaves = nested.withColumn("at", F.lit("")), plain
-    for _ in range(3):
-        level = spark.sql("SELECT t.key, e.value AS v, concat(t.at, lpad(cast(e.pos AS string), 4, '0')) AS at FROM {level} t, LATERAL variant_explode(t.v) e", level=level)
-        is_leaf = ~F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
-        done = level.where(is_leaf).select("key", "at", F.trim(F.try_variant_get("v", "$", "string")).alias("leaf"))
-        leaves = leaves.unionByName(done.select("key", F.row_number().over(Window.partitionBy("key").orderBy("at")).alias("pos"), "leaf"))
-        level = level.where(~is_leaf)
+    opened = facts.where("value <> 'unknown'").select("key", "value", F.when(F.col("value").rlike(r"^\s*[\[{]"), F.try_parse_json("value")).alias("v"))
+    # Whatever is no object or list gives one row without an entry.
+    levels = facts.sparkSession.sql(
+        """SELECT t.key, t.value, t.v, a.pos AS p1, b.pos AS p2, c.pos AS p3, coalesce(c.value, b.value, a.value) AS leaf
+        FROM {opened} t, LATERAL variant_explode_outer(t.v) a, LATERAL variant_explode_outer(a.value) b, LATERAL variant_explode_outer(b.value) c""",
+        opened=opened,
+    )
+    text = F.when(F.col("v").isNull(), F.col("value")).when(~F.schema_of_variant("leaf").rlike("^(OBJECT|ARRAY)"), F.trim(F.try_variant_get("leaf", "$", "string")))
+    step = lambda c: F.coalesce(F.col(c) + 1, F.lit(0)).cast("bigint")
+    leaves = levels.select("key", ((step("p1") * (1 << 20) + step("p2")) * (1 << 20) + step("p3")).alias("pos"), text.alias("leaf"))
     kind = F.lit(None).cast("string")
     for category, pattern in reversed(TOKENS):
         kind = F.when(F.col("leaf").rlike(rf"{UNICODE}^(?:{pattern})$"), category).otherwise(kind)
     token = F.when(F.col("category").isin("address", "email"), F.lower("leaf")).when(F.col("category") == "number", F.replace("leaf", F.lit(","), F.lit(""))).otherwise(F.col("leaf"))
-    return leaves.withColumn("category", kind).where("category is not null").select("category", token.alias("token"), "key", "pos").distinct()
+    return leaves.withColumn("category", kind).where("category is not null").select("category", token.alias("token"), "key", "pos")
+
+
+def _token_changes(hunks: DataFrame) -> DataFrame:
+    """(slug, hunk, e): e is (category, change, token, n_added, one_added) of each token that a hunk removes or adds; null for a hunk without any.
+
+    n_added and one_added are how many tokens of that kind the hunk adds, and the first of them.
+    """
+    found = with_tokens(with_tokens(hunks.select("slug", "hunk", "old_lines", "new_lines"), F.array_join("old_lines", "\n"), "__o_"), F.array_join("new_lines", "\n"), "__n_")
+    found = found.withColumns({f"__a_{c}": F.array_except(f"__n_{c}", f"__o_{c}") for c, _ in TOKENS} | {f"__r_{c}": F.array_except(f"__o_{c}", f"__n_{c}") for c, _ in TOKENS})
+
+    def entries(c: str, change: str, column: str) -> Column:
+        added = F.col(f"__a_{c}")
+        return F.transform(column, lambda t: F.struct(F.lit(c).alias("category"), F.lit(change).alias("change"), t.alias("token"), F.size(added).alias("n_added"), F.array_min(added).alias("one_added")))
+
+    every = F.flatten(F.array(*[entries(c, change, f"{p}{c}") for c, _ in TOKENS for change, p in (("removed", "__r_"), ("added", "__a_"))]))
+    return found.select("slug", "hunk", F.explode_outer(every).alias("e"))
 
 
 def hunk_tokens(hunks: DataFrame) -> DataFrame:
     """(slug, hunk, category, token, change): tokens that a hunk removes or adds."""
-    found = with_tokens(with_tokens(hunks, F.array_join("old_lines", "\n"), "__o_"), F.array_join("new_lines", "\n"), "__n_")
-    old, new = ({c: F.col(f"{p}{c}") for c, _ in TOKENS} for p in ("__o_", "__n_"))
-    entries = []
-    for c, _ in TOKENS:
-        entries.append(F.struct(F.lit(c).alias("category"), F.lit("removed").alias("change"), F.array_except(old[c], new[c]).alias("tokens")))
-        entries.append(F.struct(F.lit(c).alias("category"), F.lit("added").alias("change"), F.array_except(new[c], old[c]).alias("tokens")))
-    rows = found.select("slug", "hunk", F.explode(F.array(*entries)).alias("e"))
-    return rows.select("slug", "hunk", "e.category", "e.change", F.explode("e.tokens").alias("token"))
+    return _token_changes(hunks).where("e is not null").select("slug", "hunk", "e.category", "e.change", "e.token")
+
+
+def hunk_facts(hunks: DataFrame, index: DataFrame, pieces: int = 8) -> DataFrame:
+    """(slug, hunk, key, category, old_value, proposed): each fact a hunk touches; key is null in the one row more that a hunk may have, and in the only row of a hunk that touches none.
+
+    Hunks and facts are read once each and meet in one join. The facts of a token are dealt to `pieces` by their
+    keys, and each token of a hunk looks in all of them, so a token that a third of all facts have is spread over
+    as many tasks, and a token of a third of all hunks over as many; Spark splits what is still skewed. See
+    `propose_value` for the columns.
+    """
+    known = index.withColumn("piece", F.pmod(F.xxhash64("key"), F.lit(pieces)).cast("int"))
+    dealt = _token_changes(hunks).select("slug", "hunk", F.col("e.category").alias("category"), F.col("e.token").alias("token"), "e.change", "e.n_added", "e.one_added")
+    asked = dealt.withColumn("piece", F.explode(F.when(F.col("token").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(pieces - 1)))))
+    met = asked.join(known, ["category", "token", "piece"], "left")
+    told = F.when((F.col("change") == "removed") & F.col("key").isNotNull(), F.struct("pos", "category", "token", "n_added", "one_added"))
+    first = met.groupBy("slug", "hunk", "key").agg(F.min(told).alias("f"))
+    return first.select("slug", "hunk", "key", F.col("f.category").alias("category"), F.col("f.token").alias("old_value"), F.when(F.col("f.n_added") == 1, F.col("f.one_added")).alias("proposed"))
 
 
 def reconcile(hunks: DataFrame, index: DataFrame) -> DataFrame:
-    """(slug, hunk, keys, unmapped): the facts whose values a hunk removes or adds."""
-    tokens = hunk_tokens(hunks).select("slug", "hunk", "category", "token").distinct()
-    keys = tokens.join(index.select("category", "token", "key").distinct(), ["category", "token"]).groupBy("slug", "hunk").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    joined = hunks.select("slug", "hunk").join(keys, ["slug", "hunk"], "left")
-    return joined.select("slug", "hunk", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"), F.col("keys").isNull().alias("unmapped"))
+    """(slug, hunk, keys, unmapped): the facts whose values a hunk removes or adds. Where keys may be without bound, take the rows of `hunk_facts`."""
+    keys = hunk_facts(hunks, index).groupBy("slug", "hunk").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    return keys.select("slug", "hunk", "keys", (F.size("keys") == 0).alias("unmapped"))
 
 
 def propose_value(hunks: DataFrame, index: DataFrame) -> DataFrame:
@@ -221,23 +245,20 @@ def propose_value(hunks: DataFrame, index: DataFrame) -> DataFrame:
     Several added tokens or none leave the proposal null, for manual review; so does a fact none of
     whose leaves is removed.
     """
-    tokens = hunk_tokens(hunks)
-    removed = tokens.where("change = 'removed'").join(index, ["category", "token"])
-    first = removed.groupBy("slug", "hunk", "key").agg(F.min_by(F.struct("category", "token"), F.struct("pos", "category", "token")).alias("f"))
-    added = tokens.where("change = 'added'").groupBy("slug", "hunk", "category").agg(F.count(F.lit(1)).alias("n"), F.min("token").alias("one"))
-    named = first.select("slug", "hunk", "key", F.col("f.category").alias("category"), F.col("f.token").alias("old_value"))
-    touched = tokens.join(index.select("category", "token", "key").distinct(), ["category", "token"]).select("slug", "hunk", "key").distinct()
-    rows = touched.join(named, ["slug", "hunk", "key"], "left").join(added, ["slug", "hunk", "category"], "left")
-    return rows.select("slug", "hunk", "key", "category", "old_value", F.when(F.col("n") == 1, F.col("one")).alias("proposed"))
+    return hunk_facts(hunks, index).where("key is not null")
 
 
 def page_findings(hunks: DataFrame, index: DataFrame) -> DataFrame:
     """(slug, n_hunks, unmapped, edits): a page's hunks without a fact, and one edit for each fact, from its first hunk."""
-    firsts = propose_value(hunks, index).withColumn("r", F.row_number().over(Window.partitionBy("slug", "key").orderBy("hunk"))).where("r = 1")
-    edits = firsts.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("key", "old_value", "proposed"))).alias("edits"))
-    counts = reconcile(hunks, index).groupBy("slug").agg(F.count(F.lit(1)).alias("n_hunks"), F.count_if("unmapped").alias("unmapped"))
-    empty = F.array().cast("array<struct<key:string,old_value:string,proposed:string>>")
-    return counts.join(edits, "slug", "left").select("slug", "n_hunks", "unmapped", F.coalesce("edits", empty).alias("edits"))
+    rows = hunk_facts(hunks, index)
+    one = rows.groupBy("slug", "key").agg(F.min(F.struct("hunk", "old_value", "proposed")).alias("e"), F.collect_set("hunk").alias("hunks"))
+    numbers = lambda where: F.array_distinct(F.flatten(F.collect_list(F.when(where, F.col("hunks")))))
+    mapped = F.col("key").isNotNull()
+    page = one.groupBy("slug").agg(
+        F.size(numbers(F.lit(True))).cast("bigint").alias("n_hunks"), F.size(numbers(mapped)).cast("bigint").alias("n_mapped"),
+        F.array_sort(F.collect_list(F.when(mapped, F.struct("key", "e.old_value", "e.proposed")))).alias("edits"),
+    )
+    return page.select("slug", "n_hunks", (F.col("n_hunks") - F.col("n_mapped")).alias("unmapped"), "edits")
 
 
 def dedup_findings(findings: DataFrame, state: DataFrame) -> DataFrame:
