@@ -119,25 +119,47 @@ def scan_surface(lines: DataFrame, own_domain: str) -> DataFrame:
     return _exploded(lines, *_route_entries(), *_env_entries(), *_address_entries(), *_domain_entries(own_domain), *_chain_entries())
 
 
-def group_findings(findings: DataFrame) -> DataFrame:
-    """One row for each identity, with its files; `places` counts all lines. A finding of every line is one entry for a file, but a row lists all its files."""
-    files = findings.groupBy(*IDENTITY, "file").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line"))
-    return files.groupBy(*IDENTITY).agg(F.sum("n").alias("places"), F.array_sort(F.collect_list(F.struct("file", "first_line"))).alias("files"))
+def finding_places(findings: DataFrame) -> DataFrame:
+    """One row for each identity and file: n lines, the first of them. A list of an identity's files would not be bounded, so places stay rows."""
+    return findings.groupBy(*IDENTITY, "file").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line"))
+
+
+def group_findings(places: DataFrame) -> DataFrame:
+    """One row for each identity of `finding_places`: lines, files and the first file in their order. What is kept of an identity does not grow with its files."""
+    return places.groupBy(*IDENTITY).agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("n_files"), F.min("file").alias("first_file"))
 
 
 def diff_surface(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """(identity, change): added, removed, and moved for routes whose files are all different. Inputs are grouped findings."""
+    """(identity, change): added, removed, and moved for routes whose files are all different. Inputs have a row for each identity and file, as `finding_places` or findings have.
+
+    Both are put side by side and summed by identity and file, then by identity, with partial sums before each
+    shuffle: an identity that a third of all lines have is a few rows by then.
+    """
     key = list(IDENTITY)
-    both = baseline.select(*key, F.col("files.file").alias("was")).join(current.select(*key, F.col("files.file").alias("now")), key, "full")
-    moved = (F.col("type") == "api_route") & (F.size("was") > 0) & (F.size("now") > 0) & ~F.arrays_overlap("was", "now")
-    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(moved, "moved")
-    return both.select(*key, change.alias("change")).where("change is not null")
+    side = lambda df, was, now: df.select(*key, "file", F.lit(was).alias("was"), F.lit(now).alias("now"))
+    files = side(baseline, True, False).union(side(current, False, True)).groupBy(*key, "file").agg(F.max("was").alias("was"), F.max("now").alias("now"))
+    one = files.groupBy(*key).agg(F.max("was").alias("was"), F.max("now").alias("now"), F.max(F.col("was") & F.col("now")).alias("stayed"))
+    change = F.when(~F.col("was"), "added").when(~F.col("now"), "removed").when((F.col("type") == "api_route") & ~F.col("stayed"), "moved")
+    return one.select(*key, change.alias("change")).where("change is not null")
+
+
+def digest_tree(digests: DataFrame, key: str, digest: str = "h", levels: Sequence[int] = (6, 3)) -> DataFrame:
+    """(key, fingerprint) of each key's set of hex digests, whatever their order and however often each comes.
+
+    Digests with the same first `levels[0]` hex digits are sorted, joined and hashed, then the hashes of all
+    with the same first `levels[1]` digits, and so on, at last those of the key. A row gathers 4,096 hashes at
+    most above the lowest level and, by (6, 3), a 16-millionth of a key's digests on it.
+    """
+    level = digests.select(key, F.col(digest).alias("p"), F.col(digest).alias("h")).distinct()
+    for n in (*levels, 0):
+        level = level.groupBy(key, F.substring("p", 1, n).alias("p")).agg(F.array_sort(F.collect_list(F.struct("p", "h"))).alias("c"))
+        level = level.select(key, "p", X.sha256_hex(F.array_join(F.col("c.h"), "\n")).alias("h"))
+    return level.select(key, F.col("h").alias("fingerprint"))
 
 
 def fingerprint_surface(diff: DataFrame) -> DataFrame:
-    """(repo, fingerprint) of a diff's sorted changes, each hashed first, so a repo gathers digests only."""
-    one = diff.select("repo", X.sha256_hex(F.concat_ws("|", "change", "type", "subtype", "value")).alias("h"))
-    return one.groupBy("repo").agg(X.sha256_hex(F.array_join(F.array_sort(F.collect_list("h")), "\n")).alias("fingerprint"))
+    """(repo, fingerprint) of a diff's changes, as a tree of their digests; a repo without changes has no row."""
+    return digest_tree(diff.select("repo", X.sha256_hex(F.concat_ws("|", "change", "type", "subtype", "value")).alias("h")), "repo")
 
 
 def surface_status(prints: DataFrame, state: DataFrame, accepts: DataFrame) -> DataFrame:

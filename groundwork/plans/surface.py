@@ -123,24 +123,27 @@ def c6_scan(spark, sf_dir):
     return S.scan_surface(_lines(spark, sf_dir), DOMAIN)
 
 
-GROUPED = "SELECT repo, type, subtype, value, sum(n)::BIGINT AS places, string_agg(file || ':' || l, ',' ORDER BY file) AS files, list(file) AS fl FROM (SELECT repo, type, subtype, value, file, count(*) AS n, min(line_no) AS l FROM {} GROUP BY ALL) GROUP BY 1, 2, 3, 4"
+PLACES = "SELECT repo, type, subtype, value, file, count(*) AS n, min(line_no) AS first_line FROM {} GROUP BY ALL"
 
 
-@query("c7_group_findings", SCAN + f" SELECT repo, type, subtype, value, places, files FROM ({GROUPED.format('found')})")
+@query("c7_finding_places", SCAN + f" {PLACES.format('found')}")
+def c7_places(spark, sf_dir):
+    return S.finding_places(S.scan_surface(_lines(spark, sf_dir), DOMAIN))
+
+
+@query("c7_group_findings", SCAN + " SELECT repo, type, subtype, value, count(*) AS places, count(DISTINCT file) AS n_files, min(file) AS first_file FROM found GROUP BY ALL")
 def c7(spark, sf_dir):
-    grouped = S.group_findings(S.scan_surface(_lines(spark, sf_dir), DOMAIN))
-    one = F.transform("files", lambda x: F.concat(x["file"], F.lit(":"), x["first_line"]))
-    return grouped.withColumn("files", F.array_join(one, ","))
+    return S.group_findings(S.finding_places(S.scan_surface(_lines(spark, sf_dir), DOMAIN)))
 
 
+GROUPED = "SELECT repo, type, subtype, value, list(DISTINCT file) AS fl FROM {} GROUP BY ALL"
 DIFF = f"""{SCAN}, {_lines_sql('lines2', True)}, found2{COLUMNS} AS ({_scan_sql('lines2')}), a AS ({GROUPED.format('found')}), b AS ({GROUPED.format('found2')}),
 diff AS (SELECT b.repo, b.type, b.subtype, b.value, 'added' AS change FROM b ANTI JOIN a USING (repo, type, subtype, value) UNION ALL SELECT a.repo, a.type, a.subtype, a.value, 'removed' FROM a ANTI JOIN b USING (repo, type, subtype, value)
  UNION ALL SELECT a.repo, a.type, a.subtype, a.value, 'moved' FROM a JOIN b USING (repo, type, subtype, value) WHERE a.type = 'api_route' AND NOT list_has_any(a.fl, b.fl))"""
 
 
 def _diff(spark, sf_dir):
-    grouped = [S.group_findings(S.scan_surface(_lines(spark, sf_dir, moved), DOMAIN)) for moved in (False, True)]
-    return S.diff_surface(*grouped)
+    return S.diff_surface(*[S.scan_surface(_lines(spark, sf_dir, moved), DOMAIN) for moved in (False, True)])
 
 
 @query("c8_diff_surface", DIFF + " SELECT * FROM diff")
@@ -148,7 +151,8 @@ def c8(spark, sf_dir):
     return _diff(spark, sf_dir)
 
 
-PRINTS = DIFF + ", prints AS (SELECT repo, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint FROM (SELECT repo, sha256(change || '|' || type || '|' || subtype || '|' || value) AS h FROM diff) GROUP BY repo)"
+PRINTS = DIFF + """, dig AS (SELECT DISTINCT repo, sha256(change || '|' || type || '|' || subtype || '|' || value) AS h FROM diff), low AS (SELECT repo, h[1:6] AS p, sha256(string_agg(h, chr(10) ORDER BY h)) AS t FROM dig GROUP BY ALL),
+mid AS (SELECT repo, p[1:3] AS q, sha256(string_agg(t, chr(10) ORDER BY p)) AS t FROM low GROUP BY ALL), prints AS (SELECT repo, sha256(string_agg(t, chr(10) ORDER BY q)) AS fingerprint FROM mid GROUP BY repo)"""
 
 
 @query("c9_fingerprint_surface", PRINTS + " SELECT * FROM prints")
