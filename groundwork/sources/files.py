@@ -1,9 +1,7 @@
-"""Tables, JSON inventories, source trees, sitemaps, landed payloads and report sinks."""
+"""Tables, JSON inventories, sitemaps and landed payloads."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,27 +23,6 @@ def read_faq(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.from_json("value", FAQ).alias("faq"))
 
 
-def scan_tree(spark: SparkSession, root: str, extensions: Sequence[str], skip_dirs: Sequence[str], max_bytes: int = 2_000_000) -> DataFrame:
-    """(file, line_no, line) of the text files under a folder.
-
-    Files with one of the extensions; none below a folder of `skip_dirs`, none larger than `max_bytes`,
-    none whose bytes are not UTF-8. Size is tested before content is read, names and folders only after. Spark's listing
-    itself leaves out names that begin with a dot or an underscore: land `.env` files as `x.env`.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = files.select(F.regexp_replace("path", "^[a-z]+:/+", "/").alias("path"), "length", "content").where(F.col("length") <= max_bytes)
-    inside = F.substring("path", F.lit(len("/" + root.strip("/")) + 2), F.lit(2**31 - 1))
-    parts = F.split(inside, "/")
-    name = F.element_at(parts, -1)
-    wanted = F.lit(False)
-    for e in extensions:
-        wanted = wanted | name.endswith(e)
-    kept = base.where(wanted & ~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, skip_dirs)).cast("array<string>")))
-    text = F.try_validate_utf8(F.col("content").cast("string"))
-    lines = kept.select(inside.alias("file"), text.alias("t")).where("t is not null").select("file", F.posexplode(F.split(F.regexp_replace("t", "\r\n?", "\n"), "\n")).alias("n", "line"))
-    return lines.select("file", (F.col("n") + 1).alias("line_no"), "line")
-
-
 def sitemap_slugs(spark: SparkSession, path: str) -> DataFrame:
     """(loc, slug) of each url element of a sitemap; malformed input fails as a whole."""
     from groundwork.functions.exprs import url_slug
@@ -63,11 +40,6 @@ def stream_parquet(spark: SparkSession, folder: str, glob: str, schema) -> DataF
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
 
 
-def write_reports(reports: DataFrame, folder: str) -> None:
-    """One folder of text for each (slug, file_name) of report rows (slug, file_name, body)."""
-    reports.select("slug", "file_name", F.col("body").alias("value")).write.partitionBy("slug", "file_name").mode("append").text(folder)
-
-
 def write_version(df: DataFrame, folder: str, version: str) -> str:
     """Write a table beside its earlier versions; readers switch to the returned path."""
     path = f"{folder}/v={version}"

@@ -109,15 +109,6 @@ def test_nested_fact_values(spark):
     assert got == [("address", "0x" + "1" * 40, "a.x"), ("number", "12", "a.x"), ("number", "5000", "a.z"), ("url", "https://e.org/a", "a.x")]
 
 
-def test_scan_tree(spark, tmp_path):
-    for name, body in {"a.py": b"x = 1\ny", "node_modules/b.py": b"no", "c.bin": b"no", "prod.env": b"K=1", "sub/d.ts": b"\xff\xfe", "sub/e.md": b"z" * 50}.items():
-        p = tmp_path / name
-        p.parent.mkdir(exist_ok=True)
-        p.write_bytes(body)
-    got = files.scan_tree(spark, str(tmp_path), surface.TEXT_EXTENSIONS, surface.SKIP_DIRS, max_bytes=40)
-    assert sorted(values(got, "file", "line_no", "line")) == [("a.py", 1, "x = 1"), ("a.py", 2, "y"), ("prod.env", 1, "K=1")]
-
-
 def test_sitemap(spark, tmp_path):
     p = tmp_path / "s.xml"
     p.write_text('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://e.org/</loc></url><url><loc> https://e.org/a/b/ </loc></url></urlset>')
@@ -128,12 +119,6 @@ def test_sitemap(spark, tmp_path):
         files.sitemap_slugs(spark, str(bad)).collect()
 
 
-def test_reports(spark, tmp_path):
-    r = spark.createDataFrame([("s", "f.md", "# T\nbody")], "slug string, file_name string, body string")
-    files.write_reports(r, str(tmp_path / "out"))
-    assert values(spark.read.text(str(tmp_path / "out"), wholetext=True), "value")[0][0].strip() == "# T\nbody"
-
-
 def test_upstream_time(spark):
     d = spark.createDataFrame([("2026-01-05T01:02:03.5Z",), ("1-5-2026 3:04 PM",), ("01-05-26 12:00 am",), ("never",), (None,)], "t string")
     assert [r[0] for r in values(d, kpi.parse_upstream_time("t"))] == ["2026-01-05T01:02:03.5Z", "2026-01-05T15:04:00", "2026-01-05T00:00:00", None, None]
