@@ -74,16 +74,16 @@ def keyword_topk(questions: DataFrame, facts: DataFrame, blocked: Sequence[str]
         raise ValueError("common must be from 1 to 12")
     hashed = lambda tokens: F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))
     open_ = drop_blocked(facts.where("value <> 'unknown'"), blocked)
-    words = open_.select("ordinal", "key", hashed(X.word_tokens(F.concat_ws(" ", "key", "value", "notes"))).alias("have"))
-    spread = words.select(F.explode("have").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    words = open_.select(F.struct("ordinal", "key").alias("fact"), hashed(X.word_tokens(F.concat_ws(" ", "key", "value", "notes"))).alias("have"))
+    spread = words.select(F.explode_outer("have").alias("token")).where("token is not null").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     most = spread.orderBy(F.desc("n"), F.desc("token")).limit(common).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("a"))
     bits = F.broadcast(most.select(F.map_from_arrays(F.col("a.token"), F.transform("a", lambda x, i: F.call_function("shiftleft", F.lit(1), i))).alias("bits")))  # one row
     bit = lambda t: F.coalesce(F.try_element_at("bits", t), F.lit(0))
     mask = lambda tokens: F.aggregate(tokens, F.lit(0), lambda m, t: m.bitwiseOR(bit(t)))
     parts = lambda m: F.filter(F.sequence(F.lit(1), F.lit(2**common - 1)), lambda t: t.bitwiseAND(F.col(m)) == t)
     marked = words.crossJoin(bits)
-    by_token = marked.select("ordinal", "have", F.explode(F.filter("have", lambda t: bit(t) == 0)).alias("token"))
-    asked = questions.select("query_id", F.explode(hashed(X.word_tokens("text"))).alias("token")).join(spread, "token")
+    by_token = marked.select("fact", "have", F.explode_outer(F.filter("have", lambda t: bit(t) == 0)).alias("token")).where("token is not null")
+    asked = questions.select("query_id", F.explode_outer(hashed(X.word_tokens("text"))).alias("token")).join(spread, "token")
     sets = asked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("a")).select("query_id", F.col("a.token").alias("want"))
     sets = sets.withColumn("set_id", F.xxhash64("want"))
     wanted = sets.select("set_id", "want").distinct().crossJoin(bits).select("set_id", "want", F.filter("want", lambda t: bit(t) == 0).alias("rare"), mask("want").alias("mask"))
@@ -91,31 +91,31 @@ def keyword_topk(questions: DataFrame, facts: DataFrame, blocked: Sequence[str]
     def firsts(rows: DataFrame, by: str, *order) -> DataFrame:
         return rows.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__r") <= k).drop("__r")
 
-    by_mask = firsts(marked.select(mask("have").alias("mask"), "ordinal").where("mask > 0"), "mask", "ordinal")
-    by_part = firsts(by_mask.select(F.explode(parts("mask")).alias("part"), "ordinal"), "part", "ordinal")
+    by_mask = firsts(marked.select(mask("have").alias("mask"), "fact").where("mask > 0"), "mask", "fact")
+    by_part = firsts(by_mask.select(F.explode(parts("mask")).alias("part"), "fact"), "part", "fact")
     masks = wanted.select("mask").where("mask > 0").distinct().select("mask", F.explode(parts("mask")).alias("part"))
-    shared = masks.join(F.broadcast(by_part), "part").groupBy("mask", "ordinal").agg(F.max(F.bit_count("part")).cast("long").alias("score"))  # 2 ** common * k rows at most
-    by_bits = wanted.select("set_id", "mask").join(F.broadcast(firsts(shared, "mask", F.desc("score"), "ordinal")), "mask").select("set_id", "ordinal", "score")
+    shared = masks.join(F.broadcast(by_part), "part").groupBy("mask", "fact").agg(F.max(F.bit_count("part")).cast("long").alias("score"))  # 2 ** common * k rows at most
+    by_bits = wanted.select("set_id", "mask").join(F.broadcast(firsts(shared, "mask", F.desc("score"), "fact")), "mask").select("set_id", "fact", "score")
 
     def by_words(probes: DataFrame, least) -> DataFrame:
         """The k best facts of each set by those that share a token of `probe`."""
         met = probes.withColumn("token", F.explode("probe")).join(by_token, "token").withColumn("both", F.array_intersect("want", "have"))
         # A pair with several shared probes counts at the first.
-        scored = met.where((F.col("token") == F.col("both")[0]) & (F.size("both") >= least)).select("set_id", "ordinal", F.size("both").cast("long").alias("score"))
-        return firsts(scored, "set_id", F.desc("score"), "ordinal")
+        scored = met.where((F.col("token") == F.col("both")[0]) & (F.size("both") >= least)).select("set_id", "fact", F.size("both").cast("long").alias("score"))
+        return firsts(scored, "set_id", F.desc("score"), "fact")
 
     def best(found: DataFrame) -> DataFrame:
         """The k best of each set, a fact by the highest score that it was found with."""
-        return firsts(found.groupBy("set_id", "ordinal").agg(F.max("score").alias("score")), "set_id", F.desc("score"), "ordinal")
+        return firsts(found.groupBy("set_id", "fact").agg(F.max("score").alias("score")), "set_id", F.desc("score"), "fact")
 
     first = best(by_bits.union(by_words(wanted.withColumn("probe", F.slice("rare", 1, 2)), F.lit(1))))
     reached = first.groupBy("set_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("s"))
     open_sets = wanted.join(reached, "set_id", "left").withColumn("s", F.coalesce("s", F.lit(1)).cast("int"))
     deep = F.least(F.size("want") - F.col("s") + 1, F.size("rare"))
     rest = by_words(open_sets.where(deep > 2).withColumn("probe", F.slice("rare", F.lit(1), deep)), F.col("s"))
-    order = Window.partitionBy("set_id").orderBy(F.desc("score"), "ordinal")
-    found = best(first.union(rest)).withColumn("rank", F.row_number().over(order)).join(words.select("ordinal", "key"), "ordinal")
-    return sets.select("query_id", "set_id").join(found, "set_id").select("query_id", "key", "score", "rank")
+    order = Window.partitionBy("set_id").orderBy(F.desc("score"), "fact")
+    found = best(first.union(rest)).withColumn("rank", F.row_number().over(order))
+    return sets.select("query_id", "set_id").join(found, "set_id").select("query_id", "fact.key", "score", "rank")
 
 
 def link_inventory(texts: DataFrame, text: str, prefixes: Sequence[str]) -> DataFrame:

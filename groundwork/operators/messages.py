@@ -315,6 +315,8 @@ def render_blocks(responses: DataFrame, blocks: str = "blocks") -> DataFrame:
 def pack_messages(rendered: DataFrame, texts: str = "rendered", limit: int = 4096) -> DataFrame:
     """Add parts: texts joined by blank lines up to `limit` characters; one text is never cut; empty ones are left out; no text is one empty part.
 
+    There is always a part: explode them by `explode_outer`, as an inner explode renders again to test for emptiness.
+
     Where there is a column `buttons`, messages is added too: each part as (text, buttons), all buttons with the last.
     """
     whole = F.filter(F.coalesce(F.col(texts), F.array().cast("array<string>")), lambda t: t != "")

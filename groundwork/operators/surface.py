@@ -49,7 +49,8 @@ def _entries(type_: str, subtype, values, where=None):
 def _exploded(lines: DataFrame, *entries) -> DataFrame:
     """All findings in one pass over the lines."""
     every = F.concat(*entries) if len(entries) > 1 else entries[0]
-    return lines.select(*PLACE, F.explode(every).alias("e")).select("repo", "e.type", "e.subtype", "e.value", "file", "line_no")
+    # An inner explode would test the array for emptiness first, and so run all patterns twice.
+    return lines.select(*PLACE, F.explode_outer(every).alias("e")).where("e is not null").select("repo", "e.type", "e.subtype", "e.value", "file", "line_no")
 
 
 def _route_entries() -> list:

@@ -232,7 +232,7 @@ r AS (SELECT conv_id, turn, i, text AS cur, 1 AS part FROM b WHERE i = 1 UNION A
 SELECT conv_id, turn, part, arg_max(cur, i) AS text FROM r GROUP BY ALL""")
 def f17(spark, sf_dir):
     packed = M.pack_messages(M.render_blocks(_blocks(spark, sf_dir)), limit=200)
-    return packed.select("conv_id", "turn", F.posexplode("parts").alias("part", "text")).withColumn("part", F.col("part") + 1)
+    return packed.select("conv_id", "turn", F.posexplode_outer("parts").alias("part", "text")).withColumn("part", F.col("part") + 1)
 
 
 @query("f18_chat_context", "WITH t AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer, role FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM t WHERE role = 'user') SELECT conv_id AS user_id, string_agg('User: ' || text || chr(10) || 'Bot: ' || coalesce(answer, ''), chr(10) ORDER BY r) AS context FROM n WHERE r <= 3 GROUP BY 1")
