@@ -119,7 +119,7 @@ def route_intent(messages: DataFrame, r: Rules, text: str = "text", maintenance:
 
 def extract_numbers(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, number), normalised, each once."""
-    return df.select(key, F.explode(X.numbers_in(text)).alias("number"))
+    return df.select(key, F.explode_outer(X.numbers_in(text)).alias("number")).where("number is not null")  # an inner explode would look twice
 
 
 def unsourced_numbers(answers: DataFrame, sources: DataFrame) -> DataFrame:
