@@ -104,3 +104,34 @@ def test_no_facts_and_no_hunks(spark):
     index = drift.fact_value_index(spark.createDataFrame(facts, "key string, value string"))
     assert drift.reconcile(h, index.limit(0)).where("unmapped").count() == len(hunks)
     assert drift.reconcile(h.limit(0), index).count() == drift.page_findings(h.limit(0), index).count() == 0
+
+
+def test_facts_with_the_same_leaves_are_one_class(spark):
+    hunks, facts = made(5)
+    h = spark.createDataFrame(hunks, "slug string, hunk int, old_lines array<string>, new_lines array<string>")
+    index = drift.fact_value_index(spark.createDataFrame(facts + [("hot.0", "8%")], "key string, value string"))
+    classes, members = drift.fact_classes(index, chunk=16)
+    hot = classes.where("token = '7'").select("key").distinct()
+    assert hot.count() < 60  # 200 facts have this value, 199 of them alone
+    chunks = members.collect()
+    assert sorted(k for r in chunks for k in r["keys"]) == sorted(r.key for r in index.select("key").distinct().collect())
+    assert max(len(r["keys"]) for r in chunks) < 60
+    met = drift.hunk_facts(h, classes).where("key is not null").join(members.select(F.col("class").alias("key"), "keys"), "key")
+    assert sorted(met.select("slug", "hunk", F.explode("keys"), "old_value", "proposed").collect(), key=str) == sorted(drift.hunk_facts(h, index).where("key is not null").select("slug", "hunk", "key", "old_value", "proposed").collect(), key=str)
+
+
+def test_lists_are_made_once_for_pages_alike(spark):
+    line = lambda x: [f"Price {x}"]
+    hunks = [(f"p{i}", 1, line(7), line(8)) for i in range(50)] + [("q", 1, line("a"), line("b")), ("r", 1, line(9), line(8))]
+    h = spark.createDataFrame(hunks, "slug string, hunk int, old_lines array<string>, new_lines array<string>")
+    index = drift.fact_value_index(spark.createDataFrame([(f"k.{i}", "7") for i in range(300)] + [("k.x", "9")], "key string, value string"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(edits):
+        calls.add(bool(edits))
+        return str(len(edits))
+
+    shown = drift.page_findings(h, index, h.groupBy("slug").count(), show=lambda edits: F.udf(counted)(edits))
+    got = {r.slug: (r.n_hunks, r.unmapped, r["count"], r.edits) for r in shown.collect()}
+    assert got == {f"p{i}": (1, 0, 1, "300") for i in range(50)} | {"q": (1, 1, 1, "0"), "r": (1, 0, 1, "1")}
+    assert calls.value <= 2
