@@ -131,7 +131,7 @@ def c7_places(spark, sf_dir):
     return S.finding_places(S.scan_surface(_lines(spark, sf_dir), DOMAIN))
 
 
-@query("c7_group_findings", SCAN + " SELECT repo, type, subtype, value, count(*) AS places, count(DISTINCT file) AS n_files, min(file) AS first_file FROM found GROUP BY ALL")
+@query("c7_group_findings", SCAN + f" SELECT repo, type, subtype, value, sum(n)::BIGINT AS places, count(*) AS n_files, min(file) AS first_file, string_agg(file || ':' || first_line, ',' ORDER BY file) AS files FROM ({PLACES.format('found')}) GROUP BY ALL")
 def c7(spark, sf_dir):
     return S.group_findings(S.finding_places(S.scan_surface(_lines(spark, sf_dir), DOMAIN)))
 

@@ -60,3 +60,13 @@ def test_fingerprint_is_of_the_set(spark):
         assert got[0] == got[1] == {"big": tree(digests, levels), "one": tree(digests[:1], levels), "two": tree(digests[:1], levels)}
     less = dict(surface.digest_tree(spark.createDataFrame(rows[1:], "repo string, h string"), "repo").collect())
     assert less["big"] != tree(digests, (6, 3)) and surface.digest_tree(spark.createDataFrame([], "repo string, h string"), "repo").count() == 0
+
+
+def test_groups_list_all_their_files(spark):
+    made_ = made(random.Random(4), 300)
+    want = {}
+    for r in made_:
+        files = want.setdefault(r[:4], {})
+        files[r[4]] = min(r[5], files.get(r[4], r[5]))
+    got = surface.group_findings(surface.finding_places(spark.createDataFrame(made_, COLUMNS))).collect()
+    assert {tuple(r)[:4]: r.files for r in got} == {k: ",".join(f"{f}:{n}" for f, n in sorted(v.items())) for k, v in want.items()}
