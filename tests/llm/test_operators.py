@@ -308,6 +308,37 @@ def test_quality_ranks_pairs():
     assert (good[:, None] > bad[None, :]).mean() > 0.97
 
 
+def test_quality_learns_from_all_labelled_texts(spark):
+    rng = np.random.default_rng(3)
+    n, n_bad = 10_000, 900
+    texts = [("word " * int(k) + ("!! " * int(j) if i < n_bad else "") + f"t{i}") for i, (k, j) in enumerate(zip(rng.integers(1, 20, n), rng.integers(0, 4, n), strict=True))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i >= n_bad)) for i in range(n)], "doc_id long, quality int")
+    x, y = np.array([quality.features(t.encode()) for t in texts]), np.array([int(i >= n_bad) for i in range(n)])
+    m = quality.fit(docs, labels)
+    assert np.allclose(m.mean, x.mean(0)) and np.allclose(m.scale, x.std(0) + 1e-9)
+    s = np.clip((x - m.mean) / m.scale, -8, 8) @ m.weights
+    gains = [((s >= t)[y == 1].mean() + (s < t)[y == 0].mean()) for t in np.sort(s)[[int(np.ceil(q * n - 1e-9)) - 1 for q in quality.QUANTILES]]]
+    assert np.isclose((s >= m.cut)[y == 1].mean() + (s < m.cut)[y == 0].mean(), max(gains))
+    # Every pair counts for the gradient: at the weights found, a model of all n_bad x good pairs is nearly at rest too.
+    z = np.clip((x - m.mean) / m.scale, -8, 8)
+    every = [quality.pair_sums(z[y == 1] - b, m.weights) for b in z[:n_bad]]
+    pairs = sum(k for *_, k in every)
+    assert np.abs(sum(g for g, *_ in every) / pairs - 1e-3 * m.weights).max() < 0.01
+
+
+def test_quality_parts_with_few_of_a_label(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PART_ROWS", 40)
+    monkeypatch.setattr(quality, "LEAST_RARER", 8)
+    docs = spark.createDataFrame([(i, f"a {i} " + ("b! " * (i % 7) if i < 5 else "bc ") * 3) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 5)) for i in range(300)], "doc_id long, quality int")
+    seen = quality.labelled_features(docs, labels, "text", "doc_id", "quality")
+    dealt = quality._dealt(seen, 0, 5, 295)
+    assert dealt.where("not rarer").count() == 295 and dealt.where("rarer").groupBy("part").count().where("count = 5").count() == 8
+    got = quality.score_quality(docs, quality.fit(docs, labels)).select("doc_id", "predicted").collect()
+    assert sum(r.predicted == int(r.doc_id >= 5) for r in got) >= 298
+
+
 def test_quality_and_toxicity_odd(odd, empty, labels):
     for fit, score in ((quality.fit, quality.score_quality), (toxicity.fit, toxicity.score_toxicity)):
         for docs, lab in ((odd, labels), (odd, labels.limit(0)), (empty, labels)):
