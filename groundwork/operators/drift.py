@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,13 +76,33 @@ def compare_baseline(base: DataFrame, current: DataFrame) -> DataFrame:
 
 def changed_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
     """(slug, old_text, new_text) where both are there and differ; texts are compared before any line is made."""
-    return old.select("slug", F.col("text").alias("old_text")).join(new.select("slug", F.col("text").alias("new_text")), "slug").where("old_text <> new_text")
+    both = old.select("slug", F.col("text").alias("old_text")).join(new.select("slug", F.col("text").alias("new_text")), "slug")
+    # Of a bare comparison Spark infers that no text is null, asks so before the join, and makes each text again for it.
+    return both.where(F.when(F.col("old_text").isNotNull() & F.col("new_text").isNotNull(), F.col("old_text") != F.col("new_text")).otherwise(False))
+
+
+def _in_pieces(rows, kind: pa.DataType, *columns: pa.Array, size: int = 64) -> pa.Array:
+    """rows(values of the columns) for each row, of which only `size` at a time are Python's."""
+    pieces = [pa.array([rows(*v) for v in zip(*(c.slice(i, size).to_pylist() for c in columns), strict=True)], kind) for i in range(0, len(columns[0]), size)]
+    return pa.concat_arrays(pieces) if pieces else pa.array([], kind)
+
+
+COUNTS = "array<struct<line:string,n:bigint>>"
+
+
+def line_counts(old: pa.Array, new: pa.Array) -> pa.Array:
+    def differing(x: str, y: str) -> list:
+        n = Counter(y.split("\n"))
+        n.subtract(x.split("\n"))
+        return [{"line": k, "n": v} for k, v in n.items() if v]
+
+    return _in_pieces(differing, pa.list_(pa.struct([("line", pa.string()), ("n", pa.int64())])), old, new)
 
 
 def line_delta(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(slug, line, removed, added): lines as multisets, only those whose counts differ."""
-    pairs = changed_pairs(old, new)
-    rows = pairs.select("slug", F.explode(F.split("old_text", "\n")).alias("line"), F.lit(-1).alias("n")).union(pairs.select("slug", F.explode(F.split("new_text", "\n")), F.lit(1)))
+    """(slug, line, removed, added): lines as multisets, only those whose counts differ. Lines are counted where the page is; only those that differ are shuffled."""
+    ship(old.sparkSession)
+    rows = changed_pairs(old, new).select("slug", F.explode(F.arrow_udf(line_counts, COUNTS)("old_text", "new_text")).alias("e")).select("slug", "e.line", "e.n")
     summed = rows.groupBy("slug", "line").agg(F.sum("n").alias("n")).where("n <> 0")
     return summed.select("slug", "line", F.greatest(-F.col("n"), F.lit(0)).alias("removed"), F.greatest("n", F.lit(0)).alias("added"))
 
@@ -89,12 +111,12 @@ HUNKS = "array<struct<op:string,old_lines:array<string>,new_lines:array<string>>
 
 
 def hunk_lists(old: pa.Array, new: pa.Array) -> pa.Array:
-    rows = []
-    for x, y in zip(old.to_pylist(), new.to_pylist(), strict=True):
+    def aligned(x: str, y: str) -> list:
         a, b = x.splitlines(), y.splitlines()
-        rows.append([{"op": op, "old_lines": a[i1:i2], "new_lines": b[j1:j2]} for op, i1, i2, j1, j2 in alignment.opcodes(a, b) if op != "equal"])
+        return [{"op": op, "old_lines": a[i1:i2], "new_lines": b[j1:j2]} for op, i1, i2, j1, j2 in alignment.opcodes(a, b) if op != "equal"]
+
     lines = pa.list_(pa.string())
-    return pa.array(rows, pa.list_(pa.struct([("op", pa.string()), ("old_lines", lines), ("new_lines", lines)])))
+    return _in_pieces(aligned, pa.list_(pa.struct([("op", pa.string()), ("old_lines", lines), ("new_lines", lines)])), old, new)
 
 
 def page_hunks(old: DataFrame, new: DataFrame) -> DataFrame:

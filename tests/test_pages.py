@@ -6,6 +6,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from groundwork.operators import alignment, corpus, drift, markup
 
@@ -118,3 +119,13 @@ def test_cards(spark):
     got = sorted(tuple(r) for r in corpus.extract_cards(pages, card_class="card", excluded=("old",)).where("page_id = 1").collect())
     assert got == [(1, "updates", 0, "a", "A < B", "May 1, 2026", "x/a.pdf"), (1, "updates", 2, "c", None, None, "c.pdf")]
     assert {r.page_id for r in corpus.extract_cards(pages, card_class="card", excluded=("old",)).collect()} == {1, 4}
+
+
+def test_texts_are_made_once_for_comparison(spark):
+    raw = spark.createDataFrame([("a", "x\r\n y ", "x\nz\nz"), ("b", None, "x"), ("c", "q", "q"), ("d", "", "v"), ("a", "k", "k\nk")], "slug string, old string, new string")
+    old, new = (drift.normalize_lines(raw.select("slug", F.col(c).alias("text"))) for c in ("old", "new"))
+    plan = drift.changed_pairs(old, new)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 4  # two for each side
+    got = {(r.slug, r.line): (r.removed, r.added) for r in drift.line_delta(old, new).collect()}
+    # Two rows of a page on either side are four pairs: x y - x z z, x y - k k, k - x z z, k - k k.
+    assert got == {("a", "y"): (2, 0), ("a", "z"): (0, 4), ("a", "k"): (0, 2), ("d", ""): (1, 0), ("d", "v"): (0, 1)}
