@@ -310,28 +310,42 @@ def propose_value(hunks: DataFrame, index: DataFrame) -> DataFrame:
 EDITS = "array<struct<key:string,old_value:string,proposed:string>>"
 
 
+def _first_edits(hunks: DataFrame, classes: DataFrame) -> DataFrame:
+    """(slug, class, e, hunks): a page's first edit of each class of facts, and the hunks that touch it; class is null for hunks that touch none."""
+    rows = hunk_facts(hunks, classes).withColumnRenamed("key", "class")
+    return rows.groupBy("slug", "class").agg(F.min(F.struct("hunk", "old_value", "proposed")).alias("e"), F.collect_set("hunk").alias("hunks"))
+
+
+def _by_page(edits: DataFrame, name: str, total: Column) -> DataFrame:
+    """(slug, n_hunks, unmapped, name): how many hunks a page has and how many of them touch no fact, and `total` of its rows of `_first_edits`."""
+    numbers = lambda where: F.size(F.array_distinct(F.flatten(F.collect_list(F.when(where, F.col("hunks")))))).cast("bigint")
+    page = edits.groupBy("slug").agg(numbers(F.lit(True)).alias("n_hunks"), numbers(F.col("class").isNotNull()).alias("n_mapped"), total.alias(name))
+    return page.select("slug", "n_hunks", (F.col("n_hunks") - F.col("n_mapped")).alias("unmapped"), name)
+
+
 def page_findings(hunks: DataFrame, index: DataFrame, *more: DataFrame, show=None) -> DataFrame:
     """(slug, n_hunks, unmapped, more, edits): a page's hunks without a fact, and one edit for each fact, from its first hunk, by key.
 
     Pages meet classes of facts; a list of edits is made once for all pages that edit the same classes in the same
-    way, and shown by `show` if given. `more` are frames by slug, joined before the lists are.
+    way, and shown by `show` if given. `more` are frames by slug, joined before the lists are. Where only the number
+    of edits counts, take `finding_counts`.
     """
     classes, members = fact_classes(index)
-    rows = hunk_facts(hunks, classes).withColumnRenamed("key", "class")
-    one = rows.groupBy("slug", "class").agg(F.min(F.struct("hunk", "old_value", "proposed")).alias("e"), F.collect_set("hunk").alias("hunks"))
-    numbers = lambda where: F.array_distinct(F.flatten(F.collect_list(F.when(where, F.col("hunks")))))
-    mapped = F.col("class").isNotNull()
-    page = one.groupBy("slug").agg(
-        F.size(numbers(F.lit(True))).cast("bigint").alias("n_hunks"), F.size(numbers(mapped)).cast("bigint").alias("n_mapped"),
-        F.sort_array(F.collect_list(F.when(mapped, F.struct("class", "e.old_value", "e.proposed")))).alias("classes"),
-    )
-    page = page.select("slug", "n_hunks", (F.col("n_hunks") - F.col("n_mapped")).alias("unmapped"), "classes")
+    entries = F.sort_array(F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "e.old_value", "e.proposed"))))
+    page = _by_page(_first_edits(hunks, classes), "classes", entries)
     for frame in more:
         page = page.join(frame, "slug")
     edit = lambda k, e: F.struct(k.alias("key"), e["old_value"].alias("old_value"), e["proposed"].alias("proposed"))
     return _listed(page, members, edit, EDITS, "edits", show)
 
 
+def finding_counts(hunks: DataFrame, index: DataFrame) -> DataFrame:
+    """(slug, n_hunks, unmapped, n_edits): `page_findings` with how many edits a page has. Sizes of classes are added up, so no list of edits is made."""
+    classes, members = fact_classes(index)
+    sizes = members.groupBy("class").agg(F.sum(F.size("keys")).alias("n_keys"))
+    return _by_page(_first_edits(hunks, classes).join(sizes, "class", "left"), "n_edits", F.coalesce(F.sum("n_keys"), F.lit(0)))
+
+
 def dedup_findings(findings: DataFrame, state: DataFrame) -> DataFrame:
     """New (slug, fingerprint, detected_at) only, each once at its first time; what the state has stays silent."""
     fresh = findings.join(state.select("slug", "fingerprint"), ["slug", "fingerprint"], "left_anti")
@@ -376,9 +390,9 @@ def advance_baseline(base: DataFrame, current: DataFrame, accepted: DataFrame) -
     return joined.select("slug", text.alias("text"), X.sha256_hex(text).alias("sha256"), stamp.alias("seeded_from"))
 
 
-def finding_batch_summary(findings: DataFrame) -> DataFrame:
-    """One row: pages, edits and unmapped hunks. The slugs stay rows: a list of all would not be bounded."""
-    return findings.agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum(F.size("edits")), F.lit(0)).cast("bigint").alias("edits"), F.coalesce(F.sum("unmapped"), F.lit(0)).alias("unmapped"))
+def finding_batch_summary(counts: DataFrame) -> DataFrame:
+    """One row of `finding_counts`: pages, edits and unmapped hunks. The slugs stay rows: a list of all would not be bounded."""
+    return counts.agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("n_edits"), F.lit(0)).alias("edits"), F.coalesce(F.sum("unmapped"), F.lit(0)).alias("unmapped"))
 
 
 def edit_lines(edits: Column) -> Column:

@@ -135,3 +135,17 @@ def test_lists_are_made_once_for_pages_alike(spark):
     got = {r.slug: (r.n_hunks, r.unmapped, r["count"], r.edits) for r in shown.collect()}
     assert got == {f"p{i}": (1, 0, 1, "300") for i in range(50)} | {"q": (1, 1, 1, "0"), "r": (1, 0, 1, "1")}
     assert calls.value <= 2
+
+
+def test_a_summary_adds_up_sizes_of_classes(spark):
+    hunks, facts = made(6)
+    h = spark.createDataFrame(hunks, "slug string, hunk int, old_lines array<string>, new_lines array<string>")
+    index = drift.fact_value_index(spark.createDataFrame(facts, "key string, value string"))
+    pages = {r.slug: (r.n_hunks, r.unmapped, len(r.edits)) for r in drift.page_findings(h, index).collect()}
+    counts = drift.finding_counts(h, index)
+    assert {r.slug: (r.n_hunks, r.unmapped, r.n_edits) for r in counts.collect()} == pages
+    assert tuple(drift.finding_batch_summary(counts).first()) == (len(pages), sum(p[2] for p in pages.values()), sum(p[1] for p in pages.values()))
+    # Keys are counted, and no list of edits stands on any page's row.
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "edits#" not in plan.replace("n_edits#", "") and "list_id" not in plan
+    assert tuple(drift.finding_batch_summary(drift.finding_counts(h.limit(0), index)).first()) == (0, 0, 0)
