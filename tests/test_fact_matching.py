@@ -149,3 +149,18 @@ def test_a_summary_adds_up_sizes_of_classes(spark):
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
     assert "edits#" not in plan.replace("n_edits#", "") and "list_id" not in plan
     assert tuple(drift.finding_batch_summary(drift.finding_counts(h.limit(0), index)).first()) == (0, 0, 0)
+
+
+def test_lists_are_dealt_to_all_partitions(spark):
+    line = lambda x: [f"Price {x}"]
+    hunks = [(f"p{i}", 1, line(i % 200 + 100), line(7)) for i in range(400)]
+    h = spark.createDataFrame(hunks, "slug string, hunk int, old_lines array<string>, new_lines array<string>")
+    index = drift.fact_value_index(spark.createDataFrame([(f"k.{i}", str(i % 200 + 100)) for i in range(600)], "key string, value string"))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = drift.page_findings(h, index).withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert {r.slug: len(r.edits) for r in found} == {f"p{i}": 3 for i in range(400)}
+    assert len({r["at"] for r in found}) == 16
