@@ -78,20 +78,73 @@ def chunk_chars(df: DataFrame, text: str = "text", size: int = 1000, keep: tuple
     return rows.select(*keep, "chunk_index", F.substring(text, F.col("chunk_index") * size + 1, F.lit(size)).alias("content"))
 
 
-def gram_sums(texts: list[list[str] | None], dim: int, sizes: tuple[int, ...], known: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(row * dim + bucket, signed count) of the grams of some texts, sums of zero left out; each different gram is hashed once."""
-    grams = [[g for n in sizes for g in (map(" ".join, zip(*(words[i:] for i in range(n)))) if n > 1 else words)] for words in (t or [] for t in texts)]
-    for g in set().union(*grams).difference(known):
-        d = hashlib.sha256(g.encode()).digest()
-        known[g] = int.from_bytes(d[:8], "big") % dim, 1 - 2 * (d[8] & 1)
-    lengths = [len(g) for g in grams]
-    both = np.array([known[g] for row in grams for g in row], np.int64).reshape(-1, 2)
-    slot, at = np.unique(np.repeat(np.arange(len(grams)), lengths) * dim + both[:, 0], return_inverse=True)
-    v = np.bincount(at, weights=both[:, 1], minlength=len(slot))
-    return slot[v != 0], v[v != 0]
+# Bytes outside words; those of other scripts are among them.
+WORD_BYTES = bytes(b if chr(b).isascii() and chr(b).isalnum() else 0x20 for b in range(256))
+KNOWN_GRAMS = 500_000  # that a task keeps before it forgets them
 
 
-KNOWN_GRAMS = 500_000  # that a task keeps before it forgets them
+class Grams:
+    """Buckets and signs of the grams that a task has met; each different gram is hashed once."""
+
+    def __init__(self, dim: int, sizes: tuple[int, ...]):
+        self.dim, self.sizes = dim, sizes
+        self.forget()
+
+    def forget(self) -> None:
+        """A gram of n words is known by the number of its first n - 1 words and that of its last one."""
+        self.numbers: list[dict] = [{} for _ in range(max(self.sizes))]
+        self.buckets = [np.empty(0, np.int64) for _ in self.numbers]
+        self.signs = [np.empty(0, np.int64) for _ in self.numbers]
+
+    def add(self, level: int, keys: list, texts: list[bytes]) -> None:
+        """Number new grams of a level, and hash them if grams of this length count."""
+        known = self.numbers[level]
+        known.update(zip(keys, range(len(known), len(known) + len(keys)), strict=True))
+        if level + 1 in self.sizes:
+            d = np.frombuffer(b"".join([hashlib.sha256(t).digest() for t in texts]), np.uint8).reshape(-1, 32)
+            bucket = (np.ascontiguousarray(d[:, :8]).view(">u8")[:, 0] % np.uint64(self.dim)).astype(np.int64)
+            self.buckets[level] = np.concatenate((self.buckets[level], bucket))
+            self.signs[level] = np.concatenate((self.signs[level], 1 - 2 * (d[:, 8] & 1).astype(np.int64)))
+
+    def sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row * dim + bucket, signed count) of the grams of some lower-case texts, sums of zero left out. Words are runs of a-z and 0-9."""
+        if sum(map(len, self.numbers)) > KNOWN_GRAMS:
+            self.forget()
+        parted = [t.translate(WORD_BYTES).split() if t else [] for t in texts.cast(pa.binary()).to_pylist()]
+        row = np.repeat(np.arange(len(parted)), [len(w) for w in parted])
+        words = [w for text in parted for w in text]
+        number = self.numbers[0].get
+        found = list(map(number, words))
+        if None in found:
+            new = list(dict.fromkeys(w for w, n in zip(words, found, strict=True) if n is None))
+            self.add(0, new, new)
+            found = list(map(number, words))
+        gram = word = np.array(found, np.int64)
+        start = np.arange(len(words))
+        slots, signs = [], []
+        for level in range(len(self.numbers)):
+            if level:
+                # Grams that end beyond their row are none.
+                inside = start + level < len(words)
+                inside[inside] = row[start[inside]] == row[start[inside] + level]
+                start, gram = start[inside], gram[inside]
+                keys, first, back = np.unique(gram << 32 | word[start + level], return_index=True, return_inverse=True)
+                known = self.numbers[level]
+                new = [i for i, k in enumerate(keys.tolist()) if k not in known]
+                if new:
+                    self.add(level, keys[new].tolist(), [b" ".join(words[i : i + level + 1]) for i in start[first[new]].tolist()])
+                gram = np.array(list(map(known.get, keys.tolist())), np.int64)[back]
+            if level + 1 in self.sizes:
+                slots.append(row[start] * self.dim + self.buckets[level][gram])
+                signs.append(self.signs[level][gram])
+        slot, sign = np.concatenate(slots), np.concatenate(signs)
+        if len(parted) * self.dim <= 1 << 20:
+            v = np.bincount(slot, weights=sign)
+            slot = np.flatnonzero(v)
+            return slot, v[slot]
+        slot, back = np.unique(slot, return_inverse=True)
+        v = np.bincount(back, weights=sign, minlength=len(slot))
+        return slot[v != 0], v[v != 0]
 
 
 def hash_embed(df: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 256, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
@@ -101,42 +154,38 @@ def hash_embed(df: DataFrame, key: str = "doc_id", text: str = "text", dim: int
     Grams of a row are counted and hashed where the row is, so nothing is shuffled. Zero weights are left out.
     """
     ship(df.sparkSession)
-    tokens = df.select(key, X.word_tokens(text).alias("t"))
-    schema = T.StructType([tokens.schema[key]]).add("bucket", "integer").add("weight", "double")
+    lower = df.select(key, F.lower(text).alias("t"))
+    schema = T.StructType([lower.schema[key]]).add("bucket", "integer").add("weight", "double")
 
     def work(batches):
-        known: dict = {}
+        grams = Grams(dim, sizes)
         for part in slices(batches, 256):
-            slot, v = gram_sums(part.column("t").to_pylist(), dim, sizes, known)
+            slot, v = grams.sums(part.column("t"))
             row = slot // dim
             norm = np.sqrt(np.bincount(row, weights=v * v, minlength=part.num_rows))
             yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(row)), pa.array((slot % dim).astype(np.int32)), pa.array(v / norm[row])], schema.names)
-            if len(known) > KNOWN_GRAMS:
-                known.clear()
 
-    return tokens.mapInArrow(work, schema)
+    return lower.mapInArrow(work, schema)
 
 
 def hash_vectors(df: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 256, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
     """(key, v): the same embedding as one dense vector on its row; a text without a gram has zeros."""
     ship(df.sparkSession)
-    tokens = df.select(key, X.word_tokens(text).alias("t"))
-    schema = T.StructType([tokens.schema[key]]).add("v", T.ArrayType(T.DoubleType()))
+    lower = df.select(key, F.lower(text).alias("t"))
+    schema = T.StructType([lower.schema[key]]).add("v", T.ArrayType(T.DoubleType()))
 
     def work(batches):
-        known: dict = {}
+        grams = Grams(dim, sizes)
         for part in slices(batches, 256):
-            slot, v = gram_sums(part.column("t").to_pylist(), dim, sizes, known)
+            slot, v = grams.sums(part.column("t"))
             rows = np.zeros(part.num_rows * dim)
             rows[slot] = v
             rows = rows.reshape(-1, dim)
             rows /= np.maximum(np.sqrt((rows * rows).sum(1)), 1)[:, None]
             ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * dim)
             yield pa.RecordBatch.from_arrays([part.column(key), pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))], schema.names)
-            if len(known) > KNOWN_GRAMS:
-                known.clear()
 
-    return tokens.mapInArrow(work, schema)
+    return lower.mapInArrow(work, schema)
 
 
 def dense(sparse: DataFrame, key: str = "doc_id", dim: int = 256) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,33 @@ def test_embedding_equals_its_definition(spark):
         assert sparse.get(key, {}) == pytest.approx({b: n / norm for b, n in want.items() if n})
 
 
+def test_each_gram_is_hashed_once_and_forgotten_in_time(monkeypatch):
+    rng = random.Random(4)
+    rows = [[rng.choice("abcdefgh") for _ in range(rng.randrange(9))] for _ in range(200)] + [[], None, ["a"]]
+    texts, calls = pa.array([None if w is None else "-é ".join(w) for w in rows], pa.string()), []
+    real = hashlib.sha256
+    monkeypatch.setattr(corpus.hashlib, "sha256", lambda b: (calls.append(b), real(b))[1])
+    for dim in (16, 1 << 20):
+        for sizes in ((1,), (2,), (1, 2), (1, 3)):
+            want = Counter()
+            for r, words in enumerate(w or [] for w in rows):
+                for n in sizes:
+                    for g in (" ".join(words[i : i + n]) for i in range(len(words) - n + 1)):
+                        d = real(g.encode()).digest()
+                        want[r * dim + int.from_bytes(d[:8], "big") % dim] += 1 - 2 * (d[8] & 1)
+            want = {k: v for k, v in want.items() if v}
+            calls.clear()
+            grams = corpus.Grams(dim, sizes)
+            for known in (corpus.KNOWN_GRAMS, corpus.KNOWN_GRAMS, 0):
+                monkeypatch.setattr(corpus, "KNOWN_GRAMS", known)
+                assert dict(zip(*(x.tolist() for x in grams.sums(texts)), strict=True)) == want
+                times = Counter(calls).values()
+                assert set(times) == {1 if known else 2}
+            monkeypatch.undo()
+            monkeypatch.setattr(corpus.hashlib, "sha256", lambda b: (calls.append(b), real(b))[1])
+            assert corpus.Grams(dim, sizes).sums(texts.slice(200, 2))[0].tolist() == []
+
+
 def test_words_are_parted_by_blanks_of_any_script(spark):
     text = "\x1c a b　c\x85d e\x1ff \n"
     df = spark.createDataFrame([(1, text), (2, " "), (3, ""), (4, None)], "doc_id long, text string")
