@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -39,6 +40,28 @@ def test_opcodes_equal_the_standard_matcher():
             assert alignment.unified(a, b, want, ("x", "y"), context) == "\n".join(difflib.unified_diff(a, b, "x", "y", lineterm="", n=context))
 
 
+def test_pages_that_differ_at_their_ends_need_no_search(monkeypatch):
+    rng = random.Random(8)
+    pages = [[rng.choice(letters) for _ in range(rng.randrange(12))] for letters in ("a", "ab", "abc", "abcdefghij") for _ in range(200)]
+    edits = (lambda p: ["x", *p[1:]], lambda p: ["x", *p], lambda p: p[1:], lambda p: p[1:] + p[:1], lambda p: ["x", *p[1:], "y"], lambda p: p[:-1] + ["x"], lambda p: p[2:])
+    cases = [(p, edit(p)) for p in pages for edit in edits]
+    want = [difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() for a, b in cases]
+    assert [alignment.opcodes(a, b) for a, b in cases] == want
+    monkeypatch.setattr(alignment, "SequenceMatcher", None)
+    long = [str(i) for i in range(100_000)]
+    for edit in edits:
+        assert [c for c in alignment.opcodes(long, edit(long)) if c[0] == "equal" and c[2] - c[1] > 99_000]
+
+
+def test_lines_in_one_pass_equal_python(spark):
+    rng = random.Random(9)
+    blanks = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
+    texts = ["".join(rng.choice("ab" + blanks if i % 3 else "abcdef  \n\t") for _ in range(rng.randrange(30))) for i in range(4000)] + ["", " ", "\n", "a\r\n\r\nb ", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    lines = lambda t: "\n".join(x for x in (re.sub("[ \t]+", " ", y).strip() for y in t.splitlines()) if x)
+    assert {r.i: r.text for r in drift.normalize_lines(rows).collect()} == {i: None if t is None else lines(t) for i, t in enumerate(texts)}
+
+
 def test_many_equal_lines_take_the_automaton():
     a, b = ["x"] * 20_000 + ["y"], ["x"] * 9_000 + ["z"] + ["x"] * 10_000
     assert alignment.opcodes(a, b) == [("insert", 0, 0, 0, 9001), ("equal", 0, 10_000, 9001, 19_001), ("delete", 10_000, 20_001, 19_001, 19_001)]
