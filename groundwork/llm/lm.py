@@ -19,12 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundwork.llm.common import checkpointed, ship, slices, written
+from groundwork.llm.common import checkpointed, ship, written
 from groundwork.llm.neardup import mix
 
 FORMS = 512
@@ -33,12 +34,58 @@ FREQUENT = 1 << 17
 END = 1  # the hash that stands for the end of a text
 SWEEPS, BURN_IN = 4, 2
 FLUSH = 300_000
-SEEN_WORDS = 200_000
+SEEN_WORDS = 1_000_000
+PIECE_TEXTS, PIECE_BYTES = 4096, 1 << 23  # texts are split so many at once
 
 
-def words_of(raw: bytes | None) -> list[bytes]:
-    """A-Z folded, split at spaces and at 0x09 to 0x0D."""
-    return raw.lower().split() if raw else []
+@dataclass
+class Tokens:
+    """Words of some texts, A-Z folded, split at spaces and at 0x09 to 0x0D; each text ends with one end, numbered len(words)."""
+
+    words: list[bytes]  # each once
+    at: np.ndarray  # which word, or the end
+    lengths: np.ndarray  # tokens of each text
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.lengths) - self.lengths
+
+    def before(self) -> np.ndarray:
+        """The token before each one; before the first of a text comes an end."""
+        return np.concatenate(([len(self.words)], self.at[:-1])) if len(self.at) else self.at
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.at, minlength=len(self.words) + 1)
+
+
+def tokens_of(texts: pa.Array) -> Tokens:
+    """Null counts as empty."""
+    raw = pc.fill_null(texts.cast(pa.binary()), b"").view(pa.string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(raw))
+    flat = split.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)
+    kept = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))
+    ends = kept[np.cumsum(pc.list_value_length(split).to_numpy())]
+    lengths = np.diff(ends, prepend=0) + 1
+    coded = flat.filter(full).dictionary_encode()
+    words = coded.dictionary.view(pa.binary()).to_pylist()
+    at = np.full(int(lengths.sum()), len(words), np.int64)
+    inner = np.ones(len(at), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    at[inner] = coded.indices.to_numpy()
+    return Tokens(words, at, lengths)
+
+
+def pieces(batches, text: str):
+    """Cut Arrow batches into pieces of at most PIECE_TEXTS rows and about PIECE_BYTES of text."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            seen = size[start - 1] if start else 0
+            end = min(start + PIECE_TEXTS, max(start + 1, int(np.searchsorted(size, seen + PIECE_BYTES))))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def word_hash(word: bytes) -> int:
@@ -119,36 +166,28 @@ class Vocabulary:
 
 
 class Reader:
-    """Turns texts into frequent-word numbers; unknown words are -1. One for each task."""
+    """Looks up words: number among the frequent ones (unknown words are -1), hash and class. One for each task."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.by_hash = vocabulary.lookup()
-        self.seen: dict[bytes, int] = {}
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        at = list(map(self.seen.get, words))
-        if None in at:
-            if len(self.seen) > SEEN_WORDS:
-                self.seen = {}
-            for i, x in enumerate(at):
-                if x is None:
-                    w = words[i]
-                    x = self.seen.get(w)
-                    if x is None:
-                        x = self.seen[w] = self.by_hash.get(word_hash(w), -1)
-                    at[i] = x
-        return np.array(at, dtype=np.int64)
-
-    def classes(self, words: list[bytes], numbers: np.ndarray) -> np.ndarray:
-        """Classes of the words and of the end."""
-        out = np.empty(len(words) + 1, np.int64)
-        out[:-1] = self.vocabulary.classes[numbers]
-        for i in np.flatnonzero(numbers < 0):
-            out[i] = self.vocabulary.own + form_of(words[i])
-        out[-1] = self.vocabulary.classes[0]
+        self.seen: dict[bytes, tuple[int, int, int]] = {}
+
+    def look(self, word: bytes) -> tuple[int, int, int]:
+        h = word_hash(word)
+        n = self.by_hash.get(h, -1)
+        out = self.seen[word] = n, h, int(self.vocabulary.classes[n]) if n >= 0 else self.vocabulary.own + form_of(word)
         return out
 
+    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers, hashes and classes of the words and, last, of the end."""
+        if len(self.seen) > SEEN_WORDS:
+            self.seen = {}
+        found = [x or self.look(w) for w, x in zip(words, map(self.seen.get, words), strict=True)]
+        found.append((0, END, int(self.vocabulary.classes[0])))
+        table = np.array(found, dtype=np.int64)
+        return table[:, 0], table[:, 1], table[:, 2]
+
 
 def count_words(docs: DataFrame, text: str) -> DataFrame:
     """(h, form, c) of all tokens, ends included, summed by task first."""
@@ -162,10 +201,11 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
             h = [END, *map(word_hash, words)]
             return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([0, *map(form_of, words)], pa.int32()), pa.array([ends, *counter.values()], pa.int64())], ["h", "form", "c"])
 
-        for batch in slices(batches, 256):
-            for raw in batch.column(text).cast(pa.binary()).to_pylist():
-                seen.update(words_of(raw))
-                ends += 1
+        for piece in pieces(batches, text):
+            tokens = tokens_of(piece.column(text))
+            for w, c in zip(tokens.words, tokens.counts().tolist(), strict=False):
+                seen[w] += c
+            ends += len(tokens.lengths)
             if len(seen) > FLUSH:
                 yield out(seen, ends)
                 seen, ends = Counter(), 0
@@ -183,15 +223,11 @@ def count_class_pairs(docs: DataFrame, text: str, vocabulary: Vocabulary) -> Dat
     def work(batches):
         reader = Reader(shared.value)
         cells = np.zeros(width * width, np.int64)
-        for batch in slices(batches, 256):
-            parts = []
-            for raw in batch.column(text).cast(pa.binary()).to_pylist():
-                words = words_of(raw)
-                c = reader.classes(words, reader.numbers(words))
-                parts.append(np.concatenate((c[-1:], c[:-1])) * width + c)
-            if parts:
-                at, n = np.unique(np.concatenate(parts), return_counts=True)
-                cells[at] += n
+        for piece in pieces(batches, text):
+            tokens = tokens_of(piece.column(text))
+            _, _, classes = reader.numbers(tokens.words)
+            at, n = np.unique(classes[tokens.before()] * width + classes[tokens.at], return_counts=True)
+            cells[at] += n
         full = np.flatnonzero(cells)
         for i in range(0, len(full), 100_000):
             part = full[i : i + 100_000]
@@ -404,30 +440,27 @@ def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", keep:
         vocabulary, table, unseen, log_count = shared.value
         reader = Reader(vocabulary)
         known_end = int(vocabulary.counts[0] > 0)
-        for batch in slices(batches, 256):
-            ids = batch.column("__row").to_pylist()
-            tokens, known, base, score = [], [], [], []
-            rows, hs, tfs = [], [], []
-            for row, raw in zip(ids, batch.column("__text").cast(pa.binary()).to_pylist(), strict=True):
-                words = words_of(raw)
-                at = reader.numbers(words)
-                c = reader.classes(words, at)
-                full = at[at >= 0]
-                rare = Counter(words[i] for i in np.flatnonzero(at < 0))
-                tokens.append(len(c))
-                known.append(len(full) + known_end)
-                base.append(len(c) * base_one + float(log_count[full].sum() + log_count[0]))
-                logs = float(table[np.concatenate((c[-1:], c[:-1])), c].sum(dtype=np.float64) + vocabulary.log_word[full].sum())
-                score.append(logs + sum(unseen[form_of(w)] * k for w, k in rare.items()))
-                for w, k in rare.items():
-                    rows.append(row)
-                    hs.append(word_hash(w))
-                    tfs.append(k)
+        for batch in pieces(batches, "__text"):
+            ids = batch.column("__row").to_numpy()
+            t = tokens_of(batch.column("__text"))
+            numbers, hashes, classes = reader.numbers(t.words)
+            full = numbers >= 0
+            tokens, starts = t.lengths, t.starts
+            known = np.add.reduceat(full[t.at].astype(np.int64), starts) - (1 - known_end)
+            # What a word adds by itself; a rare one as if it were unseen, what its count adds comes by its hash.
+            more_base = np.where(full, log_count[numbers], 0.0)
+            alone = np.where(full, vocabulary.log_word[numbers], unseen[np.maximum(classes - vocabulary.own, 0)])
+            base = tokens * base_one + np.add.reduceat(more_base[t.at], starts)
+            score = np.add.reduceat(table[classes[t.before()], classes[t.at]] + alone[t.at], starts)
+            rare = np.flatnonzero(~full[t.at])
+            which = np.repeat(np.arange(len(ids)), tokens)[rare] * len(full) + t.at[rare]
+            which, tfs = np.unique(which, return_counts=True)
+            rows, hs = ids[which // len(full)], hashes[which % len(full)]
             heads = pa.StructArray.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x, t) for x, t in zip((tokens, known, base, score), arrow_kinds, strict=True))], [*keep, "n_tokens", "n_known", "base", "score"])
             # The row of a text itself goes to a partition of its own choosing: it looks for no word.
-            spread = mix(np.array(ids, dtype=np.uint64)).view(np.int64)
+            spread = mix(ids.astype(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spread), pa.array([0] * len(ids), pa.int64()), heads], ["row", "h", "tf", "head"])
-            if rows:
+            if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(hs, pa.int64()), pa.array(tfs, pa.int64()), pa.nulls(len(rows), heads.type)], ["row", "h", "tf", "head"])
 
     def gains(batches):

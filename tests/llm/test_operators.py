@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -534,6 +535,23 @@ def test_lm_probabilities_sum_to_one(spark):
     assert np.allclose(total, 1)
 
 
+def test_lm_tokens_as_split_one_by_one(monkeypatch):
+    texts = [" The  cat\x0bA\x1c B\t\n", "", None, "É x\u00a0Y y\u2003Z", " \t", LONG, "\x85b\x0c c\rthe", "the"]
+    want = [t.encode().lower().split() if t else [] for t in texts]
+    for kind in (pa.string(), pa.binary(), pa.large_string()):
+        t = lm.tokens_of(pa.array([x and x.encode() for x in texts], pa.binary()).cast(kind))
+        assert len(set(t.words)) == len(t.words) and t.lengths.tolist() == [len(x) + 1 for x in want]
+        names = [*t.words, None]
+        for x, start, n, before in zip(want, t.starts, t.lengths, np.split(t.before(), t.starts[1:]), strict=True):
+            assert [names[i] for i in t.at[start : start + n]] == [*x, None] and [names[i] for i in before] == [None, *x]
+    monkeypatch.setattr(lm, "PIECE_BYTES", 40)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    cut = list(lm.pieces([batch], "text"))
+    assert [x for b in cut for x in b.column(0).to_pylist()] == texts and len(cut) == 3
+    whole = [lm.tokens_of(b.column(0)).lengths.tolist() for b in cut]
+    assert [n for x in whole for n in x] == [len(x) + 1 for x in want]
+
+
 def test_what_contexts_gather_grows_with_the_text():
     sizes = [lm.own_classes(n) for n in (0, 1, 10**3, 10**6, 10**9, 10**13)]
     assert sizes == sorted(sizes) and sizes[2] < sizes[3] < sizes[4] < sizes[5] < 3000
