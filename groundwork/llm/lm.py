@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -400,82 +400,279 @@ def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tuple(np.concatenate((a, b[order])) for a, b in zip(own, (h, form, c), strict=True))
 
 
-def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def rows_of(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """One list for each stretch between two cuts."""
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
+
+
+@dataclass
+class Pairs:
+    """Which restaurants words have after each other word, and in which bucket they are seated.
+
+    After a word with a class of its own there is a restaurant for each ending, of the words with that
+    ending; after any other word there is one, of all words. All customers of a restaurant are in one
+    bucket. The endings after one word are dealt to slices, more of them the more buckets there are, so that runs
+    of customers after the same word stay long and no bucket gets too much of a common word.
+    """
+
+    vocabulary: Vocabulary
+    buckets: int
+
+    def runs(self, before: np.ndarray, context: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """before: hash of the word before; context, after: classes of it and of the word itself."""
+        slices = min(FORMS, 1 << (self.buckets >> 4).bit_length())
+        ending = np.where(context < self.vocabulary.own, after % slices + 1, 0).astype(np.uint64)
+        return mix(before.view(np.uint64) ^ mix(ending))
+
+    def bucket(self, runs: np.ndarray) -> np.ndarray:
+        return ((runs >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+
+    def packed(self, piece: int, runs: np.ndarray, context: np.ndarray, after: np.ndarray, number: np.ndarray, h: np.ndarray, code: np.ndarray):
+        """Columns of one row for each bucket: its runs (their words' hashes, 0 for words with a class of their own, and
+        their classes) and, one run after another, their customers, of which the first has FIRST in its code.
+
+        Frequent words go by number, the others by hash and class.
+        """
+        for rare in (False, True):
+            chosen = np.flatnonzero((number < 0) == rare)
+            if not len(chosen):
+                continue
+            at = chosen[np.argsort(runs[chosen])]
+            own = runs[at]
+            start = np.concatenate(([True], own[1:] != own[:-1]))
+            new = np.flatnonzero(start)
+            buckets = self.bucket(own[new])
+            first = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1])))
+            by_run, by_word = np.append(first, len(new)), np.append(new[first], len(at))
+            word_class = context[at[new]]
+            none = pa.nulls(len(first), pa.list_(pa.int64()))
+            yield {
+                "bucket": pa.array(buckets[first], pa.int32()), "piece": pa.array(np.full(len(first), piece), pa.int64()),
+                "g": rows_of(np.where(word_class < self.vocabulary.own, 0, own[new].view(np.int64)), by_run, pa.int64()),
+                "context": rows_of(word_class, by_run, pa.int16()), "code": rows_of(code[at] + FIRST * start, by_word, pa.int16()),
+                "number": none.cast(pa.list_(pa.int32())) if rare else rows_of(number[at], by_word, pa.int32()),
+                "h": rows_of(h[at], by_word, pa.int64()) if rare else none, "after": rows_of(after[at], by_word, pa.int16()) if rare else none.cast(pa.list_(pa.int16())),
+            }
+
+
+# Of a customer's code: its text is learned from, is not scored, it is the first of a run, its text is at this place of its piece.
+LEARNED, UNSCORED, FIRST, PLACE = 1 << 12, 1 << 13, 1 << 14, (1 << 12) - 1
+PAIR_BYTES = 1 << 22  # text for each bucket of pairs
+PAIR_SERIAL = 300
+
+
+def seat_words(g: np.ndarray, q: np.ndarray, c: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each dish has by itself, and the share of the base measure, in the averaged predictive of its restaurant.
+
+    g: restaurant of each dish; q: base probability; c: customers, 0 for a word that was never learned there.
+    The restaurants are independent given their base, so the sweeps need nothing from elsewhere.
+    """
+    d, strength = discount_of((c == 1).sum(), (c == 2).sum()), 1.0
+    _, at = np.unique(g, return_inverse=True)
+    customers = np.bincount(at, weights=c)[at]
+    tables, kept = np.bincount(at, weights=np.minimum(c, 1))[at], []
+    for sweep in range(SWEEPS):
+        drawn = seat(c, q, d, strength, tables, keys, PAIR_SERIAL + sweep)
+        tables = np.bincount(at, weights=drawn)[at]
+        if sweep >= BURN_IN:
+            kept.append((drawn, tables))
+    own, held = (np.mean([x[i] for x in kept], axis=0) for i in (0, 1))
+    return (c - d * own) / (strength + customers), (strength + d * held) / (strength + customers)
+
+
+def bucket_scores(bucket: pa.Table, vocabulary: Vocabulary, table: np.ndarray, unseen: np.ndarray, customers: np.ndarray) -> dict[str, list]:
+    """Counts and seats the pairs of one bucket. Of each piece: what frequent words add to each of its texts; of each
+    rare word of a scored text: its probability as a + b * (that of the word in its class, in times of an unseen one's).
+    """
+    parts = []
+    for rare in (False, True):
+        rows = bucket.filter(pc.is_valid(bucket.column("h" if rare else "number"))).combine_chunks()
+        if not rows.num_rows:
+            continue
+        flat = {x: pc.list_flatten(rows.column(x)).to_numpy() for x in ("g", "context", "code", "h" if rare else "number")}
+        word = flat["h" if rare else "number"].astype(np.int64)
+        after = pc.list_flatten(rows.column("after")).to_numpy() if rare else vocabulary.classes[word]
+        piece = np.repeat(rows.column("piece").to_numpy(), pc.list_value_length(rows.column("code")).to_numpy())
+        run = np.cumsum((flat["code"] & FIRST) > 0) - 1
+        context, after = flat["context"][run].astype(np.int64), after.astype(np.int64)
+        # A restaurant after a word with a class of its own is known by both classes; the others by the hash of the word.
+        by_classes = mix((context * vocabulary.width + after + 1).view(np.uint64))
+        parts.append([np.where(context < vocabulary.own, by_classes, flat["g"][run].view(np.uint64)), context, after, word, np.full(len(word), rare), flat["code"], piece])
+    if not parts:
+        return {"piece": [], "scored": [], "rare": []}
+    g, context, after, word, rare, code, piece = (np.concatenate(x) for x in zip(*parts, strict=True))
+    keys, first, which = np.unique(mix(mix(g) * np.uint64(0x9E3779B97F4A7C15) + mix(word.view(np.uint64) + rare)), return_index=True, return_inverse=True)
+    c = np.bincount(which, weights=(code & LEARNED) > 0)
+    # Of each dish: the class part of its base, and what the word has in its class; the place of the class part depends on the context.
+    g, context, after, word, rare_dish = g[first], context[first], after[first], word[first], rare[first]
+    by_class, own = 10.0 ** table[context, after].astype(np.float64), context < vocabulary.own
+    ending = np.maximum(after - vocabulary.own, 0)
+    new = 10.0 ** unseen[ending]
+    by_word = np.where(rare_dish, np.maximum(new, c / (1 + customers[ending])), 10.0 ** vocabulary.log_word[np.where(rare_dish, 0, word)])
+    inner, outer = np.where(own, 1.0, by_class), np.where(own, by_class, 1.0)
+    a, b = seat_words(g, inner * by_word, c, keys.view(np.int64))
+    a, b = outer * a, outer * b * inner
+    gained = np.log10(a + b * by_word)
+    place, scored = (code & PLACE).astype(np.int64), (code & UNSCORED) == 0
+    f = np.flatnonzero(scored & ~rare)
+    # Pieces are numbered by their first row, and have fewer rows than places.
+    pieces_here, number = np.unique(piece[f], return_inverse=True)
+    slot = number * (PLACE + 1) + place[f]
+    if len(pieces_here) * (PLACE + 1) <= 4 * len(f):
+        slots = np.flatnonzero(np.bincount(slot))
+        sums = np.bincount(slot, weights=gained[which[f]])[slots]
+    else:
+        slots, at = np.unique(slot, return_inverse=True)
+        sums = np.bincount(at, weights=gained[which[f]])
+    r = np.flatnonzero(scored & rare)
+    d = which[r]
+    cuts = np.searchsorted(slots, np.arange(len(pieces_here) + 1) * (PLACE + 1))
+    return {"piece": [pieces_here], "scored": [slots % (PLACE + 1), sums, cuts], "rare": [piece[r], place[r], word[d], a[d], (b * new)[d]]}
+
+
+def score_texts(docs: DataFrame, training: DataFrame | Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row for each row of `docs`: the `keep` columns, n_tokens, n_known, train_tokens, base_score, score and perplexity.
 
-    `training` is any DataFrame with the text column. Tokens are words and one end for each text;
+    `training` is any DataFrame with the text column, or a condition on `docs` for the rows to learn from,
+    which spares a pass. Tokens are words and one end for each text;
     null counts as empty, so it has one token. base_score is the add-one unigram log10 probability,
     score the model's log10 probability of the whole text. An empty `training` makes every token
     unknown. Repeated rows are scored each for itself, and equal texts get equal scores up to the
-    last digits of a sum.
+    last digits of a sum of 32-bit numbers.
 
-    Passes over texts: word counts, class pairs, scores. Frequent words (a fixed number) are scored
-    where the text is read; the others go by hash to the distributed counts in one shuffle and back
-    to their row in another. A word that is common in `docs` but not in `training` is not among the frequent
-    ones, and its rows meet in one partition, which only Spark's own skew handling splits.
+    Passes over texts: word counts, class pairs, scores. Pairs of words with a class of their own are
+    scored where the text is read. All others go to the restaurant of the word before in one shuffle, where
+    they are counted, seated and looked up at once; sums by text come back in another. Frequent words (a fixed number) are known
+    to each task; the others go by hash to the distributed counts on their way. A word that is common in
+    `docs` but not in `training` is not among the frequent ones, and its rows meet in one partition, and those after it in one bucket.
     """
     spark = docs.sparkSession
     ship(spark)
-    counts = count_words(training, text)
+    if isinstance(training, Column):
+        learned = F.coalesce(training, F.lit(False))
+        learning, every = docs.where(learned), docs.select(*keep, F.col(text).alias("__text"), learned.alias("__learned"), F.lit(True).alias("__scored"))
+    else:
+        learning = training
+        nothing = [F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in keep]
+        every = docs.select(*keep, F.col(text).alias("__text"), F.lit(False).alias("__learned"), F.lit(True).alias("__scored")).unionAll(
+            training.select(*nothing, F.col(text).alias("__text"), F.lit(True).alias("__learned"), F.lit(False).alias("__scored"))
+        )
+    counts = count_words(learning, text)
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
+    size = every.agg(F.sum(F.octet_length("__text").cast("long"))).first()[0] or 0
     hashes, forms, found = frequent_words(counts)
     own = own_classes(n)
     classes = np.where(np.arange(len(hashes)) < own, np.arange(len(hashes)), own + forms)
     vocabulary = Vocabulary(hashes, classes, found, np.zeros(len(hashes)), own)
-    table = sample_contexts(count_class_pairs(training, text, vocabulary), vocabulary.width)
+    table = sample_contexts(count_class_pairs(learning, text, vocabulary), vocabulary.width)
     owned = [int(h) for h in hashes[:own]]
     endings = sample_endings(counts.where(~F.col("h").isin(owned)))
     if len(hashes) > own:
         vocabulary.log_word[own:] = endings.log_words(hashes[own:], forms[own:], found[own:])
     unseen = endings.log_unseen()
     base_one = float(-np.log10(n + v + 1))
-    shared = spark.sparkContext.broadcast((vocabulary, table, unseen, np.log10(vocabulary.counts + 1.0)))
-
-    chosen = docs.select(*keep, F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__row"))
-    head = T.StructType([chosen.schema[c] for c in keep]).add("n_tokens", "long").add("n_known", "long").add("base", "double").add("score", "double")
-    schema = T.StructType().add("row", "long").add("h", "long").add("tf", "long").add("head", head)
+    pairs = Pairs(vocabulary, 1 + size // PAIR_BYTES)
+    shared = spark.sparkContext.broadcast((pairs, table, np.log10(vocabulary.counts + 1.0)))
+    seating = spark.sparkContext.broadcast((Vocabulary(np.zeros(0), vocabulary.classes, np.zeros(0), vocabulary.log_word, own), table, unseen, endings.customers))
+
+    chosen = every.withColumn("__row", F.monotonically_increasing_id())
+    head = T.StructType([T.StructField(c, chosen.schema[c].dataType) for c in keep])
+    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("score", "double")):
+        head = head.add(f"__{name}", kind)
+    heads_type = T.ArrayType(head)
+    long, integer, short = T.LongType(), T.IntegerType(), T.ShortType()
+    numbers_in = {"g": long, "context": short, "code": short, "number": integer, "h": long, "after": short}
+    schema = T.StructType().add("bucket", "integer").add("piece", "long")
+    for name, kind in numbers_in.items():
+        schema = schema.add(name, T.ArrayType(kind))
+    schema = schema.add("heads", heads_type)
     arrow_kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    lists = {long: pa.list_(pa.int64()), integer: pa.list_(pa.int32()), short: pa.list_(pa.int16())}
 
     def work(batches):
-        vocabulary, table, unseen, log_count = shared.value
+        pairs, table, log_count = shared.value
+        vocabulary = pairs.vocabulary
         reader = Reader(vocabulary)
         known_end = int(vocabulary.counts[0] > 0)
         for batch in pieces(batches, "__text"):
             ids = batch.column("__row").to_numpy()
+            piece = int(ids[0])
+            flags = [batch.column(x).to_numpy(zero_copy_only=False).astype(bool) for x in ("__learned", "__scored")]
             t = tokens_of(batch.column("__text"))
             numbers, hashes, classes = reader.numbers(t.words)
             full = numbers >= 0
             tokens, starts = t.lengths, t.starts
             known = np.add.reduceat(full[t.at].astype(np.int64), starts) - (1 - known_end)
-            # What a word adds by itself; a rare one as if it were unseen, what its count adds comes by its hash.
+            # Of base_score, a rare word's count comes by its hash.
             more_base = np.where(full, log_count[numbers], 0.0)
-            alone = np.where(full, vocabulary.log_word[numbers], unseen[np.maximum(classes - vocabulary.own, 0)])
             base = tokens * base_one + np.add.reduceat(more_base[t.at], starts)
-            score = np.add.reduceat(table[classes[t.before()], classes[t.at]] + alone[t.at], starts)
-            rare = np.flatnonzero(~full[t.at])
-            which = np.repeat(np.arange(len(ids)), tokens)[rare] * len(full) + t.at[rare]
-            which, tfs = np.unique(which, return_counts=True)
-            rows, hs = ids[which // len(full)], hashes[which % len(full)]
-            heads = pa.StructArray.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x, t) for x, t in zip((tokens, known, base, score), arrow_kinds, strict=True))], [*keep, "n_tokens", "n_known", "base", "score"])
-            # The row of a text itself goes to a partition of its own choosing: it looks for no word.
-            spread = mix(ids.astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spread), pa.array([0] * len(ids), pa.int64()), heads], ["row", "h", "tf", "head"])
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(hs, pa.int64()), pa.array(tfs, pa.int64()), pa.nulls(len(rows), heads.type)], ["row", "h", "tf", "head"])
+            before = t.before()
+            context, after = classes[before], classes[t.at]
+            plain = (context < vocabulary.own) & (after < vocabulary.own)
+            score = np.add.reduceat(np.where(plain, table[context, after], 0.0), starts)
+            heads = pa.StructArray.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x, k) for x, k in zip((tokens, known, base, score), arrow_kinds, strict=True))], head.names)
+            if flags[1].all():
+                row = {"bucket": pa.array(mix(np.array([piece], np.uint64)) % np.uint64(pairs.buckets), pa.int32()), "piece": pa.array([piece], pa.int64()), "heads": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), heads)}
+                yield pa.RecordBatch.from_arrays([row[f] if f in row else pa.nulls(1, lists[numbers_in[f]]) for f in schema.names], schema.names)
+            code = np.arange(len(ids)) + LEARNED * flags[0] + UNSCORED * ~flags[1]
+            at = np.flatnonzero(~plain)
+            context, after, word = context[at], after[at], t.at[at]
+            code = np.repeat(code, tokens)[at]
+            for row in pairs.packed(piece, pairs.runs(hashes[before[at]], context, after), context, after, numbers[word], hashes[word], code):
+                yield pa.RecordBatch.from_arrays([row[f] if f in row else pa.nulls(len(row["bucket"]), pa.list_(heads.type)) for f in schema.names], schema.names)
+
+    scored_schema = T.StructType().add("piece", "long").add("h", "long").add("place", "short").add("a", "float").add("b", "float").add("places", T.ArrayType(short)).add("sums", T.ArrayType(T.FloatType())).add("heads", heads_type)
+
+    def seated(bucket: pa.Table) -> pa.Table:
+        vocabulary, table, unseen, customers = seating.value
+        heads = bucket.select(["piece", "heads"]).filter(pc.is_valid(bucket.column("heads")))
+        kind = bucket.schema.field("heads").type
+        names = scored_schema.names
+        kinds = [pa.int64(), pa.int64(), pa.int16(), pa.float32(), pa.float32(), pa.list_(pa.int16()), pa.list_(pa.float32()), kind]
+        out = []
+
+        def add(n: int, **columns):
+            if n:
+                out.append(pa.table({f: columns[f] if f in columns else pa.nulls(n, k) for f, k in zip(names, kinds, strict=True)}))
+
+        def scattered(piece: np.ndarray) -> pa.Array:
+            """Rows that look for no word go to partitions of their own choosing."""
+            return pa.array(mix(piece.view(np.uint64)).view(np.int64))
+
+        own = heads.column("piece").to_numpy()
+        add(len(own), piece=pa.array(own, pa.int64()), h=scattered(own.astype(np.int64)), heads=heads.column("heads").combine_chunks())
+        found = bucket_scores(bucket, vocabulary, table, unseen, customers)
+        if found["scored"]:
+            (own,), (places, sums, cuts), (piece, place, h, a, b) = found["piece"], found["scored"], found["rare"]
+            add(len(own), piece=pa.array(own, pa.int64()), h=scattered(own + bucket.column("bucket")[0].as_py()), places=rows_of(places, cuts, pa.int16()), sums=rows_of(sums, cuts, pa.float32()))
+            add(len(piece), piece=pa.array(piece, pa.int64()), h=pa.array(h, pa.int64()), place=pa.array(place, pa.int16()), a=pa.array(a, pa.float32()), b=pa.array(b, pa.float32()))
+        return pa.concat_tables(out) if out else pa.table({f: pa.nulls(0, k) for f, k in zip(names, kinds, strict=True)})
 
     def gains(batches):
         for batch in batches:
             h, form, c = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("h", "form", "c"))
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(np.log10(c + 1.0)), pa.array(endings.log_words(h, form, c) - unseen[form])], ["h", "more_base", "more"])
-
-    parts = chosen.mapInArrow(work, schema)
-    words = counts.where(F.col("h") != END).mapInArrow(gains, "h long, more_base double, more double")
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), pa.array(10.0 ** (endings.log_words(h, form, c) - unseen[form]))], ["h", "c", "times"])
+
+    out_schema = T.StructType([T.StructField(c, chosen.schema[c].dataType) for c in keep]).add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
+
+    def summed(piece: pa.Table) -> pa.Table:
+        heads = pa.concat_arrays([pc.list_flatten(x) for x in piece.column("heads").chunks])
+        k, b, s = (np.zeros(len(heads)) for _ in range(3))
+        if len(heads):
+            rare = piece.filter(pc.is_valid(piece.column("place")))
+            place = rare.column("place").to_numpy()
+            c = pc.fill_null(rare.column("c"), 0).to_numpy()
+            k, b, s = (np.bincount(place, weights=x, minlength=len(heads)).astype(np.float64) for x in (c > 0, np.log10(c + 1.0), rare.column("gained").to_numpy()))
+            for places, sums in zip(piece.column("places").chunks, piece.column("sums").chunks, strict=True):
+                s += np.bincount(pc.list_flatten(places).to_numpy(), weights=pc.list_flatten(sums).to_numpy(), minlength=len(heads))
+        own = dict(zip(head.names, heads.flatten(), strict=True))
+        tokens, known, base, score = (own[f"__{x}"].to_numpy(zero_copy_only=False) for x in ("n_tokens", "n_known", "base", "score"))
+        return pa.Table.from_arrays([*(own[c] for c in keep), pa.array(tokens, pa.int64()), pa.array(known + k.astype(np.int64), pa.int64()), pa.array(base + b), pa.array(score + s)], names=out_schema.names)
+
+    parts = chosen.mapInArrow(work, schema).groupBy("bucket").applyInArrow(seated, scored_schema)
+    words = counts.where(F.col("h") != END).mapInArrow(gains, "h long, c long, times double")
     joined = parts.join(words, "h", "left")
-    known = F.when(F.col("more").isNotNull(), F.col("tf")).otherwise(0)
-    summed = joined.select("row", known.alias("k"), F.coalesce(F.col("tf") * F.col("more_base"), F.lit(0.0)).alias("b"), F.coalesce(F.col("tf") * F.col("more"), F.lit(0.0)).alias("s"), *[F.col(f"head.{f}").alias(f"h_{f}") for f in head.names])
-    sums = summed.groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"), *[F.max(f"h_{f}").alias(f"h_{f}") for f in head.names])
-    score = F.col("h_score") + F.col("s")
-    return sums.select(
-        *[F.col(f"h_{c}").alias(c) for c in keep], F.col("h_n_tokens").alias("n_tokens"), (F.col("h_n_known") + F.col("k")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("h_base") + F.col("b")).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("h_n_tokens")).alias("perplexity"),
-    )
+    gained = F.log10(F.col("a").cast("double") + F.col("b").cast("double") * F.coalesce("times", F.lit(1.0)))
+    texts = joined.select("piece", "place", "c", gained.cast("float").alias("gained"), "places", "sums", "heads")
+    scored = texts.groupBy("piece").applyInArrow(summed, out_schema)
+    return scored.select(*keep, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

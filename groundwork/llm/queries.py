@@ -61,8 +61,7 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every whole text, learned from texts whose id has no remainder 2 of 7."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    training = docs.where(remainder("doc_id", 7) != 2)
-    scored = lm.score_texts(docs, training)
+    scored = lm.score_texts(docs, remainder("doc_id", 7) != 2)
     return scored.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

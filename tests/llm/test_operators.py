@@ -557,6 +557,63 @@ def test_what_contexts_gather_grows_with_the_text():
     assert sizes == sorted(sizes) and sizes[2] < sizes[3] < sizes[4] < sizes[5] < 3000
 
 
+def test_each_word_has_a_context_of_its_own(spark, monkeypatch):
+    # 40 words before and 40 after, all with one ending and far from the commonest: only their pairs tell them apart.
+    pairs = [(f"x{i:02d}end", f"y{i:02d}end") for i in range(40)]
+    learned = spark.createDataFrame([(i, f"the {x} {y} the the") for i, (x, y) in enumerate(pairs * 3)], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(2 * i + k, f"the {x} {pairs[(i + k) % 40][1]} the the") for i, (x, _) in enumerate(pairs) for k in (0, 1)], "doc_id bigint, text string")
+    monkeypatch.setattr(lm, "OWN_PER_DOUBLING", 1)
+    for frequent in (1 << 17, 20):  # with all words known to each task, and with nearly none
+        monkeypatch.setattr(lm, "FREQUENT", frequent)
+        got = {x["doc_id"]: x for x in rows(lm.score_texts(asked, learned))}
+        assert all(x["n_known"] == x["n_tokens"] == 6 for x in got.values())
+        # Seen three times after its word, once only by chance (a context shared by ending cannot tell).
+        assert all(got[2 * i]["score"] > got[2 * i + 1]["score"] + 1 for i in range(40))
+    both = learned.unionAll(asked.withColumn("doc_id", F.col("doc_id") + 1000))
+    one = {x["doc_id"]: x for x in rows(lm.score_texts(both, F.col("doc_id") < 1000))}
+    assert len(one) == 200 and all(one[k + 1000]["score"] == pytest.approx(x["score"], abs=1e-4) for k, x in got.items())
+
+
+def test_pair_restaurants_sum_to_one_and_count_all_pairs():
+    rng = np.random.default_rng(6)
+    width, own, words, new = 3 + lm.FORMS, 3, 60, 5
+    classes = np.array([0, 1, 2, *(own + rng.integers(0, 4, words - own))])
+    log_word, unseen = np.zeros(words), np.full(lm.FORMS, np.log10(0.2))
+    for e in range(4):
+        at = np.flatnonzero(classes == own + e)
+        log_word[at] = np.log10(0.8 / len(at))
+    table = rng.random((width, width)) * (np.arange(width) < own + 4)
+    table = np.log10(table / table.sum(axis=1, keepdims=True) + 1e-300)
+    h = np.arange(words + new) * 7919 + 11
+    every = np.append(classes, own + np.arange(new) % 4)
+    number = np.append(np.arange(words), np.full(new, -1))
+    u, w = rng.integers(0, words, 4000), np.minimum(rng.geometric(0.1, 4000), words) - 1
+    v = lm.Vocabulary(h[:words], classes, np.ones(words), log_word, own)
+    model = lm.Pairs(v, 1)
+
+    def bucket(u, w, code):
+        at = (every[u] >= own) | (every[w] >= own)
+        u, w, code = u[at], w[at], code[at]
+        for x in model.packed(0, model.runs(h[u], every[u], every[w]), every[u], every[w], number[w], h[w], code):
+            yield pa.table({k: a for k, a in x.items()})
+
+    learned = list(bucket(u, w, np.full(4000, lm.LEARNED | lm.UNSCORED)))
+    count = Counter(zip(u.tolist(), w.tolist(), strict=True))
+    for context in (0, 2, 5, 20, 59):
+        after = np.arange(words + 4)  # the last four stand for the unseen words of the four endings
+        asked = list(bucket(np.full(len(after), context), after, after.astype(np.int64)))
+        got = lm.bucket_scores(pa.concat_tables(learned + asked), v, table, unseen, np.full(lm.FORMS, 100.0))
+        places, sums, _ = got["scored"]
+        p = dict(zip(places.tolist(), (10.0**sums).tolist(), strict=True)) | dict(zip(got["rare"][1].tolist(), (got["rare"][3] + got["rare"][4]).tolist(), strict=True))
+        if context < own:
+            p |= {k: 10.0 ** table[context, k] for k in range(own)}
+        assert len(p) == len(after) and sum(p.values()) == pytest.approx(1, abs=1e-6)
+        if context >= own:  # a word seen n of N times has at least (n - its tables) / (N + 1) and more than one seen less often has of its own
+            n = sum(c for (a, _), c in count.items() if a == context)
+            top = max((c, b) for (a, b), c in count.items() if a == context)
+            assert 0.5 * top[0] / (n + 1) < p[top[1]] < (top[0] + 1) / (n + 1) + 0.2
+
+
 def test_seating():
     n = np.array([1, 2, 5, 1000, 20_000])
     t = lm.seat(n, np.full(5, 0.2), 0.5, 1.0, 10.0, np.arange(5), 1)
