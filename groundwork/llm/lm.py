@@ -4,12 +4,13 @@ The model is a bigram over word classes with words below them. The commonest wor
 their own, and the more of them the longer the training text; every other word belongs to a class by its ending. For each class as context there is a
 restaurant whose customers are the classes seen after it; all context restaurants share one parent,
 whose customers are their tables. Below, each class of rare words is a restaurant of its words, with
-one dish kept for any unseen word.
+one dish kept for any unseen word. On top, each word has restaurants of the words after it, whose base
+is this class model; they hold every pair that the class table does not tell apart by itself.
 
 Seating is sampled by Gibbs sweeps in blocks: given the parent's current predictive, the tables of
 every restaurant are drawn anew by the Chinese-restaurant process; their sum seats the parent anew.
 Predictive probabilities of the sweeps after burn-in are averaged. Counts of all training tokens are
-gathered; the class table grows with the square of the logarithm of the text, and word counts stay distributed.
+gathered; the class table grows with the square of the logarithm of the text, and counts of words and of pairs stay distributed.
 """
 
 from __future__ import annotations
