@@ -64,11 +64,11 @@ def build_baseline(pages: DataFrame, seeded_from: str, text: str = "text") -> Da
 
 
 def compare_baseline(base: DataFrame, current: DataFrame) -> DataFrame:
-    """(slug, status, old_sha, new_sha): unchanged, changed, new or missing."""
-    a = base.select("slug", F.col("sha256").alias("old_sha"))
-    b = current.select("slug", X.sha256_hex("text").alias("new_sha"))
-    status = F.when(F.col("old_sha").isNull(), "new").when(F.col("new_sha").isNull(), "missing").when(F.col("old_sha") == F.col("new_sha"), "unchanged").otherwise("changed")
-    return a.join(b, "slug", "full").select("slug", status.alias("status"), "old_sha", "new_sha")
+    """(slug, status, old_sha, new_sha): unchanged, changed, new or missing. A page whose text is null on a side is there, and changed."""
+    a = base.select(F.col("slug").alias("old"), F.col("sha256").alias("old_sha"))
+    b = current.select(F.col("slug").alias("new"), X.sha256_hex("text").alias("new_sha"))
+    status = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "missing").when(F.col("old_sha") == F.col("new_sha"), "unchanged").otherwise("changed")
+    return a.join(b, F.col("old") == F.col("new"), "full").select(F.coalesce("old", "new").alias("slug"), status.alias("status"), "old_sha", "new_sha")
 
 
 def changed_pairs(old: DataFrame, new: DataFrame) -> DataFrame:

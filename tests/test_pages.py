@@ -152,3 +152,10 @@ def test_texts_are_made_once_for_comparison(spark):
     got = {(r.slug, r.line): (r.removed, r.added) for r in drift.line_delta(old, new).collect()}
     # Two rows of a page on either side are four pairs: x y - x z z, x y - k k, k - x z z, k - k k.
     assert got == {("a", "y"): (2, 0), ("a", "z"): (0, 4), ("a", "k"): (0, 2), ("d", ""): (1, 0), ("d", "v"): (0, 1)}
+
+
+def test_pages_without_a_text_are_compared_as_there(spark):
+    base = drift.build_baseline(spark.createDataFrame([("a", None), ("b", None), ("c", "x"), ("d", "x"), ("e", "x"), (None, "x")], PAGE), "seed")
+    new = spark.createDataFrame([("a", None), ("c", None), ("d", "x"), ("f", None)], PAGE)
+    got = {r.slug: r.status for r in drift.compare_baseline(base, new).collect()}
+    assert got == {"a": "changed", "b": "missing", "c": "changed", "d": "unchanged", "e": "missing", "f": "new", None: "new"}
