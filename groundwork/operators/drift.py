@@ -131,16 +131,23 @@ def page_hunks(old: DataFrame, new: DataFrame) -> DataFrame:
 def unified_diffs(old: DataFrame, new: DataFrame, names: tuple[str, str] = ("baseline", "current"), context: int = 3) -> DataFrame:
     """(slug, diff) of changed pages as unified diffs; `{slug}` in a name stands for the page. Pages whose lines are alike have none."""
     ship(old.sparkSession)
+    return changed_pairs(old, new).select("slug", _diff_of(names, context)("slug", "old_text", "new_text").alias("diff")).where("diff <> ''")
+
+
+def _diff_of(names: tuple[str, str], context: int = 3):
+    """Unified diff of two texts of a slug, empty where their lines are alike; null where a text is."""
 
     @F.arrow_udf("string")
     def diff_of(slug: pa.Array, old_text: pa.Array, new_text: pa.Array) -> pa.Array:
-        out = []
-        for key, x, y in zip(slug.to_pylist(), old_text.to_pylist(), new_text.to_pylist(), strict=True):
+        def diff(key, x: str | None, y: str | None) -> str | None:
+            if x is None or y is None:
+                return None
             a, b = x.splitlines(), y.splitlines()
-            out.append(alignment.unified(a, b, alignment.opcodes(a, b), tuple(n.replace("{slug}", str(key)) for n in names), context))
-        return pa.array(out, pa.string())
+            return alignment.unified(a, b, alignment.opcodes(a, b), tuple(n.replace("{slug}", str(key)) for n in names), context)
+
+        return _in_pieces(diff, pa.string(), slug, old_text, new_text)
 
-    return changed_pairs(old, new).select("slug", diff_of("slug", "old_text", "new_text").alias("diff")).where("diff <> ''")
+    return diff_of
 
 
 def diff_text(hunks: DataFrame) -> DataFrame:
@@ -373,11 +380,16 @@ def scope_parity(sitemap: DataFrame, tracked: DataFrame, noindex: DataFrame, exc
 def source_parity(live: DataFrame, repo: DataFrame, sentinels: DataFrame) -> DataFrame:
     """(slug, matches, diff) of sentinel pages in two sources; the diff leads from the repository's lines to the live ones.
 
-    Pages match if their lines are alike in order.
+    Pages match if their lines are alike in order; of a text that is null neither is known. A slug that a source has
+    several times gives a row for each pair of its pages. Only texts that differ go to Python.
     """
-    a, b = (x.join(sentinels.select("slug").distinct(), "slug", "left_semi") for x in (live, repo))
-    both = a.select("slug").join(b.select("slug"), "slug")
-    return both.join(unified_diffs(b, a, ("repo:{slug}", "live:{slug}")), "slug", "left").select("slug", F.col("diff").isNull().alias("matches"), "diff")
+    ship(live.sparkSession)
+    named = sentinels.select("slug").distinct()
+    a, b = (x.join(named, "slug", "left_semi").select("slug", F.col("text").alias(name)) for x, name in ((live, "live"), (repo, "repo")))
+    differ = F.col("repo") != F.col("live")
+    sides = (F.when(differ, F.col(c)) for c in ("repo", "live"))
+    pairs = b.join(a, "slug").select("slug", differ.alias("differ"), _diff_of(("repo:{slug}", "live:{slug}"))("slug", *sides).alias("diff"))
+    return pairs.select("slug", F.when(F.col("differ"), F.col("diff") == "").otherwise(~F.col("differ")).alias("matches"), F.nullif("diff", F.lit("")).alias("diff"))
 
 
 def advance_baseline(base: DataFrame, current: DataFrame, accepted: DataFrame) -> DataFrame:

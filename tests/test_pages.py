@@ -159,3 +159,11 @@ def test_pages_without_a_text_are_compared_as_there(spark):
     new = spark.createDataFrame([("a", None), ("c", None), ("d", "x"), ("f", None)], PAGE)
     got = {r.slug: r.status for r in drift.compare_baseline(base, new).collect()}
     assert got == {"a": "changed", "b": "missing", "c": "changed", "d": "unchanged", "e": "missing", "f": "new", None: "new"}
+
+
+def test_parity_tells_each_pair_of_pages_of_a_slug(spark):
+    live = spark.createDataFrame([("p", "a\nb"), ("p", "c"), ("q", None), ("r", "x"), ("s", "x\n")], PAGE)
+    repo = spark.createDataFrame([("p", "a\nb"), ("q", "x"), ("r", None), ("s", "x")], PAGE)
+    got = sorted((r.slug, r.matches is None, r.matches, r.diff) for r in drift.source_parity(live, repo, repo.select("slug")).collect())
+    diff = "--- repo:p\n+++ live:p\n@@ -1,2 +1 @@\n-a\n-b\n+c"
+    assert got == [("p", False, False, diff), ("p", False, True, None), ("q", True, None, None), ("r", True, None, None), ("s", False, True, None)]
