@@ -393,8 +393,8 @@ def source_parity(live: DataFrame, repo: DataFrame, sentinels: DataFrame) -> Dat
 
 
 def advance_baseline(base: DataFrame, current: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Baseline after accepted findings (slug, fingerprint): their pages take the current text."""
-    new = accepted.join(current.select("slug", F.col("text").alias("new_text")), "slug")
+    """Baseline after accepted findings (slug, fingerprint): their pages take the current text. One that is given twice counts once; of pages that share a slug, give only texts that were accepted."""
+    new = accepted.select("slug", "fingerprint").distinct().join(current.select("slug", F.col("text").alias("new_text")), "slug")
     joined = base.join(new, "slug", "left")
     text = F.coalesce("new_text", "text")
     stamp = F.when(F.col("new_text").isNull(), F.col("seeded_from")).otherwise(F.concat(F.lit("pr:"), F.col("fingerprint")))

@@ -167,3 +167,16 @@ def test_parity_tells_each_pair_of_pages_of_a_slug(spark):
     got = sorted((r.slug, r.matches is None, r.matches, r.diff) for r in drift.source_parity(live, repo, repo.select("slug")).collect())
     diff = "--- repo:p\n+++ live:p\n@@ -1,2 +1 @@\n-a\n-b\n+c"
     assert got == [("p", False, False, diff), ("p", False, True, None), ("q", True, None, None), ("r", True, None, None), ("s", False, True, None)]
+
+
+def test_only_accepted_texts_come_into_the_baseline(spark, tmp_path):
+    from groundwork.plans.drift import QUERIES
+
+    # Page 1000010 has the slug of the copy that the later pages have of page 10; the copy's text is not new to it.
+    body = "<body><article><p>line</p></article></body>"
+    spark.createDataFrame([(i, "u", body) for i in (110, 1000110)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r.slug, r.seeded_from) for r in QUERIES["b17_advance_baseline"](spark, str(tmp_path)).collect())
+    assert got == [("p-1000110", "pr:fp-1000110"), ("p-110", "pr:fp-110")]
+    base = drift.build_baseline(spark.createDataFrame([("p", "a")], PAGE), "seed")
+    accepted = spark.createDataFrame([("p", "f"), ("p", "f")], "slug string, fingerprint string")
+    assert [(r.text, r.seeded_from) for r in drift.advance_baseline(base, spark.createDataFrame([("p", "b")], PAGE), accepted).collect()] == [("b", "pr:f")]
