@@ -164,3 +164,32 @@ def test_lists_are_dealt_to_all_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", was)
     assert {r.slug: len(r.edits) for r in found} == {f"p{i}": 3 for i in range(400)}
     assert len({r["at"] for r in found}) == 16
+
+
+def broadcast_keys(df):
+    """Keys of the joins whose one side is gathered on the driver."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return [re.sub(r"#\d+L?", "", k) for k in re.findall(r"BroadcastHashJoin \[(.*?)\]", plan)] + re.findall("BroadcastNestedLoopJoin", plan)
+
+
+def on_disk(spark, tmp_path, seed):
+    """Hunks and the index of facts from files, whose sizes Spark knows."""
+    hunks, facts = made(seed)
+    spark.createDataFrame(hunks, "slug string, hunk int, old_lines array<string>, new_lines array<string>").write.parquet(str(tmp_path / "h"))
+    spark.createDataFrame(facts, "key string, value string").write.parquet(str(tmp_path / "f"))
+    return spark.read.parquet(str(tmp_path / "h")), drift.fact_value_index(spark.read.parquet(str(tmp_path / "f")))
+
+
+def test_proposals_broadcast_no_keys_and_no_pages(spark, tmp_path):
+    h, index = on_disk(spark, tmp_path, 7)
+    assert set(broadcast_keys(drift.propose_value(h, index))) <= {"a, b"}  # classes of more than a chunk only
+    pages = spark.createDataFrame([("p", "x"), ("q", "y")], "slug string, text string")
+    pages.write.parquet(str(tmp_path / "p"))
+    pages = spark.read.parquet(str(tmp_path / "p"))
+    assert not broadcast_keys(drift.page_hunks(pages, pages.withColumn("text", F.concat("text", F.lit("z")))))
+    # A class whose keys are dealt to many rows.
+    classes, members = drift.fact_classes(index, chunk=16)
+    rows = drift.hunk_facts(h, classes).where("key is not null").withColumnRenamed("key", "class")
+    got = drift._with_keys(rows, members).select("slug", "hunk", F.explode("keys").alias("key"), "category", "old_value", "proposed").collect()
+    assert members.where("class.n > 8").count() > 8
+    assert sorted(got, key=str) == sorted(drift.hunk_facts(h, index).where("key is not null").select("slug", "hunk", "key", "category", "old_value", "proposed").collect(), key=str)
