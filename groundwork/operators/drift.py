@@ -303,9 +303,9 @@ def _listed(rows: DataFrame, members: DataFrame, entry, kind: str, out: str, sho
     list_id = F.when(F.size("classes") > 0, F.struct(F.xxhash64("classes").alias("a"), F.xxhash64(F.lit(1), "classes").alias("b")))
     marked = rows.withColumn("list_id", list_id)
     each = marked.where("list_id is not null").groupBy("list_id").agg(F.first("classes").alias("classes")).select("list_id", F.explode("classes").alias("e"))
-    met = each.withColumn("class", F.col("e.class")).join(members, "class").repartition(parts, "list_id").select("list_id", F.transform("keys", lambda k: entry(k, F.col("e"))).alias("part"))
+    met = _with_keys(each.withColumn("class", F.col("e.class")), members).repartition(parts, "list_id").select("list_id", F.transform("keys", lambda k: entry(k, F.col("e"))).alias("part"))
     lists = met.groupBy("list_id").agg(F.sort_array(F.flatten(F.collect_list("part"))).alias("l")).select("list_id", show(F.col("l")).alias(out))
-    return marked.drop("classes").repartition(parts, "list_id").join(lists, "list_id", "left").withColumn(out, F.coalesce(out, show(F.array().cast(kind)))).drop("list_id")
+    return marked.drop("classes").repartition(parts, "list_id").join(lists.hint("merge"), "list_id", "left").withColumn(out, F.coalesce(out, show(F.array().cast(kind)))).drop("list_id")
 
 
 def reconcile(hunks: DataFrame, index: DataFrame) -> DataFrame:

@@ -193,3 +193,13 @@ def test_proposals_broadcast_no_keys_and_no_pages(spark, tmp_path):
     got = drift._with_keys(rows, members).select("slug", "hunk", F.explode("keys").alias("key"), "category", "old_value", "proposed").collect()
     assert members.where("class.n > 8").count() > 8
     assert sorted(got, key=str) == sorted(drift.hunk_facts(h, index).where("key is not null").select("slug", "hunk", "key", "category", "old_value", "proposed").collect(), key=str)
+
+
+def test_lists_of_keys_and_edits_are_not_broadcast(spark, tmp_path):
+    h, index = on_disk(spark, tmp_path, 8)
+    assert set(broadcast_keys(drift.page_findings(h, index)) + broadcast_keys(drift.reconcile(h, index))) <= {"a, b"}
+    # A class of more keys than a row of them takes, in one list.
+    classes, members = drift.fact_classes(index, chunk=16)
+    rows = drift.hunk_facts(h, classes).where("key is not null").groupBy("slug", "hunk").agg(F.collect_list(F.struct(F.col("key").alias("class"))).alias("classes"))
+    got = {(r.slug, r.hunk): r["keys"] for r in drift._listed(rows, members, lambda k, e: k, "array<string>", "keys").collect()}
+    assert got == {(r.slug, r.hunk): r["keys"] for r in drift.reconcile(h, index).where("not unmapped").collect()}
