@@ -203,3 +203,10 @@ def test_lists_of_keys_and_edits_are_not_broadcast(spark, tmp_path):
     rows = drift.hunk_facts(h, classes).where("key is not null").groupBy("slug", "hunk").agg(F.collect_list(F.struct(F.col("key").alias("class"))).alias("classes"))
     got = {(r.slug, r.hunk): r["keys"] for r in drift._listed(rows, members, lambda k, e: k, "array<string>", "keys").collect()}
     assert got == {(r.slug, r.hunk): r["keys"] for r in drift.reconcile(h, index).where("not unmapped").collect()}
+
+
+def test_fingerprints_and_sizes_are_not_broadcast(spark, tmp_path):
+    h, index = on_disk(spark, tmp_path, 9)
+    h = h.withColumn("op", F.lit("replace"))
+    full = drift.page_findings(h, index, drift.fingerprint_hunks(h), drift.diff_text(h), show=drift.edit_lines)
+    assert set(broadcast_keys(full) + broadcast_keys(drift.finding_counts(h, index))) <= {"a, b"}
